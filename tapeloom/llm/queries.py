@@ -5,10 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tapeloom.llm import exact_dedup, license_scan, line_dedup, mixing, quality_rules, secret_scan
+from tapeloom.llm import exact_dedup, jaccard_join, license_scan, line_dedup, mixing, quality_rules, secret_scan
 from tapeloom.llm.common import table
-from pyspark.sql import functions as F
+
+
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.groups_of_similar(table(spark, sf_dir, "documents"))
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,6 +43,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_jaccard_join": op1_jaccard_join,
         "op3_line_dedup": op3_line_dedup,
         "op4_license_scan": op4_license_scan,
         "op6_exact_dedup": op6_exact_dedup,
