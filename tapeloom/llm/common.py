@@ -67,3 +67,18 @@ def row_key(doc_id: Column, text: Column) -> Column:
 def only(df: DataFrame, *names: str) -> DataFrame:
     """The named columns; other columns, whatever they are called, don't get in the way."""
     return df.select(*[F.col(f"`{n}`") for n in names])
+
+
+def join_counted(left: DataFrame, right: DataFrame, keys: list[str], weight: str = "n", parts: int = 1000) -> DataFrame:
+    """Inner join of ``left`` with one row per key, whose ``weight`` is the number of rows that ``left`` has of it.
+
+    Keys with at least 1 / ``parts`` of all counted rows, so ``parts`` keys at most, are broadcast: their rows needn't meet in
+    one task. All other keys are joined by a shuffle, in which none has more than that share.
+    """
+    right = cut(right)
+    total = right.agg(F.sum(weight)).first()[0] or 0
+    heavy = (F.col(weight) * parts >= total) & (F.col(weight) >= parts)
+    if not right.where(heavy).limit(1).count():
+        return left.join(right, keys)
+    hot, cold = F.broadcast(right.where(heavy)), right.where(~heavy)
+    return left.join(hot, keys).unionByName(left.join(hot.select(*keys), keys, "left_anti").join(cold, keys))

@@ -7,14 +7,28 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeloom.llm import exact_dedup, jaccard_join, license_scan, line_dedup, mixing, quality_rules, secret_scan
-from tapeloom.llm.common import table
+from tapeloom.llm import exact_dedup, jaccard_join, license_scan, line_dedup, mixing, packing, quality_rules, secret_scan, warc_shards
+from tapeloom.llm.common import scratch_path, table
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
 
 
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.groups_of_similar(table(spark, sf_dir, "documents"))
 
 
+def op2_warc_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = scratch_path(spark, "warc")
+    warc_shards.write_warc(table(spark, sf_dir, "pages"), root)
+    return warc_shards.read_warc(spark, root, with_payload=False).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.drop_shared_lines(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -28,6 +42,13 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
+    return pieces.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+    )
+
+
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -44,9 +65,11 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_jaccard_join": op1_jaccard_join,
+        "op2_warc_shards": op2_warc_shards,
         "op3_line_dedup": op3_line_dedup,
         "op4_license_scan": op4_license_scan,
         "op6_exact_dedup": op6_exact_dedup,
+        "op7_packing": op7_packing,
         "op8_source_mixing": op8_source_mixing,
         "op9_quality_rules": op9_quality_rules,
         "op10_secret_scan": op10_secret_scan,
