@@ -5,10 +5,13 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tapeloom.functions.shipping import ship
+
 #: ASCII white space that separates words, and the same set inside a regular expression.
 SPACES = " \t\n\x0b\x0c\r"
 NOT_SPACE = r"[^\x20\x09-\x0D]+"
@@ -82,3 +85,9 @@ def join_counted(left: DataFrame, right: DataFrame, keys: list[str], weight: str
         return left.join(right, keys)
     hot, cold = F.broadcast(right.where(heavy)), right.where(~heavy)
     return left.join(hot, keys).unionByName(left.join(hot.select(*keys), keys, "left_anti").join(cold, keys))
+
+
+def map_arrow(df: DataFrame, task: Callable, schema) -> DataFrame:
+    """mapInArrow(), with this package at hand in the workers."""
+    ship(df.sparkSession)
+    return df.mapInArrow(task, schema)

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapeloom.llm.common import only
+from tapeloom.llm.common import join_counted, map_arrow, only
 
 #: Bytes of content that one table may hold, and the number of spill files of one level.
 TABLE_BYTES = 64 << 20
@@ -138,13 +138,14 @@ def exact_groups(docs: DataFrame, table_bytes: int = TABLE_BYTES) -> DataFrame:
 
     First each input partition is reduced to its distinct contents, so a text that fills a third of the input is at most
     one record per partition in the shuffle. The shuffled records are reduced in the same way. Each row then finds its
-    group by its SHA-256, a second hash and the length; a join that adaptive execution splits where one text is hot.
+    group by its SHA-256, a second hash and the length; groups with a large share of all rows are broadcast, the others
+    joined by a shuffle.
     Two different contents under one such address end the job with an error instead of being merged.
     """
     rows = only(docs, "doc_id", "text").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     schema = "text string, doc_id long, n long"
-    partial = rows.mapInArrow(_distinct(table_bytes), schema)
-    merged = partial.repartition(F.xxhash64("text", F.length("text"))).mapInArrow(_distinct(table_bytes), schema)
+    partial = map_arrow(rows, _distinct(table_bytes), schema)
+    merged = map_arrow(partial.repartition(F.xxhash64("text", F.length("text"))), _distinct(table_bytes), schema)
     address = [F.sha2("text", 256).alias("text_sha256"), F.xxhash64("text").alias("x"), F.octet_length("text").alias("len")]
     groups = merged.select(*address, F.col("doc_id").alias("keep_id"), F.col("n").alias("group_size"))
     groups = groups.groupBy("text_sha256", "x", "len").agg(
@@ -153,7 +154,7 @@ def exact_groups(docs: DataFrame, table_bytes: int = TABLE_BYTES) -> DataFrame:
             F.raise_error(F.lit("different texts share one address"))
         ).alias("group_size"),
     )
-    out = rows.select("doc_id", *address).join(groups, ["text_sha256", "x", "len"])
+    out = join_counted(rows.select("doc_id", *address), groups, ["text_sha256", "x", "len"], "group_size")
     return out.select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"
     )

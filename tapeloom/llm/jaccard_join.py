@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tapeloom.llm.common import cut, only, release
+from tapeloom.llm.common import cut, map_arrow, only, release
 from tapeloom.llm.shingles import HASH_MASK, U, bounds, chunks, distinct_shingles, mix, set_names
 
 #: Names of sets that one task remembers, to give each set's signatures once; and of groups of equal buckets.
@@ -238,7 +238,7 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, num: int, den: int)
     pivots = salted.select("a", "salt").distinct().join(texts.withColumnRenamed("name", "a"), "a")
     pivots = pivots.withColumn("b", F.col("a")).withColumn("member", F.lit(False)).select(cols)
     rows = members.unionByName(pivots).repartition("a", "salt").sortWithinPartitions("a", "salt", "member")
-    return rows.mapInArrow(_verify_task(width, num, den), "a long, b long")
+    return map_arrow(rows, _verify_task(width, num, den), "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -281,10 +281,10 @@ def groups_of_similar(docs: DataFrame, width: int = 4, num: int = 85, den: int =
     spark = docs.sparkSession
     bands = Bands.of(num, den)
     rows = only(docs, "doc_id", "text").select(F.coalesce("doc_id", F.lit(LAST)).alias("doc_id"), "text")
-    sets = cut(rows.mapInArrow(_sets_task(width), "doc_id long, n_shingles long, name long"))
+    sets = cut(map_arrow(rows, _sets_task(width), "doc_id long, n_shingles long, name long"))
     classes = sets.where("n_shingles > 0").groupBy("name").agg(F.min("doc_id").alias("rep"))
-    signed = rows.mapInArrow(_signature_task(width, bands), "sig long, name long")
-    buckets = signed.repartition("sig").sortWithinPartitions("sig").mapInArrow(_bucket_task, "bucket long, name long")
+    signed = map_arrow(rows, _signature_task(width, bands), "sig long, name long")
+    buckets = map_arrow(signed.repartition("sig").sortWithinPartitions("sig"), _bucket_task, "bucket long, name long")
     buckets = cut(buckets.distinct())
     release(spark)
     wanted = buckets.select("name").distinct().join(classes, "name").withColumnRenamed("rep", "doc_id")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapeloom.llm.common import SPACES, cut, lower_ascii, only
+from tapeloom.llm.common import SPACES, cut, join_counted, lower_ascii, only
 
 LAST = (1 << 63) - 1
 
@@ -22,7 +22,7 @@ def drop_shared_lines(docs: DataFrame, min_chars: int = 10, min_docs: int = 2) -
 
     The lines are exploded once to 128-bit keys; documents per key are counted after a map-side combine, so
     a line in a third of all documents is one row per task in that shuffle. Only lines of shared keys that go travel
-    on, as positions; the join on the key is a plain equi-join, which adaptive execution splits where it is skewed.
+    on, as positions; keys with a large share of all lines are broadcast, the others joined by a shuffle.
     """
     rows = only(docs, "doc_id", "text").select(
         "doc_id",
@@ -35,14 +35,14 @@ def drop_shared_lines(docs: DataFrame, min_chars: int = 10, min_docs: int = 2) -
         "owner", "text_key", "pos", F.xxhash64("key").alias("k1"), F.xxhash64(F.lit(1), "key").alias("k2")
     )
     if min_docs <= 2:  # two different documents: their smallest and largest ids differ
-        shared = keys.groupBy("k1", "k2").agg(F.min("owner").alias("first"), F.max("owner").alias("last"))
+        shared = keys.groupBy("k1", "k2").agg(F.min("owner").alias("first"), F.max("owner").alias("last"), F.count("*").alias("n"))
         shared = shared.where("first < last" if min_docs == 2 else "true")
     else:
-        shared = keys.groupBy("k1", "k2", "owner").agg(F.lit(1).alias("one"))
-        shared = shared.groupBy("k1", "k2").agg(F.min("owner").alias("first"), F.count("one").alias("n"))
-        shared = shared.where(F.col("n") >= min_docs)
-    shared = shared.select("k1", "k2", "first")
-    gone = keys.join(shared, ["k1", "k2"]).where("owner != first")
+        shared = keys.groupBy("k1", "k2", "owner").agg(F.count("*").alias("lines"))
+        shared = shared.groupBy("k1", "k2").agg(F.min("owner").alias("first"), F.count("*").alias("docs"), F.sum("lines").alias("n"))
+        shared = shared.where(F.col("docs") >= min_docs)
+    shared = shared.select("k1", "k2", "first", "n")
+    gone = join_counted(keys, shared, ["k1", "k2"]).where("owner != first")
     gone = cut(gone.groupBy("owner", "text_key").agg(F.collect_set("pos").alias("gone")))
     lines = F.split("text", "\n", -1)
     out = rows.join(gone, ["owner", "text_key"], "left").select(

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from tapeloom.llm.common import only
+from tapeloom.llm.common import map_arrow, only
 
 WINDOW = 2048
 END_ID = 1
@@ -196,4 +196,4 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW) -> DataFrame:
         if found:
             yield _rows(found)
 
-    return only(docs, "doc_id", "text").mapInArrow(task, SCHEMA)
+    return map_arrow(only(docs, "doc_id", "text"), task, SCHEMA)

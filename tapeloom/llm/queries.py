@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeloom.llm import exact_dedup, jaccard_join, license_scan, line_dedup, mixing, packing, quality_rules, secret_scan, warc_shards
+from tapeloom.llm import exact_dedup, jaccard_join, license_scan, line_dedup, mixing, packing, quality_rules, secret_scan, toxicity, warc_shards
 from tapeloom.llm.common import scratch_path, table
 
 
@@ -38,6 +38,10 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -68,6 +72,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_warc_shards": op2_warc_shards,
         "op3_line_dedup": op3_line_dedup,
         "op4_license_scan": op4_license_scan,
+        "op5_toxicity": op5_toxicity,
         "op6_exact_dedup": op6_exact_dedup,
         "op7_packing": op7_packing,
         "op8_source_mixing": op8_source_mixing,

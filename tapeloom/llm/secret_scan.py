@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tapeloom.llm.common import cut, only, row_key
+from tapeloom.llm.common import cut, join_counted, only, row_key
 
 # Kinds and patterns, in the order in which they are listed.
 ASSIGN = r"""((?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY]))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -82,7 +82,7 @@ def find_secrets(docs: DataFrame, repository: str = "source", owner: str = "lang
     per repository and owner. Other columns are ignored. An empty table gives an empty result.
 
     Texts are read once; only candidates are shuffled. Counts are combined before each shuffle, and the join of
-    candidates with counts is an equi-join that adaptive execution splits where one value is everywhere.
+    candidates with counts broadcasts values with a large share of all candidates and shuffles the others.
     """
     rows = only(docs, "doc_id", "text", *dict.fromkeys((repository, owner)))
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -101,8 +101,8 @@ def find_secrets(docs: DataFrame, repository: str = "source", owner: str = "lang
     owned = owned.withColumns({c: F.to_json(F.struct(c)) for c in ("repository", "owner")})  # nulls count too
     by_repo = owned.groupBy("hash", "repository").agg(F.lit(1).alias("one")).groupBy("hash").agg(F.count("one").alias("n_repositories"))
     by_owner = owned.groupBy("hash", "owner").agg(F.lit(1).alias("one")).groupBy("hash").agg(F.count("one").alias("n_owners"))
-    counts = by_repo.join(by_owner, "hash")
-    told = each.join(counts, "hash").withColumn("live", (F.col("n_repositories") < copied) & (F.col("n_owners") < copied))
+    counts = by_repo.join(by_owner, "hash").join(each.groupBy("hash").agg(F.count("*").alias("n")), "hash")
+    told = join_counted(each, counts, ["hash"]).withColumn("live", (F.col("n_repositories") < copied) & (F.col("n_owners") < copied))
     told = told.groupBy("row").agg(
         F.collect_set(F.struct("span.*", "n_repositories", "n_owners", "live")).alias("told")
     )

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeloom.llm.common import cut, join_counted, only
+from tapeloom.llm.common import cut, join_counted, map_arrow, only
 
 #: Compressed bytes after which a file is rolled, and raw bytes that a shard should have.
 ROLL_BYTES, SHARD_BYTES = 64 << 20, 256 << 20
@@ -199,9 +199,10 @@ def write_warc(
     every = rows.select("page_id", "order", "digest", F.lit(0).alias("mark"), F.lit(None).cast("long").alias("refers_to"), "url", "html")
     every = every.unionByName(marks.withColumns({"url": F.lit(None).cast("string"), "html": F.lit(None).cast("string")}))
     every = every.select(F.lit(0).alias("shard"), *every.columns)
-    dealt = every.mapInArrow(numbered, every.schema).repartition(len(bounds) + 1, "shard")
+    dealt = map_arrow(every, numbered, every.schema).repartition(len(bounds) + 1, "shard")
     dealt = dealt.sortWithinPartitions("shard", "order", "digest", F.col("mark").desc(), "url")
-    manifest = dealt.select("shard", "page_id", "digest", "mark", "refers_to", "url", "html").mapInArrow(_write_task(root, roll_bytes), MANIFEST)
+    dealt = dealt.select("shard", "page_id", "digest", "mark", "refers_to", "url", "html")
+    manifest = map_arrow(dealt, _write_task(root, roll_bytes), MANIFEST)
     manifest.write.parquet(f"{root}/_manifest")
     return spark.read.parquet(f"{root}/_manifest")
 
@@ -263,4 +264,4 @@ def read_warc(spark: SparkSession, root: str, with_payload: bool = True) -> Data
     files = files.withColumn("file", F.element_at(F.split("path", "/"), -1)).join(manifest.select("file"), "file", "left_semi")
     if not manifest.limit(1).count():
         return spark.createDataFrame([], RECORDS)
-    return files.select("content").mapInArrow(_parse_task(with_payload), RECORDS)
+    return map_arrow(files.select("content"), _parse_task(with_payload), RECORDS)
