@@ -24,7 +24,7 @@ PRECISION = 0.75
 #: Words that one Python worker remembers the features of.
 REMEMBERED = 500_000
 WORD = re.compile(r"[^\W\d_]+")
-PATTERNS = ("shouting", "exclaiming", "symbols", "repeating", "two hits", "three hits", "dense hits")
+PATTERNS = ("shouting", "exclaiming", "symbols", "repeating", "two hits", "three hits", "sparse", "dense", "very dense")
 
 
 def tokens_of(word: str) -> list[str]:
@@ -42,7 +42,9 @@ def patterns_of(text: str, words: list[str], hits: int) -> tuple[bool, ...]:
         len(words) >= 20 and len(set(words)) * 4 < n,
         hits >= 2,
         hits >= 3,
-        hits >= 1 and hits * 60 >= n,
+        hits * 400 < n and hits >= 1,
+        hits * 120 >= n,
+        hits * 40 >= n,
     )
 
 
