@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapeloom.llm.common import join_counted, map_arrow, only
+from tapeloom.llm.common import cut, join_counted, map_arrow, only
 
 #: Bytes of content that one table may hold, and the number of spill files of one level.
 TABLE_BYTES = 64 << 20
@@ -165,11 +165,11 @@ def drop_copies(docs: DataFrame) -> DataFrame:
 
     Of several rows with one doc_id and one text, one stays.
     """
-    groups = exact_groups(docs).where("kept").select("doc_id", "text_sha256").distinct()
+    groups = exact_groups(docs).where("kept").groupBy("doc_id", "text_sha256").agg(F.count("*").alias("rows"))
+    stay = cut(groups.select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__want"), "rows"))
     tagged = docs.withColumn("__sha", F.sha2(F.coalesce(F.col("`text`"), F.lit("")), 256))
-    first = tagged.join(
-        groups.select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__want")),
-        F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__sha") == F.col("__want")),
-        "left_semi",
-    )
-    return first.dropDuplicates(["doc_id", "__sha"]).drop("__sha")
+    same = F.col("`doc_id`").eqNullSafe(F.col("__id")) & (F.col("__sha") == F.col("__want"))
+    kept = tagged.join(stay.drop("rows"), same, "left_semi")
+    if stay.where("rows > 1").limit(1).count():
+        kept = kept.dropDuplicates(["doc_id", "__sha"])
+    return kept.drop("__sha")

@@ -63,7 +63,7 @@ def mix(
     quality: Column | None = None,
     seed: int = 17,
 ) -> DataFrame:
-    """doc_id, size, source_size, target, taken for each row of ``docs``.
+    """doc_id, size, source_size, target, taken, row for each row of ``docs``; row is a hash of doc_id and text.
 
     size is the number of words; taken is the number of words that the mix takes from the row, repeats counted. A
     source gives floor(target / source_size) complete epochs first. The rest of its target is filled in the order of
@@ -81,7 +81,7 @@ def mix(
         "doc_id",
         "source",
         F.size(words(F.col("text"), NOT_SPACE)).cast("long").alias("size"),
-        F.xxhash64("doc_id", text, F.lit(seed)).alias("h"),
+        row_hash(seed).alias("h"),
         (text_quality(text) if quality is None else quality).alias("quality"),
     )
     u = (F.shiftrightunsigned("h", 11).cast("double") + 0.5) / float(1 << 53)
@@ -101,5 +101,26 @@ def mix(
     rest = F.round(F.col("target") - epochs * F.col("source_size")).cast("long")
     part = F.greatest(F.lit(0).cast("long"), F.least("size", rest - F.col("before") - F.col("within")))
     return joined.select(
-        "doc_id", "size", "source_size", "target", (epochs * F.col("size") + part).cast("long").alias("taken")
+        "doc_id",
+        "size",
+        "source_size",
+        "target",
+        (epochs * F.col("size") + part).cast("long").alias("taken"),
+        F.col("h").alias("row"),
     )
+
+
+def row_hash(seed: int = 17) -> Column:
+    return F.xxhash64(F.col("`doc_id`"), F.coalesce(F.col("`text`"), F.lit("")), F.lit(seed))
+
+
+def repeat_mixed(docs: DataFrame, **mixing) -> DataFrame:
+    """The rows of ``docs``, with all their columns, as often as the mix takes them: taken words over size, rounded.
+
+    Rows without words, of which nothing can be taken, stay once.
+    """
+    times = F.when(F.col("size") == 0, 1).otherwise(F.floor(F.col("taken") / F.col("size") + 0.5))
+    plan = mix(docs, **mixing).groupBy("row").agg(F.sum(times).cast("int").alias("__times"))
+    once = docs.withColumn("__row", row_hash()).dropDuplicates(["__row"])
+    out = once.join(plan.withColumnRenamed("row", "__row").where("__times > 0"), "__row")
+    return out.withColumn("__each", F.explode(F.array_repeat(F.lit(1), F.col("__times")))).select(*[F.col(f"`{c}`") for c in docs.columns])
