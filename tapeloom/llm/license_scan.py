@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tapeloom.llm.common import lower_ascii, only, row_key, words
+from tapeloom.llm.common import cut, lower_ascii, only, row_key, words
 
 LICENSE_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -68,8 +68,10 @@ def license_spans(docs: DataFrame, coverage: float = 0.75, drift: int = 2) -> tu
     grams = rows.where(F.size("w") >= K).select("row", F.inline(F.transform(F.sequence(F.lit(0), F.size("w") - K), gram)))
     t = template_grams(docs.sparkSession)
     hits = grams.join(F.broadcast(t), "gram").where("w0 = t0 AND w1 = t1").withColumn("diagonal", F.col("at") - F.col("place"))
-    votes = hits.groupBy("row", "template", "label", "exact", "n_grams", "diagonal").agg(
-        F.collect_set("place").alias("places"), F.min("at").alias("first"), (F.max("at") + K - 1).alias("last")
+    votes = cut(
+        hits.groupBy("row", "template", "label", "exact", "n_grams", "diagonal").agg(
+            F.collect_set("place").alias("places"), F.min("at").alias("first"), (F.max("at") + K - 1).alias("last")
+        )
     )
     phrases = votes.where("exact AND size(places) = n_grams").select(
         "row", "label", "exact", "first", "last", F.lit(1.0).alias("score")
