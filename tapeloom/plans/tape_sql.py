@@ -1,7 +1,7 @@
 """The tape and its bars in plain SQL, as common table expressions for the twins of the registered queries."""
 
 TAPE = """
-ev AS (SELECT user_id % 4 AS instrument, epoch_ms(ts) AS ts_ms, event_id AS trade_id,
+ev AS (SELECT user_id % 4 AS instrument, epoch_us(ts) // 1000 AS ts_ms, event_id AS trade_id,
   CAST(round(value * 100000000) AS BIGINT) AS price, CAST(json_extract(props, '$.k') AS BIGINT) AS qty,
   CASE WHEN event_type IN ('purchase', 'click', 'signup') THEN 'buy' ELSE 'sell' END AS aggressor, event_type FROM events),
 trades AS (SELECT instrument, ts_ms, trade_id, price, qty, aggressor FROM ev WHERE event_type <> 'error' AND qty > 0),
