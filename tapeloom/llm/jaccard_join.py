@@ -9,10 +9,10 @@ from math import ceil, sqrt
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapeloom.llm.common import cut, map_arrow, only, release
+from tapeloom.llm.common import cut, map_arrow, only, release, remove, stored
 from tapeloom.llm.shingles import HASH_MASK, U, bounds, chunks, distinct_shingles, mix, set_names
 
 #: Names of sets that one task remembers, to give each set's signatures once; and of groups of equal buckets.
@@ -192,53 +192,118 @@ def _bucket_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield out
 
 
-def _verify_task(width: int, num: int, den: int):
+def links_within(sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
+    """Links among sorted sets that join different components; every pair is compared, by an inverted index of the group."""
+    n = len(sets)
+    size = np.array([len(x) for x in sets])
+    x = np.concatenate(sets)
+    own = np.repeat(np.arange(n), size)
+    order = np.argsort(x, kind="stable")
+    new = np.append(True, x[order][1:] != x[order][:-1])
+    run = np.empty(len(x), np.int64)
+    run[order] = np.cumsum(new) - 1
+    begin = np.flatnonzero(new)
+    length = np.diff(np.append(begin, len(x)))
+    holder = own[order]
+    root, found = list(range(n)), []
+
+    def top(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    first = np.cumsum(size) - size
+    for j in range(1, n):
+        r = run[first[j] : first[j] + size[j]]
+        k = length[r]
+        r, k = r[k > 1], k[k > 1]
+        if not len(r):
+            continue
+        at = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k) + np.repeat(begin[r], k)
+        both = np.bincount(holder[at], minlength=n)[:j]
+        for i in np.flatnonzero(both * den >= (size[:j] + size[j] - both) * num):
+            a, b = top(int(i)), top(j)
+            if a != b:
+                root[a] = b
+                found.append((int(i), j))
+    return found
+
+
+def _compare_task(width: int, num: int, den: int):
+    """Rows sorted by group and part -> the links of each part, whose members are held together."""
+
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pivot, group = None, None
+        names: list[int] = []
+        sets: list[np.ndarray] = []
+        group = None
+
+        def told() -> list[tuple[int, int]]:
+            return [(names[i], names[j]) for i, j in links_within(sets, num, den)] if len(sets) > 1 else []
+
         for batch in batches:
-            a, salt = batch.column("a").to_numpy(), batch.column("salt").to_numpy()
-            member, b = batch.column("member").to_numpy(zero_copy_only=False), batch.column("b").to_numpy()
+            keys_of = list(zip(batch.column("bucket").to_pylist(), batch.column("part").to_pylist(), strict=True))
+            wanted = batch.column("name").to_numpy()
             out: list[tuple[int, int]] = []
-            for first, offsets, data in chunks(batch.column("text")):
+            for begin, offsets, data in chunks(batch.column("text")):
                 keys = distinct_shingles(offsets, data, width)
                 at = bounds(keys, len(offsets) - 1)
-                names = set_names(keys, at).view(np.int64)
+                found = set_names(keys, at).view(np.int64)
                 for i in range(len(offsets) - 1):
-                    k = first + i
-                    if names[i] != b[k]:
+                    k = begin + i
+                    if found[i] != wanted[k]:
                         continue  # another text under the same doc_id
-                    x = keys[at[i] : at[i + 1]] & HASH_MASK
-                    if not member[k]:
-                        pivot, group = x, (a[k], salt[k])
-                    elif group == (a[k], salt[k]):
-                        small, large = (x, pivot) if len(x) < len(pivot) else (pivot, x)
-                        if len(small) * den < len(large) * num:
-                            continue
-                        where = np.minimum(np.searchsorted(large, small), len(large) - 1)
-                        both = int((large[where] == small).sum())
-                        if both * den >= (len(x) + len(pivot) - both) * num:
-                            out.append((int(a[k]), int(b[k])))
+                    if keys_of[k] != group:
+                        out += told()
+                        names, sets, group = [], [], keys_of[k]
+                    names.append(int(wanted[k]))
+                    sets.append((keys[at[i] : at[i + 1]] & HASH_MASK).copy())
             if out:
-                one, two = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(one, pa.int64()), pa.array(two, pa.int64())], ["a", "b"])
+                yield _edges(out)
+        if out := told():
+            yield _edges(out)
 
     return task
 
 
-def verified(pairs: DataFrame, texts: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) of names whose sets are similar enough, by their complete texts.
+def _edges(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    one, two = zip(*found, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(one, pa.int64()), pa.array(two, pa.int64())], ["a", "b"])
+
 
-    Each member's text goes to its pivot's task, where the pivot's set is held and members stream past. The members
-    of one pivot are dealt over salts, so a pivot of a third of all pairs is many small groups.
+#: Sets, and shingles, of a group that are compared in one task; larger groups are split into pairs of blocks.
+GROUP_SETS, GROUP_SHINGLES = 1000, 2_000_000
+
+
+def comparison_parts(buckets: DataFrame, classes: DataFrame) -> DataFrame:
+    """(bucket, part, name): groups in which all pairs are to be compared so that each pair of a bucket is.
+
+    Buckets that share sets are taken together, so that each set is compared once, where that makes a group of no more
+    than GROUP_SETS sets and GROUP_SHINGLES shingles; otherwise each bucket is a group. A bucket beyond that size is
+    dealt into blocks by a hash, and each two blocks are a part: every two of its sets meet in some part.
     """
-    salts = max(1, pairs.count() // 1000)
-    salted = pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(salts)).alias("salt"))
-    cols = ["a", "salt", "member", "b", "text"]
-    members = salted.join(texts.withColumnRenamed("name", "b"), "b").withColumn("member", F.lit(True)).select(cols)
-    pivots = salted.select("a", "salt").distinct().join(texts.withColumnRenamed("name", "a"), "a")
-    pivots = pivots.withColumn("b", F.col("a")).withColumn("member", F.lit(False)).select(cols)
-    rows = members.unionByName(pivots).repartition("a", "salt").sortWithinPartitions("a", "salt", "member")
-    return map_arrow(rows, _verify_task(width, num, den), "a long, b long")
+    least = buckets.groupBy("bucket").agg(F.min("name").alias("a"))
+    stars = buckets.join(least, "bucket").where("a != name").select("a", F.col("name").alias("b")).distinct()
+    family = components(stars).join(classes.select("name", "n_shingles"), "name")
+    size = family.groupBy("comp").agg(F.count("*").alias("sets"), F.sum("n_shingles").alias("shingles"))
+    small = (F.col("sets") <= GROUP_SETS) & (F.col("shingles") <= GROUP_SHINGLES)
+    family = cut(family.join(size.select("comp", small.alias("small")), "comp"))
+    whole = family.where("small").select(F.col("comp").alias("bucket"), F.lit(0).cast("long").alias("part"), "name")
+    large = buckets.join(family.where("NOT small").select("name", "n_shingles"), "name")
+    blocks = large.groupBy("bucket").agg(
+        F.ceil(F.greatest(F.count("*") / GROUP_SETS, F.sum("n_shingles") / GROUP_SHINGLES)).alias("blocks")
+    )
+    large = large.join(blocks, "bucket").withColumn("block", F.pmod(F.xxhash64("name"), F.col("blocks")))
+    other = F.filter(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda c: (c != F.col("block")) | (F.col("blocks") == 1))
+    large = large.withColumn("other", F.explode(other))
+    part = F.least("block", "other") * F.col("blocks") + F.greatest("block", "other")
+    return whole.unionByName(large.select("bucket", part.alias("part"), "name"))
+
+
+def compared(parts: DataFrame, texts: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """Links (a, b) of names whose sets are similar enough, by their complete texts; of each part a spanning forest."""
+    rows = parts.join(texts, "name").repartition("bucket", "part").sortWithinPartitions("bucket", "part")
+    return map_arrow(rows.select("bucket", "part", "name", "text"), _compare_task(width, num, den), "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -247,23 +312,23 @@ def components(edges: DataFrame) -> DataFrame:
     Labels move along edges and then jump to their label's label, until none changes. Every step is an aggregate
     with a map-side combine and equi-joins, so a name with very many edges is no bottleneck.
     """
-    both = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("name"), F.least("a", "m").alias("comp")))
+    spark = edges.sparkSession
+    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    both, edge_path = stored(both, "edges")
+    labels, path = stored(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("name"), F.least("a", "m").alias("comp")), "labels")
     while True:
         near = both.join(labels, F.col("b") == F.col("name")).groupBy("a").agg(F.min("comp").alias("near"))
         moved = labels.join(near, F.col("name") == F.col("a")).select("name", F.col("comp").alias("old"), F.least("comp", "near").alias("mid"))
         jump = labels.select(F.col("name").alias("mid"), F.col("comp").alias("far"))
-        moved = cut(moved.join(jump, "mid").select("name", "old", F.least("mid", "far").alias("comp")))
+        moved, new_path = stored(moved.join(jump, "mid").select("name", "old", F.least("mid", "far").alias("comp")), "labels")
         changed = moved.where("old != comp").limit(1).count()
-        labels = moved.select("name", "comp")
+        remove(spark, path)
+        labels, path = moved.select("name", "comp"), new_path
         if not changed:
+            remove(spark, edge_path)
             return labels
 
 
-def _mixed(c: str) -> Column:
-    return F.xxhash64(c)
-
-
 def groups_of_similar(docs: DataFrame, width: int = 4, num: int = 85, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of ``docs``.
 
@@ -273,48 +338,27 @@ def groups_of_similar(docs: DataFrame, width: int = 4, num: int = 85, den: int =
     smallest doc_id that links reach. Rows that share a doc_id are different documents with one name. Null doc_ids
     come last; a component of theirs alone has a null id. Other columns are ignored.
 
-    Equal sets become one class first. Classes that share a signature are in one bucket. In each bucket one class
-    is compared with all others (a star, not all pairs); classes that the links found so far already connect need no further
-    comparison. Buckets that still hold several components are compared with a second pivot, and in the end each pair of different
-    components in a bucket that has not been compared is. So no link that could join two components is lost.
+    Equal sets become one class first. Classes that share a signature are in one bucket. All classes of a bucket, or
+    of a family of buckets, are compared with each other inside a task, whose size is bounded; only links that join
+    components leave it, never the pairs. So no link that could join two components is lost.
     """
     spark = docs.sparkSession
     bands = Bands.of(num, den)
     rows = only(docs, "doc_id", "text").select(F.coalesce("doc_id", F.lit(LAST)).alias("doc_id"), "text")
     sets = cut(map_arrow(rows, _sets_task(width), "doc_id long, n_shingles long, name long"))
-    classes = sets.where("n_shingles > 0").groupBy("name").agg(F.min("doc_id").alias("rep"))
+    classes = sets.where("n_shingles > 0").groupBy("name").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n_shingles"))
+    classes = cut(classes)
     signed = map_arrow(rows, _signature_task(width, bands), "sig long, name long")
     buckets = map_arrow(signed.repartition("sig").sortWithinPartitions("sig"), _bucket_task, "bucket long, name long")
     buckets = cut(buckets.distinct())
     release(spark)
-    wanted = buckets.select("name").distinct().join(classes, "name").withColumnRenamed("rep", "doc_id")
+    wanted = buckets.select("name").distinct().join(classes.select("name", F.col("rep").alias("doc_id")), "name")
     texts = cut(rows.join(wanted, "doc_id").select("name", "text").where("text IS NOT NULL"))
     release(spark)
-
-    edges, tested, comp = None, None, None
-    for turn in ("first", "second", "rest"):
-        if comp is None:
-            open_rows = buckets.withColumn("comp", F.col("name"))
-        else:
-            open_rows = buckets.join(comp, "name", "left").withColumn("comp", F.coalesce("comp", "name"))
-            mixed_up = open_rows.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi")
-            open_rows = cut(open_rows.join(mixed_up.select("bucket"), "bucket"))
-        if turn == "rest":
-            other = open_rows.select("bucket", F.col("name").alias("b"), F.col("comp").alias("other"))
-            pairs = open_rows.withColumnRenamed("name", "a").join(other, "bucket").where("comp != other AND a < b")
-        else:
-            pick = F.min_by if turn == "first" else F.max_by
-            pivot = open_rows.groupBy("bucket").agg(pick(F.struct("name", "comp"), _mixed("name")).alias("pivot"))
-            pairs = open_rows.join(pivot, "bucket").where("comp != pivot.comp")
-            pairs = pairs.select(F.col("pivot.name").alias("a"), F.col("name").alias("b"))
-        pairs = pairs.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"), "a", "b")
-        pairs = pairs.groupBy("x", "y").agg(F.min(F.struct("a", "b")).alias("p")).select("x", "y", "p.a", "p.b")
-        pairs = cut(pairs if tested is None else pairs.join(tested, ["x", "y"], "left_anti"))
-        found = cut(verified(pairs.select("a", "b"), texts, width, num, den))
-        edges = found if edges is None else edges.unionByName(found)
-        tested = pairs.select("x", "y") if tested is None else tested.unionByName(pairs.select("x", "y"))
-        comp = components(edges)
-        release(spark)
+    parts = cut(comparison_parts(buckets, classes))
+    edges = cut(compared(parts, texts, width, num, den))
+    release(spark)
+    comp = components(edges)
     names = classes.join(comp, "name", "left").withColumn("comp", F.coalesce("comp", "name"))
     least = names.groupBy("comp").agg(F.min("rep").alias("component_id"))
     names = cut(names.join(least, "comp").select("name", "component_id"))
