@@ -4,7 +4,7 @@
 def plain(v):
     if v is None or str(v) in ("nan", "NaT", "<NA>"):
         return "null"
-    if isinstance(v, bool) or type(v).__name__ == "bool_":
+    if type(v).__name__ in ("bool", "bool_"):
         return str(bool(v))
     try:
         f = float(v)
