@@ -22,7 +22,7 @@ from tapeloom.llm.common import cut, join_counted, map_arrow, only
 
 #: Compressed bytes after which a file is rolled, and raw bytes that a shard should have.
 ROLL_BYTES, SHARD_BYTES = 64 << 20, 256 << 20
-#: Keys of a fixed sample from which shard bounds are taken.
+#: Keys of a fixed sample from which shard bounds are taken, at least; 16 for each shard if that is more.
 BOUNDS_SAMPLE = 4096
 DATE = "2024-01-01T00:00:00Z"
 LEAST = -(1 << 63)
@@ -155,7 +155,7 @@ def _bounds(keys: DataFrame, shards: int) -> list[int]:
     """shards - 1 bounds of page_id: quantiles of the keys with the smallest hashes, the same in every run."""
     if shards < 2:
         return []
-    least = keys.select("page_id", F.xxhash64("page_id").alias("h")).orderBy("h", "page_id").limit(BOUNDS_SAMPLE)
+    least = keys.select("page_id", F.xxhash64("page_id").alias("h")).orderBy("h", "page_id").limit(max(BOUNDS_SAMPLE, 16 * shards))
     ids = sorted(r[0] for r in least.select("page_id").collect())
     return sorted({ids[k * len(ids) // shards] for k in range(1, shards)}) if ids else []
 
