@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 
@@ -15,9 +16,10 @@ from tapeloom.llm.common import map_arrow, only
 WINDOW = 2048
 END_ID = 1
 #: Pieces of the parts that don't fill a window; the windows of one differencing; tokens left free per window.
-PIECE, GROUP_WINDOWS, FREE = 256, 64, 4
-#: Words that one Python worker remembers the ids of.
-REMEMBERED = 500_000
+PIECE, GROUP_WINDOWS, FREE = 256, 32, 16
+#: Words that one Python worker remembers the ids of; texts whose new words are encoded together.
+REMEMBERED, TEXTS = 1_000_000, 256
+PUNCTUATION = frozenset((b".", b",", b";", b":", b"!", b"?"))
 
 _encoders: dict[str, Encoder] = {}
 
@@ -30,27 +32,30 @@ class Encoder:
     """
 
     def __init__(self, path: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
 
-    def encode(self, text: str) -> bytes:
-        words = text.encode("utf-8", "replace").lower().split()
+    def encode(self, texts: list[str]) -> list[bytes]:
+        words = [t.encode("utf-8", "replace").lower().split() for t in texts]
         known = self.known
-        try:
-            return b"".join(map(known.__getitem__, words))
-        except KeyError:
-            pass
-        if len(known) > REMEMBERED:
+        every = set().union(*words)
+        if len(known) + len(every) > REMEMBERED:
             known.clear()
-        new = list({w for w in words if w not in known})
-        for at in range(0, len(new), 2000):
-            part = new[at : at + 2000]
+        unseen = every.difference(known)
+        # letters and one punctuation mark behind them are two words to the tokenizer
+        pairs = [w for w in unseen if w[-1:] in PUNCTUATION and w[:-1].decode().isalpha()]
+        new = list(unseen.difference(pairs).union(w[:-1] for w in pairs).union(PUNCTUATION).difference(known))
+        for at in range(0, len(new), 5000):
+            part = new[at : at + 5000]
             encoded = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
             for w, e in zip(part, encoded, strict=True):
                 known[w] = np.array(e.ids, "<u4").tobytes()
-        return b"".join(map(known.__getitem__, words))
+        for w in pairs:
+            known[w] = known[w[:-1]] + known[w[-1:]]
+        return [b"".join(map(known.__getitem__, w)) for w in words]
 
 
 def encoder(path: str) -> Encoder:
@@ -185,13 +190,16 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW) -> DataFrame:
         packer, enc, found, size = _Packer(window, TaskContext.get().partitionId() << 33), encoder(tokenizer), [], 0
         end = np.array([END_ID], "<u4").tobytes()
         for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                for row in packer.add(doc_id, enc.encode(text.as_py() or "") + end):
-                    found.append(row)
-                    size += len(row[3])
-                if size > (4 << 20) or len(found) > 20_000:
-                    yield _rows(found)
-                    found, size = [], 0
+            for at in range(0, batch.num_rows, TEXTS):
+                part = batch.slice(at, TEXTS)
+                texts = [t or "" for t in part.column("text").to_pylist()]
+                for doc_id, ids in zip(part.column("doc_id").to_pylist(), enc.encode(texts), strict=True):
+                    for row in packer.add(doc_id, ids + end):
+                        found.append(row)
+                        size += len(row[3])
+                    if size > (4 << 20) or len(found) > 20_000:
+                        yield _rows(found)
+                        found, size = [], 0
         found += packer.close()
         if found:
             yield _rows(found)
