@@ -82,14 +82,19 @@ class Features:
         return [*sorted(found), *[n + k for k, on in enumerate(patterns_of(text, words, hits)) if on]]
 
 
-def fit_rows(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS) -> DataFrame:
-    """doc_id, text, toxic of the rows that may be learned from: at most ``most`` labelled documents of each class.
+def learnable(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, toxic of all labelled documents that may be learned from.
 
     A document with several labels is toxic if one says so; null labels and null doc_ids count as none.
     """
     known = only(labels, "doc_id", "toxic").where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
-    known = known.join(only(docs, "doc_id").distinct(), "doc_id", "left_semi").withColumn("h", F.xxhash64("doc_id"))
+    return known.join(only(docs, "doc_id").distinct(), "doc_id", "left_semi")
+
+
+def fit_rows(docs: DataFrame, known: DataFrame, most: int = FIT_ROWS) -> DataFrame:
+    """doc_id, text, toxic of at most ``most`` documents of each class of ``known``."""
+    known = known.withColumn("h", F.xxhash64("doc_id"))
     some = [known.where(F.col("toxic") == k).orderBy("h", "doc_id").limit(most) for k in (0, 1)]
     chosen = F.broadcast(some[0].unionByName(some[1]).drop("h"))  # at most 2 * most rows
     return cut(only(docs, "doc_id", "text").join(chosen, "doc_id").dropDuplicates(["doc_id"]))
@@ -114,7 +119,10 @@ def _count_tokens(tokens: set[str] | None):
 
 
 def surprise(a: int, b: int, n1: int, n0: int) -> float:
-    """Log likelihood ratio statistic of a of n1 against b of n0; 0 if a is no larger a share than b."""
+    """Log likelihood ratio statistic of a of n1 against b of n0; 0 if a is no larger a share than b.
+
+    It compares shares within the classes, so a and b are counts of rows that were seen, whatever the classes' ratio is.
+    """
     if a * n0 <= b * n1:
         return 0.0
     p = (a + b) / (n1 + n0)
@@ -122,12 +130,13 @@ def surprise(a: int, b: int, n1: int, n0: int) -> float:
     return 2 * sum(x * float(np.log(x / e)) for x, e in parts if x > 0)
 
 
-def learn_lexicon(rows: DataFrame, most: int = LEXICON, least_surprise: float = 27.0) -> list[tuple[str, float]]:
+def learn_lexicon(rows: DataFrame, sizes: dict[int, int], most: int = LEXICON, least_surprise: float = 27.0) -> list[tuple[str, float]]:
     """Tokens that toxic texts hold more often than chance among a million tokens explains,
-    and other texts hardly ever; most surprising first."""
+    and other texts hardly ever; most surprising first. ``sizes`` are the rows of each class that ``rows`` were taken from."""
     n = {r[0]: r[1] for r in rows.groupBy("toxic").count().collect()}
     if not n.get(1):
         return []
+    w1, w0 = (sizes.get(k, 0) / max(n.get(k, 0), 1) for k in (1, 0))
     found = map_arrow(rows.where("toxic = 1").select("text"), _count_tokens(None), "token string, n long")
     found = found.groupBy("token").agg(F.sum("n").alias("toxic"))
     least = min(MIN_ROWS, max(2, n[1] // 4))
@@ -138,14 +147,14 @@ def learn_lexicon(rows: DataFrame, most: int = LEXICON, least_surprise: float =
     scored = []
     for t, a in best.items():
         g = surprise(a, other[t], n[1], n.get(0, 0))
-        if g > least_surprise and a >= PRECISION * (a + other[t]):
+        if g > least_surprise and a * w1 >= PRECISION * (a * w1 + other[t] * w0):
             scored.append((t, g))
     scored.sort(key=lambda x: (-x[1], x[0]))
     return scored[:most]
 
 
-def label_model(votes: np.ndarray, first: np.ndarray, trusted: list[int], steps: int = 10) -> np.ndarray:
-    """Posterior of the toxic class from votes (rows x voters; 1 toxic, -1 not, 0 abstains).
+def label_model(votes: np.ndarray, first: np.ndarray, trusted: list[int], mass: np.ndarray, steps: int = 10) -> np.ndarray:
+    """Posterior of the toxic class from votes (rows x voters; 1 toxic, -1 not, 0 abstains); a row counts ``mass`` times.
 
     EM over two classes: each voter has, per class, a probability of each of its three votes (its accuracy). ``first`` are
     the first posteriors. Correlations: given the posteriors, the voters' residuals are correlated, and a voter's
@@ -155,13 +164,14 @@ def label_model(votes: np.ndarray, first: np.ndarray, trusted: list[int], steps:
     kinds = np.stack([(votes == v).astype(float) for v in (-1, 0, 1)], axis=2)
     post = first.astype(float)
     for _ in range(steps):
-        prior = np.clip(post.mean(), 1e-3, 1 - 1e-3)
-        p1 = (np.tensordot(post, kinds, 1) + 0.5) / (post.sum() + 1.5)
-        p0 = (np.tensordot(1 - post, kinds, 1) + 0.5) / ((1 - post).sum() + 1.5)
+        toxic, other = mass * post, mass * (1 - post)
+        prior = np.clip(toxic.sum() / mass.sum(), 1e-3, 1 - 1e-3)
+        p1 = (np.tensordot(toxic, kinds, 1) + 0.5) / (toxic.sum() + 1.5)
+        p0 = (np.tensordot(other, kinds, 1) + 0.5) / (other.sum() + 1.5)
         expected = post[:, None] * (p1 @ np.array([-1, 0, 1.0])) + (1 - post)[:, None] * (p0 @ np.array([-1, 0, 1.0]))
         rest = votes - expected
-        spread = np.sqrt((rest**2).mean(axis=0)) + 1e-6
-        corr = np.abs((rest.T @ rest) / len(votes) / np.outer(spread, spread))
+        spread = np.sqrt(mass @ rest**2 / mass.sum()) + 1e-6
+        corr = np.abs((rest.T @ (mass[:, None] * rest)) / mass.sum() / np.outer(spread, spread))
         np.fill_diagonal(corr, 1.0)
         corr[corr < 0.05] = 0
         told = corr.sum(axis=1)
@@ -171,18 +181,18 @@ def label_model(votes: np.ndarray, first: np.ndarray, trusted: list[int], steps:
     return post
 
 
-def linear(rows: list[list[int]], width: int, target: np.ndarray, steps: int = 300, penalty: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Logistic regression on presence features with soft targets, the rarer class of more weight, by Adam."""
+def linear(rows: list[list[int]], width: int, target: np.ndarray, mass: np.ndarray, steps: int = 300, penalty: float = 1e-4) -> tuple[np.ndarray, float]:
+    """Logistic regression on presence features with soft targets, the rarer class of more weight, by Adam; a row counts ``mass`` times."""
     x = np.zeros((len(rows), width), np.float32)
     for k, on in enumerate(rows):
         x[k, on] = 1
-    share = float(np.clip(target.mean(), 1e-3, 1 - 1e-3))
+    share = float(np.clip(mass @ target / mass.sum(), 1e-3, 1 - 1e-3))
     weight = target / (2 * share**0.5) + (1 - target) / (2 * (1 - share) ** 0.5)
     w, b = np.zeros(width), 0.0
     m, v = np.zeros(width + 1), np.zeros(width + 1)
     for t in range(1, steps + 1):
         p = 1 / (1 + np.exp(-np.clip(x @ w + b, -30, 30)))
-        r = weight * (p - target) / len(rows)
+        r = mass * weight * (p - target) / mass.sum()
         g = np.append(x.T @ r + penalty * w, r.sum())
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         move = 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
@@ -203,18 +213,25 @@ def _features_task(lexicon: list[str]):
 def fit(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS) -> tuple[list[str], list[float], float]:
     """(lexicon, weights of its tokens and of the patterns, intercept). Everything is learned from fit_rows().
 
+    Of a class with more than ``most`` rows each fitted row stands for several, so that the classes keep the ratio they have
+    over all labelled rows: in the precision asked of a token, the label model's prior and the classifier's intercept.
+
     Tokens are dealt in turn to VOTERS lexicon voters: each votes toxic for a text that holds one of its tokens and not
     toxic for one that holds no token at all, else it abstains. Pattern voters vote toxic or abstain. The given label
     is the last voter. The label model turns the votes into posterior labels, and the linear classifier is trained on these.
     """
-    rows = fit_rows(docs, labels, most)
-    scored = learn_lexicon(rows)
+    known = learnable(docs, labels)
+    sizes = {r[0]: r[1] for r in known.groupBy("toxic").count().collect()}
+    rows = fit_rows(docs, known, most)
+    scored = learn_lexicon(rows, sizes)
     if not scored:
         return [], [], -30.0
     lexicon = [t for t, _ in scored]
     got = map_arrow(rows.select("toxic", "text"), _features_task(lexicon), "toxic int, features array<int>").collect()  # 2 * most rows
     on, gold = [r["features"] for r in got], np.array([r["toxic"] for r in got], float)
     n, width = len(lexicon), len(lexicon) + len(PATTERNS)
+    mass = np.where(gold == 1, sizes.get(1, 0) / max(gold.sum(), 1), sizes.get(0, 0) / max((1 - gold).sum(), 1))
+    mass /= mass.mean()
     voters = min(VOTERS, max(3, n // 8))
     votes = np.zeros((len(on), voters + len(PATTERNS) + 1))
     votes[:, -1] = 2 * gold - 1
@@ -224,8 +241,8 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS) -> tuple[list[
         for f in features:
             if f >= n:
                 votes[k, voters + f - n] = 1
-    target = label_model(votes, gold * 0.98 + 0.01, [votes.shape[1] - 1])
-    w, b = linear(on, width, target)
+    target = label_model(votes, gold * 0.98 + 0.01, [votes.shape[1] - 1], mass)
+    w, b = linear(on, width, target, mass)
     return lexicon, [float(x) for x in w], float(b)
 
 

@@ -131,6 +131,35 @@ def test_toxicity_ignores_held_out_labels(spark, make):
     assert a == b
 
 
+def test_toxicity_keeps_the_ratio_of_the_classes(spark, make):
+    """``loose`` is in 7 of 10 toxic texts and in 1 of 12 others; with 1 toxic text in 12 fewer than half of its texts are toxic."""
+    rng = random.Random(3)
+    texts, toxic = [], []
+    for i in range(1800):
+        bad = i % 12 == 0
+        w = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(12)]
+        w += ["vilemark"] * (bad and rng.random() < 0.6) + ["loose"] * (rng.random() < (0.7 if bad else 1 / 12))
+        texts.append(" ".join(w))
+        toxic.append(int(bad))
+    docs, labels = make(texts), spark.createDataFrame([(i, 1, t) for i, t in enumerate(toxic)], "doc_id long, quality long, toxic long")
+    for most in (110, 6000):  # 110 rows of each class, and all rows
+        lexicon = toxicity.fit(docs, labels, most)[0]
+        assert "vilemark" in lexicon and "loose" not in lexicon
+        out = toxicity.toxicity(docs, labels, most).collect()
+        assert sum(r.predicted and not toxic[r.doc_id] for r in out) <= 0.01 * len(out)
+
+
+def test_a_row_that_counts_more_is_as_many_rows():
+    rng = np.random.default_rng(5)
+    rows = [[int(x) for x in np.flatnonzero(rng.random(6) < 0.4)] for _ in range(60)]
+    target, votes = rng.random(60), rng.integers(-1, 2, (60, 4)).astype(float)
+    mass = rng.integers(1, 9, 60)
+    many = np.repeat(np.arange(60), mass)
+    (w, b), (v, c) = toxicity.linear(rows, 6, target, mass), toxicity.linear([rows[k] for k in many], 6, target[many], np.ones(len(many)))
+    assert np.allclose(w, v) and np.isclose(b, c)
+    assert np.allclose(toxicity.label_model(votes, target, [3], mass)[many], toxicity.label_model(votes[many], target[many], [3], np.ones(len(many))))
+
+
 def test_toxicity_without_labels(spark, make):
     none = spark.createDataFrame([], "doc_id long, quality long, toxic long")
     assert all(r.score < 0.01 for r in toxicity.toxicity(make(["a", None]), none).collect())
