@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import unicodedata
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 
@@ -27,8 +28,9 @@ _encoders: dict[str, Encoder] = {}
 class Encoder:
     """Ids as little-endian unsigned 32-bit numbers, the same as the tokenizer gives for the whole text.
 
-    The tokenizer splits at white space and drops it, and makes letters small, so text is cut at ASCII white space, A-Z become a-z, and
-    each different word is encoded once.
+    The tokenizer splits at white space and drops it, so text is cut at ASCII white space and each different word is encoded once.
+    It makes letters small, so in ASCII texts A-Z become a-z; not so in others, as it composes characters first, nor
+    beside names of its special tokens, which it looks for before.
     """
 
     def __init__(self, path: str) -> None:
@@ -39,14 +41,14 @@ class Encoder:
         self.known: dict[bytes, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        words = [t.encode("utf-8", "replace").lower().split() for t in texts]
+        words = [(t.lower() if t.isascii() and "<|" not in t else t).encode("utf-8", "replace").split() for t in texts]
         known = self.known
         every = set().union(*words)
         if len(known) + len(every) > REMEMBERED:
             known.clear()
         unseen = every.difference(known)
         # letters and one punctuation mark behind them are two words to the tokenizer
-        pairs = [w for w in unseen if w[-1:] in PUNCTUATION and w[:-1].decode().isalpha()]
+        pairs = [w for w in unseen if w[-1:] in PUNCTUATION and stays_letters(w[:-1].decode())]
         new = list(unseen.difference(pairs).union(w[:-1] for w in pairs).union(PUNCTUATION).difference(known))
         for at in range(0, len(new), 5000):
             part = new[at : at + 5000]
@@ -58,6 +60,16 @@ class Encoder:
         return [b"".join(map(known.__getitem__, w)) for w in words]
 
 
+def stays_letters(word: str) -> bool:
+    """Whether the tokenizer surely sees letters alone in ``word`` after composing it and making it small.
+
+    No mark may be left at its end, which would go with what is behind it. Beyond U+052F letters depend on Unicode's version.
+    """
+    if word.isascii():
+        return word.isalpha()
+    return word.isalpha() and max(word) < "\u0530" and unicodedata.normalize("NFC", word).lower().isalpha()
+
+
 def encoder(path: str) -> Encoder:
     if path not in _encoders:
         _encoders[path] = Encoder(path)

@@ -98,6 +98,18 @@ def test_packing_is_whole(spark, make):
     assert packing.pack(make([]), path).count() == 0
 
 
+def test_words_are_encoded_as_in_the_whole_text():
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path()
+    tok = Tokenizer.from_file(path)
+    texts = ["\u0130.", "a\u0130.", "\u0958.", "\ufb2a.", "J\u030c", "H\u0331", "T\u0308 x", "e\u0301.", "\u00c9t\u00e9, \u00c9T\u00c9!", "\u0421\u043b\u043e\u0432\u043e. \u03a3\u0391\u03a3.", "<|ENDOFTEXT|> A", "<|endoftext|>."]
+    texts += [f"{chr(c)}. a{chr(c)}, {chr(c)}b! A{chr(c)}" for c in range(33, 0x3400) if chr(c).isprintable()]
+    got = packing.Encoder(path).encode(texts)
+    for t, ids in zip(texts, got, strict=True):
+        assert ids == np.array(tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), ascii(t)
+
+
 def labelled(spark, make, n=400):
     rng = random.Random(9)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 8)))
