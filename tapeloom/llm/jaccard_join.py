@@ -117,8 +117,8 @@ def _sets_task(width: int):
                 names.append(set_names(keys, at))
                 sizes.append(np.diff(at))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(names).view(np.int64))],
-                ["doc_id", "n_shingles", "name"],
+                [batch.column("doc_id"), batch.column("hash"), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(names).view(np.int64))],
+                ["doc_id", "hash", "n_shingles", "name"],
             )
 
     return task
@@ -192,11 +192,13 @@ def _bucket_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield out
 
 
-def links_within(sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
-    """Links among sorted sets that join different components; every pair is compared, by an inverted index of the group."""
+def meetings(sets: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
+    """(j, elements that set j shares with each set before it) of those that share some, by an inverted index."""
     n = len(sets)
     size = np.array([len(x) for x in sets])
     x = np.concatenate(sets)
+    if not len(x):
+        return
     own = np.repeat(np.arange(n), size)
     order = np.argsort(x, kind="stable")
     new = np.append(True, x[order][1:] != x[order][:-1])
@@ -205,14 +207,6 @@ def links_within(sets: list[np.ndarray], num: int, den: int) -> list[tuple[int,
     begin = np.flatnonzero(new)
     length = np.diff(np.append(begin, len(x)))
     holder = own[order]
-    root, found = list(range(n)), []
-
-    def top(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
     first = np.cumsum(size) - size
     for j in range(1, n):
         r = run[first[j] : first[j] + size[j]]
@@ -221,30 +215,69 @@ def links_within(sets: list[np.ndarray], num: int, den: int) -> list[tuple[int,
         if not len(r):
             continue
         at = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k) + np.repeat(begin[r], k)
-        both = np.bincount(holder[at], minlength=n)[:j]
-        for i in np.flatnonzero(both * den >= (size[:j] + size[j] - both) * num):
+        yield j, np.bincount(holder[at], minlength=n)[:j]
+
+
+def links_within(
+    sets: list[np.ndarray], num: int, den: int, weight: np.ndarray, block: np.ndarray, home: np.ndarray, earlier: list[np.ndarray]
+) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """Links among sorted sets that join different components, and each set's sum of the weights of all sets that it links with.
+
+    Every pair is compared. In the sums a pair counts once over all parts: not where both sets are in an ``earlier`` bucket
+    too, and for two sets of one block only in the block's ``home`` part.
+    """
+    n = len(sets)
+    size = np.array([len(x) for x in sets])
+    root, found, sums = list(range(n)), [], np.zeros(n, np.int64)
+    before = None
+    if any(map(len, earlier)):
+        before = np.zeros((n, n), bool)
+        for j, both in meetings(earlier):
+            before[j, :j] = both > 0
+
+    def top(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    for j, both in meetings(sets):
+        linked = np.flatnonzero(both * den >= (size[:j] + size[j] - both) * num)
+        for i in linked:
             a, b = top(int(i)), top(j)
             if a != b:
                 root[a] = b
                 found.append((int(i), j))
-    return found
+        count = linked if home[j] else linked[block[linked] != block[j]]
+        if before is not None:
+            count = count[~before[j, count]]
+        sums[j] += weight[count].sum()
+        sums[count] += weight[j]
+    return found, sums
 
 
 def _compare_task(width: int, num: int, den: int):
-    """Rows sorted by group and part -> the links of each part, whose members are held together."""
+    """Rows sorted by group and part -> the links and sums of links_within() of each part, whose members are held together."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names: list[int] = []
         sets: list[np.ndarray] = []
+        more: list[tuple] = []
+        held: set[int] = set()
         group = None
 
-        def told() -> list[tuple[int, int]]:
-            return [(names[i], names[j]) for i, j in links_within(sets, num, den)] if len(sets) > 1 else []
+        def told() -> list[tuple[int, int | None, int]]:
+            if len(sets) < 2:
+                return []
+            weight, block, home = (np.array(c) for c in list(zip(*more, strict=True))[:3])
+            found, sums = links_within(sets, num, den, weight, block, home, [m[3] for m in more])
+            return [(names[i], names[j], 0) for i, j in found] + [(names[i], None, int(sums[i])) for i in np.flatnonzero(sums)]
 
         for batch in batches:
             keys_of = list(zip(batch.column("bucket").to_pylist(), batch.column("part").to_pylist(), strict=True))
             wanted = batch.column("name").to_numpy()
-            out: list[tuple[int, int]] = []
+            weights, blocks, homes, buckets = (batch.column(c).to_pylist() for c in ("n", "block", "home", "buckets"))
+            out: list[tuple[int, int | None, int]] = []
             for begin, offsets, data in chunks(batch.column("text")):
                 keys = distinct_shingles(offsets, data, width)
                 at = bounds(keys, len(offsets) - 1)
@@ -252,10 +285,14 @@ def _compare_task(width: int, num: int, den: int):
                 for i in range(len(offsets) - 1):
                     k = begin + i
                     if found[i] != wanted[k]:
-                        continue  # another text under the same doc_id
+                        continue  # another text of the same doc_id and hash
                     if keys_of[k] != group:
                         out += told()
-                        names, sets, group = [], [], keys_of[k]
+                        names, sets, more, held, group = [], [], [], set(), keys_of[k]
+                    if int(wanted[k]) in held:
+                        continue  # an equal row
+                    held.add(int(wanted[k]))
+                    more.append((weights[k], blocks[k], homes[k], np.array([b for b in buckets[k] if b < group[0]], np.int64)))
                     names.append(int(wanted[k]))
                     sets.append((keys[at[i] : at[i + 1]] & HASH_MASK).copy())
             if out:
@@ -266,9 +303,8 @@ def _compare_task(width: int, num: int, den: int):
     return task
 
 
-def _edges(found: list[tuple[int, int]]) -> pa.RecordBatch:
-    one, two = zip(*found, strict=True)
-    return pa.RecordBatch.from_arrays([pa.array(one, pa.int64()), pa.array(two, pa.int64())], ["a", "b"])
+def _edges(found: list[tuple[int, int | None, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["a", "b", "links"])
 
 
 #: Sets, and shingles, of a group that are compared in one task; larger groups are split into pairs of blocks.
@@ -276,11 +312,12 @@ GROUP_SETS, GROUP_SHINGLES = 1000, 2_000_000
 
 
 def comparison_parts(buckets: DataFrame, classes: DataFrame) -> DataFrame:
-    """(bucket, part, name): groups in which all pairs are to be compared so that each pair of a bucket is.
+    """(bucket, part, name, block, home, buckets): groups in which all pairs are to be compared so that each pair of a bucket is.
 
     Buckets that share sets are taken together, so that each set is compared once, where that makes a group of no more
     than GROUP_SETS sets and GROUP_SHINGLES shingles; otherwise each bucket is a group. A bucket beyond that size is
     dealt into blocks by a hash, and each two blocks are a part: every two of its sets meet in some part.
+    ``buckets`` are all that the set is in where buckets are groups; ``home`` is true in one part of each block.
     """
     least = buckets.groupBy("bucket").agg(F.min("name").alias("a"))
     stars = buckets.join(least, "bucket").where("a != name").select("a", F.col("name").alias("b")).distinct()
@@ -289,21 +326,25 @@ def comparison_parts(buckets: DataFrame, classes: DataFrame) -> DataFrame:
     small = (F.col("sets") <= GROUP_SETS) & (F.col("shingles") <= GROUP_SHINGLES)
     family = cut(family.join(size.select("comp", small.alias("small")), "comp"))
     whole = family.where("small").select(F.col("comp").alias("bucket"), F.lit(0).cast("long").alias("part"), "name")
+    whole = whole.select("*", F.lit(0).cast("long").alias("block"), F.lit(True).alias("home"), F.array().cast("array<long>").alias("buckets"))
     large = buckets.join(family.where("NOT small").select("name", "n_shingles"), "name")
     blocks = large.groupBy("bucket").agg(
         F.ceil(F.greatest(F.count("*") / GROUP_SETS, F.sum("n_shingles") / GROUP_SHINGLES)).alias("blocks")
     )
+    large = large.join(large.groupBy("name").agg(F.collect_list("bucket").alias("buckets")), "name")
     large = large.join(blocks, "bucket").withColumn("block", F.pmod(F.xxhash64("name"), F.col("blocks")))
     other = F.filter(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda c: (c != F.col("block")) | (F.col("blocks") == 1))
     large = large.withColumn("other", F.explode(other))
-    part = F.least("block", "other") * F.col("blocks") + F.greatest("block", "other")
-    return whole.unionByName(large.select("bucket", part.alias("part"), "name"))
+    part = lambda c: F.least("block", c) * F.col("blocks") + F.greatest("block", c)
+    large = large.withColumn("next", F.pmod(F.col("block") + 1, F.col("blocks")))
+    return whole.unionByName(large.select("bucket", part("other").alias("part"), "name", "block", (part("other") == part("next")).alias("home"), "buckets"))
 
 
 def compared(parts: DataFrame, texts: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """Links (a, b) of names whose sets are similar enough, by their complete texts; of each part a spanning forest."""
+    """Links (a, b, 0) of names whose sets are similar enough, by their complete texts, of each part a spanning forest; and
+    (a, null, links): sums of the rows that have the sets that a links with, to be added up."""
     rows = parts.join(texts, "name").repartition("bucket", "part").sortWithinPartitions("bucket", "part")
-    return map_arrow(rows.select("bucket", "part", "name", "text"), _compare_task(width, num, den), "a long, b long")
+    return map_arrow(rows.select("bucket", "part", "name", "n", "block", "home", "buckets", "text"), _compare_task(width, num, den), "a long, b long, links long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -329,42 +370,64 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def groups_of_similar(docs: DataFrame, width: int = 4, num: int = 85, den: int = 100) -> DataFrame:
-    """doc_id, n_shingles, component_id for each row of ``docs``.
-
-    A document's set holds its distinct ``width``-word shingles (words between ASCII white space, A-Z as a-z); with fewer
-    words the whole sequence is one shingle; without words, or with a null text, it is empty, linked with nothing and
-    its own component. Two documents link when their sets' similarity is at least num / den; component_id is the
-    smallest doc_id that links reach. Rows that share a doc_id are different documents with one name. Null doc_ids
-    come last; a component of theirs alone has a null id. Other columns are ignored.
+def _classified(docs: DataFrame, width: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, hash, n_shingles, name) for each row, null doc_ids as LAST; (name, keep, n_links) for each set that isn't empty, ``keep``
+    being the least doc_id and hash of its component.
 
     Equal sets become one class first. Classes that share a signature are in one bucket. All classes of a bucket, or
     of a family of buckets, are compared with each other inside a task, whose size is bounded; only links that join
-    components leave it, never the pairs. So no link that could join two components is lost.
+    components leave it and sums of links, never the pairs. So no link that could join two components is lost.
     """
     spark = docs.sparkSession
     bands = Bands.of(num, den)
-    rows = only(docs, "doc_id", "text").select(F.coalesce("doc_id", F.lit(LAST)).alias("doc_id"), "text")
-    sets = cut(map_arrow(rows, _sets_task(width), "doc_id long, n_shingles long, name long"))
-    classes = sets.where("n_shingles > 0").groupBy("name").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n_shingles"))
+    rows = only(docs, "doc_id", "text").select(F.coalesce("doc_id", F.lit(LAST)).alias("doc_id"), F.xxhash64("text").alias("hash"), "text")
+    sets = cut(map_arrow(rows, _sets_task(width), "doc_id long, hash long, n_shingles long, name long"))
+    classes = sets.where("n_shingles > 0").groupBy("name").agg(
+        F.min(F.struct("doc_id", "hash")).alias("rep"), F.max("n_shingles").alias("n_shingles"), F.count("*").alias("n")
+    )
     classes = cut(classes)
-    signed = map_arrow(rows, _signature_task(width, bands), "sig long, name long")
+    signed = map_arrow(rows.select("text"), _signature_task(width, bands), "sig long, name long")
     buckets = map_arrow(signed.repartition("sig").sortWithinPartitions("sig"), _bucket_task, "bucket long, name long")
     buckets = cut(buckets.distinct())
     release(spark)
-    wanted = buckets.select("name").distinct().join(classes.select("name", F.col("rep").alias("doc_id")), "name")
-    texts = cut(rows.join(wanted, "doc_id").select("name", "text").where("text IS NOT NULL"))
+    wanted = buckets.select("name").distinct().join(classes.select("name", "n", "rep.doc_id", "rep.hash"), "name")
+    texts = cut(rows.join(wanted, ["doc_id", "hash"]).select("name", "n", "text").where("text IS NOT NULL"))
     release(spark)
     parts = cut(comparison_parts(buckets, classes))
-    edges = cut(compared(parts, texts, width, num, den))
+    found = cut(compared(parts, texts, width, num, den))
     release(spark)
-    comp = components(edges)
-    names = classes.join(comp, "name", "left").withColumn("comp", F.coalesce("comp", "name"))
-    least = names.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    names = cut(names.join(least, "comp").select("name", "component_id"))
-    out = sets.join(names, "name", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-    null = lambda c: F.nullif(F.col(c), F.lit(LAST)).alias(c)
-    return out.select(null("doc_id"), "n_shingles", null("component_id"))
+    comp = components(found.where("b IS NOT NULL").select("a", "b"))
+    links = found.where("b IS NULL").groupBy(F.col("a").alias("name")).agg(F.sum("links").alias("links"))
+    names = classes.join(comp, "name", "left").join(links, "name", "left").withColumn("comp", F.coalesce("comp", "name"))
+    least = names.groupBy("comp").agg(F.min("rep").alias("keep"))
+    n_links = F.col("n") - 1 + F.coalesce("links", F.lit(0))
+    return sets, cut(names.join(least, "comp").select("name", "keep", n_links.alias("n_links")))
+
+
+def links_of_similar(docs: DataFrame, width: int = 4, num: int = 85, den: int = 100) -> DataFrame:
+    """doc_id, n_shingles, component_id, n_links for each row of ``docs``.
+
+    A document's set holds its distinct ``width``-word shingles (words between ASCII white space, A-Z as a-z); with fewer
+    words the whole sequence is one shingle; without words, or with a null text, it is empty, linked with nothing and
+    its own component. Two documents link when their sets' similarity is at least num / den; component_id is the
+    smallest doc_id that links reach, n_links the number of other rows that the row links with. Rows that share a doc_id
+    are different documents with one name. Null doc_ids come last; a component of theirs alone has a null id. Other
+    columns are ignored.
+    """
+    sets, names = _classified(docs, width, num, den)
+    names = names.select("name", F.col("keep.doc_id").alias("component_id"), "n_links")
+    null = lambda c: F.nullif(c, F.lit(LAST))
+    return sets.join(names, "name", "left").select(
+        null(F.col("doc_id")).alias("doc_id"),
+        "n_shingles",
+        null(F.coalesce("component_id", "doc_id")).alias("component_id"),
+        F.coalesce("n_links", F.lit(0)).alias("n_links"),
+    )
+
+
+def groups_of_similar(docs: DataFrame, width: int = 4, num: int = 85, den: int = 100) -> DataFrame:
+    """doc_id, n_shingles, component_id of links_of_similar()."""
+    return links_of_similar(docs, width, num, den).drop("n_links")
 
 
 def drop_similar(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:

@@ -18,7 +18,7 @@ def tokenizer_path() -> str:
 
 
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.groups_of_similar(table(spark, sf_dir, "documents"))
+    return jaccard_join.links_of_similar(table(spark, sf_dir, "documents"))
 
 
 def op2_warc_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

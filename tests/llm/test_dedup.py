@@ -99,6 +99,21 @@ def test_drop_similar_keeps_one_of_each_group(make):
     assert sorted(r.doc_id for r in out.collect()) == [0, 2, 3] and out.columns == docs.columns
 
 
+def brute_links(texts, k=4, num=85, den=100):
+    sets = [shingles(t, k) for t in texts]
+    return [sum(1 for j, b in enumerate(sets) if j != i and a and b and den * len(a & b) >= num * len(a | b)) for i, a in enumerate(sets)]
+
+
+@pytest.mark.parametrize("most", [5, 1000])
+def test_every_link_is_counted_once(make, monkeypatch, most):
+    monkeypatch.setattr(jaccard_join, "GROUP_SETS", most)
+    texts = near_copies(2, 8, [30, 60, 90], 3) + near_copies(7, 3, [60, 80], 3) * 2 + near_copies(8, 1, [70], 5) + ["", None, "One", "one"]
+    base = [f"w{k}" for k in range(80)]
+    texts += [" ".join([*base[:k], "x", *base[k + 1 :]]) for k in range(0, 80, 4)]  # many sets in many common buckets
+    got = {r.doc_id: r.n_links for r in jaccard_join.links_of_similar(make(texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_links(texts)
+
+
 def test_exact_groups(make):
     texts = ["a", "b", "a", None, "", "A", "a " * 50_000, "a " * 50_000]
     got = {r.doc_id: r for r in exact_dedup.exact_groups(make(texts)).collect()}
