@@ -431,10 +431,18 @@ def groups_of_similar(docs: DataFrame, width: int = 4, num: int = 85, den: int =
 
 
 def drop_similar(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """The rows of ``docs`` that stay: of each component the document with the smallest doc_id; all their columns.
+    """The rows of ``docs`` that stay: one of each component, with all their columns.
 
-    Rows without words stay. Rows that share the smallest doc_id of a component all stay.
+    It is the one with the smallest doc_id, null last, and of these the one with the smallest hash of its text; of equal
+    rows any. Rows without words stay.
     """
-    groups = groups_of_similar(docs, width, num, den)
-    gone = groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("`doc_id`").eqNullSafe(F.col("__gone")), "left_anti")
+    sets, names = _classified(docs, width, num, den)
+    rows = sets.where("n_shingles > 0").join(names.select("name", "keep"), "name").groupBy("doc_id", "hash").agg(
+        F.first("keep").alias("keep"), F.count("*").alias("__n")
+    )
+    stays = F.struct("doc_id", "hash") == F.col("keep")
+    gone = cut(rows.where(~stays | (F.col("__n") > 1)).select(F.col("doc_id").alias("__id"), F.col("hash").alias("__hash"), (stays).alias("__one")))
+    same = (F.coalesce(F.col("`doc_id`"), F.lit(LAST)) == F.col("__id")) & (F.xxhash64(F.col("`text`")) == F.col("__hash"))
+    rest = docs.join(gone, same, "left_anti")
+    one = docs.join(gone.where("__one"), same).dropDuplicates(["__id", "__hash"]).drop("__id", "__hash", "__one")
+    return rest.unionByName(one)

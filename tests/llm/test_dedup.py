@@ -114,6 +114,16 @@ def test_every_link_is_counted_once(make, monkeypatch, most):
     assert [got[i] for i in range(len(texts))] == brute_links(texts)
 
 
+def test_drop_similar_of_null_and_repeated_ids(make):
+    a, b, c = "a b c d e f g h i j", "k l m n o p q r s t", "u v w x y z 1 2 3 4"
+    texts = [a, a.upper(), "clean one here", b, b.upper(), "clean two here", c, c.upper(), "", None, "same row", "same row"]
+    docs = make(texts, ids=[1, None, None, 2, 7, 7, None, None, None, None, 8, 8])
+    out = jaccard_join.drop_similar(docs)
+    got = sorted((r.text or "").lower() for r in out.collect())
+    assert got == sorted(["", "", a, b, c, "clean one here", "clean two here", "same row"]) and out.columns == docs.columns
+    assert {r.doc_id for r in out.collect() if (r.text or "").lower() in (a, b)} == {1, 2}
+
+
 def test_exact_groups(make):
     texts = ["a", "b", "a", None, "", "A", "a " * 50_000, "a " * 50_000]
     got = {r.doc_id: r for r in exact_dedup.exact_groups(make(texts)).collect()}
