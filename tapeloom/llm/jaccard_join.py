@@ -12,7 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapeloom.llm.common import cut, map_arrow, only, release, remove, stored
+from tapeloom.llm.common import cut, join_counted, map_arrow, only, release, remove, stored
+from tapeloom.llm.set_compare import links_within, parities, refine_task
 from tapeloom.llm.shingles import HASH_MASK, U, bounds, chunks, distinct_shingles, mix, set_names
 
 #: Names of sets that one task remembers, to give each set's signatures once; and of groups of equal buckets.
@@ -107,31 +108,35 @@ def signatures(keys: np.ndarray, at: np.ndarray, which: np.ndarray, bands: Bands
     return np.concatenate(found), np.concatenate(owners)
 
 
-def _sets_task(width: int):
+def _sets_task(width: int, seed: int):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, sizes = [np.zeros(0, U)], [np.zeros(0, np.int64)]
-            for _, offsets, data in chunks(batch.column("text")):
+            for begin, offsets, data in chunks(batch.column("text")):
+                n = len(offsets) - 1
                 keys = distinct_shingles(offsets, data, width)
-                at = bounds(keys, len(offsets) - 1)
-                names.append(set_names(keys, at))
-                sizes.append(np.diff(at))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("hash"), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(names).view(np.int64))],
-                ["doc_id", "hash", "n_shingles", "name"],
-            )
+                at = bounds(keys, n)
+                names = [pa.array(set_names(keys, at, s).view(np.int64)) for s in (seed, ~seed)]
+                own = batch.slice(begin, n)
+                yield pa.RecordBatch.from_arrays(
+                    [own.column("doc_id"), own.column("hash"), pa.array(np.diff(at)), *names, parities(keys, at)],
+                    ["doc_id", "hash", "n_shingles", "name", "proof", "parity"],
+                )
 
     return task
 
 
-def _signature_task(width: int, bands: Bands):
+def _signature_task(width: int, seed: int, bands: Bands, hot: dict[int, int]):
+    """Signatures of each set, once per task if remembered. Those of ``hot`` are dealt to so many salts by the set's name."""
+    known = np.array(sorted(hot), np.int64)
+    salts = np.array([hot[s] for s in sorted(hot)], np.int64)
+
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
             for _, offsets, data in chunks(batch.column("text")):
                 keys = distinct_shingles(offsets, data, width)
                 at = bounds(keys, len(offsets) - 1)
-                names = set_names(keys, at)
+                names = set_names(keys, at, seed)
                 which = []
                 for i, name in enumerate(names.tolist()):
                     if name and name not in seen:
@@ -140,160 +145,171 @@ def _signature_task(width: int, bands: Bands):
                 if len(seen) > REMEMBERED:
                     seen.clear()
                 sig, text = signatures(keys, at, np.array(which, np.int64), bands)
-                if len(sig):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(sig.view(np.int64)), pa.array(names[text].view(np.int64))], ["sig", "name"]
-                    )
+                if not len(sig):
+                    continue
+                sig, name = sig.view(np.int64), names[text]
+                salt = np.zeros(len(sig), np.int64)
+                if len(known):
+                    k = np.minimum(np.searchsorted(known, sig), len(known) - 1)
+                    is_hot = known[k] == sig
+                    salt[is_hot] = 1 + (mix(name[is_hot]) % salts[k[is_hot]].astype(U)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(salt), pa.array(name.view(np.int64))], ["sig", "salt", "name"])
 
     return task
 
 
+#: Sets of one bucket that meet in one block; larger buckets are dealt into blocks, each two of which meet in a part.
+BLOCK = 20_000
+#: A signature of more than so many blocks, and of a thousandth of all rows, is salted before it is shuffled.
+HOT_BLOCKS = 4
+
+
 def _bucket_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by signature -> (bucket, name) of signatures with two sets or more; equal buckets once per task if remembered."""
+    """Rows sorted by signature, salt and name -> (bucket, block, split, name) of signatures with two sets or more.
+
+    A signature of up to BLOCK sets is a bucket named by its sets, so that equal buckets come once per task if remembered.
+    A larger or salted one is named by the signature and leaves in blocks as they fill up, so memory is bounded.
+    """
     seen: set[int] = set()
+    empty = np.zeros(0, np.int64)
+    held = {"sig": empty, "salt": empty, "name": empty}
+    blocks = 0  # that have left of the signature at the start of what is held
 
-    def tell(sig: np.ndarray, name: np.ndarray) -> pa.RecordBatch | None:
-        order = np.lexsort((name, sig))
-        sig, name = sig[order], name[order]
-        new = np.append(True, (sig[1:] != sig[:-1]) | (name[1:] != name[:-1]))
-        sig, name = sig[new], name[new]
-        begin = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))
+    def rows(bucket: np.ndarray, block: np.ndarray, split: np.ndarray, name: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(block), pa.array(split), pa.array(name)], ["bucket", "block", "split", "name"])
+
+    def tell(sig: np.ndarray, salt: np.ndarray, name: np.ndarray, first: int) -> Iterator[pa.RecordBatch]:
+        begin = np.flatnonzero(np.append(True, (sig[1:] != sig[:-1]) | (salt[1:] != salt[:-1])))
         n = np.diff(np.append(begin, len(sig)))
-        bucket = mix(np.add.reduceat(mix(name.view(U)), begin) + n.astype(U))
-        keep = np.zeros(len(begin), bool)
-        for k in np.flatnonzero(n > 1):
-            b = int(bucket[k])
-            if b not in seen:
-                seen.add(b)
-                keep[k] = True
+        content = mix(np.add.reduceat(mix(name.view(U)), begin) + n.astype(U)).view(np.int64)
+        split = (salt[begin] > 0) | (n > BLOCK)
+        split[0] |= first > 0
+        keep = split | (n > 1)
+        for k in np.flatnonzero(keep & ~split):
+            b = int(content[k])
+            keep[k] = b not in seen
+            seen.add(b)
         if len(seen) > REMEMBERED:
             seen.clear()
-        rows = np.repeat(keep, n)
-        if not rows.any():
-            return None
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.repeat(bucket, n)[rows].view(np.int64)), pa.array(name[rows])], ["bucket", "name"]
-        )
+        bucket = np.where(split, mix(sig[begin].view(U) ^ U(0x3C6EF372FE94F82B)).view(np.int64), content)
+        number = np.arange(len(sig)) - np.repeat(begin, n)
+        block = np.where(np.repeat(split, n), (np.repeat(salt[begin], n) << 32) + number // BLOCK, 0)
+        block[: n[0]] += first
+        chosen = np.repeat(keep, n)
+        if chosen.any():
+            yield rows(np.repeat(bucket, n)[chosen], block[chosen], np.repeat(split, n)[chosen], name[chosen])
 
-    held: list[tuple[np.ndarray, np.ndarray]] = []
     for batch in batches:
-        sig, name = batch.column("sig").to_numpy(), batch.column("name").to_numpy()
-        held.append((sig, name))
-        if sig[0] == sig[-1] and held[0][0][-1] == sig[0]:
-            continue  # one signature all along: wait for its end
-        sig, name = (np.concatenate(c) for c in zip(*held, strict=True))
-        last = np.searchsorted(sig, sig[-1])
-        if (out := tell(sig[:last], name[:last])) is not None:
-            yield out
-        held = [(sig[last:], name[last:])]
-    if held:
-        sig, name = (np.concatenate(c) for c in zip(*held, strict=True))
-        if (out := tell(sig, name)) is not None:
-            yield out
-
-
-def meetings(sets: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
-    """(j, elements that set j shares with each set before it) of those that share some, by an inverted index."""
-    n = len(sets)
-    size = np.array([len(x) for x in sets])
-    x = np.concatenate(sets)
-    if not len(x):
-        return
-    own = np.repeat(np.arange(n), size)
-    order = np.argsort(x, kind="stable")
-    new = np.append(True, x[order][1:] != x[order][:-1])
-    run = np.empty(len(x), np.int64)
-    run[order] = np.cumsum(new) - 1
-    begin = np.flatnonzero(new)
-    length = np.diff(np.append(begin, len(x)))
-    holder = own[order]
-    first = np.cumsum(size) - size
-    for j in range(1, n):
-        r = run[first[j] : first[j] + size[j]]
-        k = length[r]
-        r, k = r[k > 1], k[k > 1]
-        if not len(r):
+        if not batch.num_rows:
             continue
-        at = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k) + np.repeat(begin[r], k)
-        yield j, np.bincount(holder[at], minlength=n)[:j]
+        c = {k: np.concatenate([v, batch.column(k).to_numpy()]) for k, v in held.items()}
+        new = np.append(True, (c["sig"][1:] != c["sig"][:-1]) | (c["salt"][1:] != c["salt"][:-1]) | (c["name"][1:] != c["name"][:-1]))
+        c = {k: v[new] for k, v in c.items()}
+        changed = np.flatnonzero((c["sig"] != c["sig"][-1]) | (c["salt"] != c["salt"][-1]))
+        last = int(changed[-1]) + 1 if len(changed) else 0
+        if last:
+            yield from tell(*(v[:last] for v in c.values()), blocks)
+            blocks = 0
+        held = {k: v[last:] for k, v in c.items()}
+        full = (len(held["sig"]) - 1) // BLOCK * BLOCK  # the last row stays, to find its equals
+        if full >= HOT_BLOCKS * BLOCK or (blocks and full > 0):
+            begun = blocks or 1  # a bucket that left in part is split from its first block on
+            yield from tell(*(v[:full] for v in held.values()), begun)
+            blocks = begun + full // BLOCK
+            held = {k: v[full:] for k, v in held.items()}
+    if len(held["sig"]):
+        yield from tell(*held.values(), blocks)
+
+
+def _meetings(rows: DataFrame, key: str, blocks: DataFrame) -> DataFrame:
+    """Adds part and home: rows (key, block, ...) once for each other block of ``blocks`` (key, numbers) of their key.
+
+    Every two blocks of a key share a part, and ``home`` is true in one of a block's parts.
+    """
+    rows = rows.join(blocks, key).withColumn("place", F.array_position("numbers", F.col("block")) - 1).withColumn("many", F.size("numbers"))
+    other = F.filter(F.sequence(F.lit(0).cast("long"), F.col("many").cast("long") - 1), lambda c: (c != F.col("place")) | (F.col("many") == 1))
+    rows = rows.withColumn("other", F.explode(other)).withColumn("next", F.pmod(F.col("place") + 1, F.col("many")))
+    part = lambda c: F.least("place", c) * F.col("many") + F.greatest("place", c)
+    return rows.withColumn("part", part("other")).withColumn("home", part("other") == part("next")).drop("numbers", "place", "many", "other", "next")
+
+
+def hot_signatures(rows: DataFrame, n_rows: int, width: int, seed: int, bands: Bands, sample: int = 1024) -> dict[int, int]:
+    """{signature: salts} of signatures that a hashed sample of rows shows in more than HOT_BLOCKS blocks of sets and a thousandth of all rows.
+
+    It only steers the shuffle; results don't depend on it. There are at most a thousand times a set's signatures of them.
+    """
+    least = max(HOT_BLOCKS * BLOCK, n_rows // 1000)
+    if n_rows <= least:
+        return {}
+    some = rows.where(F.pmod("hash", F.lit(sample)) == 0).select("text")
+    found = map_arrow(some, _signature_task(width, seed, bands, {}), "sig long, salt long, name long").groupBy("sig").agg(F.count("*").alias("n"))
+    return {r["sig"]: -(-r["n"] * sample // BLOCK) for r in found.where(F.col("n") * sample > least).collect()}
+
 
+def refined(buckets: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
+    """Edges (a, b) that join the sets of each bucket which chains of possible links join, as stars.
+
+    Only a parity vector of about a bit per shingle travels with each set of a bucket. It never parts sets that link.
+    """
+    split = buckets.where("split").groupBy("bucket").agg(F.array_sort(F.collect_set("block")).alias("numbers"))
+    split = split.where(F.size("numbers") > 1)
+    plain = buckets.where("NOT split").select("bucket", F.lit(0).cast("long").alias("part"), "name")
+    dealt = _meetings(buckets.where("split"), "bucket", split).select("bucket", "part", "name")
+    alone = buckets.where("split").join(split, "bucket", "left_anti").select("bucket", F.lit(0).cast("long").alias("part"), "name")
+    rows = plain.unionByName(dealt).unionByName(alone).join(classes.select("name", "n_shingles", "parity"), "name")
+    rows = rows.repartition("bucket", "part").sortWithinPartitions("bucket", "part")
+    return map_arrow(rows.select("bucket", "part", "name", "n_shingles", "parity"), refine_task(num, den), "a long, b long").distinct()
+
+
+#: Sets, and shingles, of a family that one block holds; two blocks meet in a task.
+GROUP_SETS, GROUP_SHINGLES = 16_000, 3_000_000
 
-def links_within(
-    sets: list[np.ndarray], num: int, den: int, weight: np.ndarray, block: np.ndarray, home: np.ndarray, earlier: list[np.ndarray]
-) -> tuple[list[tuple[int, int]], np.ndarray]:
-    """Links among sorted sets that join different components, and each set's sum of the weights of all sets that it links with.
 
-    Every pair is compared. In the sums a pair counts once over all parts: not where both sets are in an ``earlier`` bucket
-    too, and for two sets of one block only in the block's ``home`` part.
+def comparison_parts(families: DataFrame, classes: DataFrame) -> DataFrame:
+    """(family, part, name, block, home): groups in which all pairs are compared so that each pair of a family is.
+
+    A family of no more than GROUP_SETS sets and GROUP_SHINGLES shingles is one block; larger ones are dealt into blocks by a hash.
     """
-    n = len(sets)
-    size = np.array([len(x) for x in sets])
-    root, found, sums = list(range(n)), [], np.zeros(n, np.int64)
-    before = None
-    if any(map(len, earlier)):
-        before = np.zeros((n, n), bool)
-        for j, both in meetings(earlier):
-            before[j, :j] = both > 0
-
-    def top(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    for j, both in meetings(sets):
-        linked = np.flatnonzero(both * den >= (size[:j] + size[j] - both) * num)
-        for i in linked:
-            a, b = top(int(i)), top(j)
-            if a != b:
-                root[a] = b
-                found.append((int(i), j))
-        count = linked if home[j] else linked[block[linked] != block[j]]
-        if before is not None:
-            count = count[~before[j, count]]
-        sums[j] += weight[count].sum()
-        sums[count] += weight[j]
-    return found, sums
+    rows = families.select("name", F.col("comp").alias("family")).join(classes.select("name", "n_shingles"), "name")
+    blocks = rows.groupBy("family").agg(F.ceil(F.greatest(F.count("*") / GROUP_SETS, F.sum("n_shingles") / GROUP_SHINGLES)).alias("blocks"), F.count("*").alias("n"))
+    rows = cut(join_counted(rows, blocks, ["family"]).drop("n", "n_shingles"))
+    whole = rows.where("blocks = 1").select("family", F.lit(0).cast("long").alias("part"), "name", F.lit(0).cast("long").alias("block"), F.lit(True).alias("home"))
+    large = rows.where("blocks > 1").withColumn("block", F.pmod(F.xxhash64("name"), F.col("blocks"))).drop("blocks")
+    numbers = large.groupBy("family").agg(F.array_sort(F.collect_set("block")).alias("numbers"))
+    return whole.unionByName(_meetings(large, "family", numbers).select(*whole.columns))
 
 
 def _compare_task(width: int, num: int, den: int):
-    """Rows sorted by group and part -> the links and sums of links_within() of each part, whose members are held together."""
+    """Rows sorted by family and part -> the links and sums of links_within() of each part, whose sets are held together."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names: list[int] = []
         sets: list[np.ndarray] = []
         more: list[tuple] = []
-        held: set[int] = set()
         group = None
 
         def told() -> list[tuple[int, int | None, int]]:
             if len(sets) < 2:
                 return []
-            weight, block, home = (np.array(c) for c in list(zip(*more, strict=True))[:3])
-            found, sums = links_within(sets, num, den, weight, block, home, [m[3] for m in more])
+            weight, block, home = (np.array(c) for c in zip(*more, strict=True))
+            found, sums = links_within(sets, num, den, weight, block, home)
             return [(names[i], names[j], 0) for i, j in found] + [(names[i], None, int(sums[i])) for i in np.flatnonzero(sums)]
 
         for batch in batches:
-            keys_of = list(zip(batch.column("bucket").to_pylist(), batch.column("part").to_pylist(), strict=True))
-            wanted = batch.column("name").to_numpy()
-            weights, blocks, homes, buckets = (batch.column(c).to_pylist() for c in ("n", "block", "home", "buckets"))
+            keys_of = list(zip(batch.column("family").to_pylist(), batch.column("part").to_pylist(), strict=True))
+            wanted = batch.column("name").to_pylist()
+            told_of = list(zip(*(batch.column(c).to_pylist() for c in ("n", "block", "home")), strict=True))
             out: list[tuple[int, int | None, int]] = []
             for begin, offsets, data in chunks(batch.column("text")):
                 keys = distinct_shingles(offsets, data, width)
                 at = bounds(keys, len(offsets) - 1)
-                found = set_names(keys, at).view(np.int64)
                 for i in range(len(offsets) - 1):
                     k = begin + i
-                    if found[i] != wanted[k]:
-                        continue  # another text of the same doc_id and hash
                     if keys_of[k] != group:
                         out += told()
-                        names, sets, more, held, group = [], [], [], set(), keys_of[k]
-                    if int(wanted[k]) in held:
-                        continue  # an equal row
-                    held.add(int(wanted[k]))
-                    more.append((weights[k], blocks[k], homes[k], np.array([b for b in buckets[k] if b < group[0]], np.int64)))
-                    names.append(int(wanted[k]))
+                        names, sets, more, group = [], [], [], keys_of[k]
+                    more.append(told_of[k])
+                    names.append(wanted[k])
                     sets.append((keys[at[i] : at[i + 1]] & HASH_MASK).copy())
             if out:
                 yield _edges(out)
@@ -307,44 +323,18 @@ def _edges(found: list[tuple[int, int | None, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["a", "b", "links"])
 
 
-#: Sets, and shingles, of a group that are compared in one task; larger groups are split into pairs of blocks.
-GROUP_SETS, GROUP_SHINGLES = 1000, 2_000_000
-
-
-def comparison_parts(buckets: DataFrame, classes: DataFrame) -> DataFrame:
-    """(bucket, part, name, block, home, buckets): groups in which all pairs are to be compared so that each pair of a bucket is.
-
-    Buckets that share sets are taken together, so that each set is compared once, where that makes a group of no more
-    than GROUP_SETS sets and GROUP_SHINGLES shingles; otherwise each bucket is a group. A bucket beyond that size is
-    dealt into blocks by a hash, and each two blocks are a part: every two of its sets meet in some part.
-    ``buckets`` are all that the set is in where buckets are groups; ``home`` is true in one part of each block.
-    """
-    least = buckets.groupBy("bucket").agg(F.min("name").alias("a"))
-    stars = buckets.join(least, "bucket").where("a != name").select("a", F.col("name").alias("b")).distinct()
-    family = components(stars).join(classes.select("name", "n_shingles"), "name")
-    size = family.groupBy("comp").agg(F.count("*").alias("sets"), F.sum("n_shingles").alias("shingles"))
-    small = (F.col("sets") <= GROUP_SETS) & (F.col("shingles") <= GROUP_SHINGLES)
-    family = cut(family.join(size.select("comp", small.alias("small")), "comp"))
-    whole = family.where("small").select(F.col("comp").alias("bucket"), F.lit(0).cast("long").alias("part"), "name")
-    whole = whole.select("*", F.lit(0).cast("long").alias("block"), F.lit(True).alias("home"), F.array().cast("array<long>").alias("buckets"))
-    large = buckets.join(family.where("NOT small").select("name", "n_shingles"), "name")
-    blocks = large.groupBy("bucket").agg(
-        F.ceil(F.greatest(F.count("*") / GROUP_SETS, F.sum("n_shingles") / GROUP_SHINGLES)).alias("blocks")
-    )
-    large = large.join(large.groupBy("name").agg(F.collect_list("bucket").alias("buckets")), "name")
-    large = large.join(blocks, "bucket").withColumn("block", F.pmod(F.xxhash64("name"), F.col("blocks")))
-    other = F.filter(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda c: (c != F.col("block")) | (F.col("blocks") == 1))
-    large = large.withColumn("other", F.explode(other))
-    part = lambda c: F.least("block", c) * F.col("blocks") + F.greatest("block", c)
-    large = large.withColumn("next", F.pmod(F.col("block") + 1, F.col("blocks")))
-    return whole.unionByName(large.select("bucket", part("other").alias("part"), "name", "block", (part("other") == part("next")).alias("home"), "buckets"))
-
-
-def compared(parts: DataFrame, texts: DataFrame, width: int, num: int, den: int) -> DataFrame:
+def compared(parts: DataFrame, classes: DataFrame, rows: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """Links (a, b, 0) of names whose sets are similar enough, by their complete texts, of each part a spanning forest; and
     (a, null, links): sums of the rows that have the sets that a links with, to be added up."""
-    rows = parts.join(texts, "name").repartition("bucket", "part").sortWithinPartitions("bucket", "part")
-    return map_arrow(rows.select("bucket", "part", "name", "n", "block", "home", "buckets", "text"), _compare_task(width, num, den), "a long, b long, links long")
+    reps = classes.select("name", "n", "rep.doc_id", "rep.hash", "rep.rows")
+    wanted = cut(parts.join(reps, "name"))
+    texts = rows.join(wanted.where("rows = 1"), ["doc_id", "hash"])
+    if wanted.where("rows > 1").limit(1).count():  # equal rows of one doc_id: one of them is enough
+        twice = wanted.where("rows > 1")
+        one = rows.join(twice.select("doc_id", "hash").distinct(), ["doc_id", "hash"]).groupBy("doc_id", "hash").agg(F.first("text").alias("text"))
+        texts = texts.unionByName(one.join(twice, ["doc_id", "hash"]), allowMissingColumns=True)
+    texts = texts.select("family", "part", "name", "n", "block", "home", "text").repartition("family", "part").sortWithinPartitions("family", "part")
+    return map_arrow(texts, _compare_task(width, num, den), "a long, b long, links long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -370,38 +360,55 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def _named_sets(rows: DataFrame, width: int) -> tuple[DataFrame, DataFrame, int]:
+    """The set of each row, the classes of equal sets, and the seed of their names.
+
+    Names have 64 bits and a proof of 64 more. Where two sets share a name but not the proof, all are named anew by another seed.
+    """
+    for seed in range(8):
+        sets = cut(map_arrow(rows, _sets_task(width, seed), "doc_id long, hash long, n_shingles long, name long, proof long, parity binary"))
+        each = sets.where("n_shingles > 0").groupBy("name", "doc_id", "hash").agg(
+            F.count("*").alias("rows"), F.max("n_shingles").alias("n_shingles"), F.first("parity").alias("parity"), F.min("proof").alias("p"), F.max("proof").alias("q")
+        )
+        classes = each.groupBy("name").agg(
+            F.min(F.struct("doc_id", "hash", "rows")).alias("rep"), F.max("n_shingles").alias("n_shingles"), F.sum("rows").alias("n"),
+            F.first("parity").alias("parity"), F.min("p").alias("p"), F.max("q").alias("q"),
+        )
+        classes = cut(classes)
+        if not classes.where("p != q").limit(1).count():
+            break
+    return sets, classes.drop("p", "q"), seed
+
+
 def _classified(docs: DataFrame, width: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, hash, n_shingles, name) for each row, null doc_ids as LAST; (name, keep, n_links) for each set that isn't empty, ``keep``
+    """(doc_id, hash, n_shingles, name) for each row, null doc_ids as LAST; (name, n, keep, n_links) for each set that isn't empty, ``keep``
     being the least doc_id and hash of its component.
 
-    Equal sets become one class first. Classes that share a signature are in one bucket. All classes of a bucket, or
-    of a family of buckets, are compared with each other inside a task, whose size is bounded; only links that join
-    components leave it and sums of links, never the pairs. So no link that could join two components is lost.
+    Equal sets become one class first. Classes that share a signature are in one bucket. In each bucket parity vectors
+    part the sets that surely don't link; what stays joined, over all buckets, is a family. All sets of a family are
+    compared with each other inside tasks of bounded size, each set in one of them unless the family is very large; only
+    links that join components leave it and sums of links, never the pairs. So no link is lost.
     """
     spark = docs.sparkSession
     bands = Bands.of(num, den)
     rows = only(docs, "doc_id", "text").select(F.coalesce("doc_id", F.lit(LAST)).alias("doc_id"), F.xxhash64("text").alias("hash"), "text")
-    sets = cut(map_arrow(rows, _sets_task(width), "doc_id long, hash long, n_shingles long, name long"))
-    classes = sets.where("n_shingles > 0").groupBy("name").agg(
-        F.min(F.struct("doc_id", "hash")).alias("rep"), F.max("n_shingles").alias("n_shingles"), F.count("*").alias("n")
-    )
-    classes = cut(classes)
-    signed = map_arrow(rows.select("text"), _signature_task(width, bands), "sig long, name long")
-    buckets = map_arrow(signed.repartition("sig").sortWithinPartitions("sig"), _bucket_task, "bucket long, name long")
-    buckets = cut(buckets.distinct())
-    release(spark)
-    wanted = buckets.select("name").distinct().join(classes.select("name", "n", "rep.doc_id", "rep.hash"), "name")
-    texts = cut(rows.join(wanted, ["doc_id", "hash"]).select("name", "n", "text").where("text IS NOT NULL"))
+    sets, classes, seed = _named_sets(rows, width)
+    hot = hot_signatures(rows, sets.count(), width, seed, bands)
+    signed = map_arrow(rows.select("text"), _signature_task(width, seed, bands, hot), "sig long, salt long, name long")
+    dealt = signed.repartition("sig", "salt").sortWithinPartitions("sig", "salt", "name")
+    buckets = cut(map_arrow(dealt, _bucket_task, "bucket long, block long, split boolean, name long").distinct())
     release(spark)
-    parts = cut(comparison_parts(buckets, classes))
-    found = cut(compared(parts, texts, width, num, den))
+    families = components(refined(buckets, classes, num, den))
+    parts = comparison_parts(families, classes)
+    found = cut(compared(parts, classes, rows, width, num, den))
     release(spark)
     comp = components(found.where("b IS NOT NULL").select("a", "b"))
     links = found.where("b IS NULL").groupBy(F.col("a").alias("name")).agg(F.sum("links").alias("links"))
     names = classes.join(comp, "name", "left").join(links, "name", "left").withColumn("comp", F.coalesce("comp", "name"))
-    least = names.groupBy("comp").agg(F.min("rep").alias("keep"))
+    least = names.groupBy("comp").agg(F.min(F.struct("rep.doc_id", "rep.hash")).alias("keep"), F.count("*").alias("n"))
     n_links = F.col("n") - 1 + F.coalesce("links", F.lit(0))
-    return sets, cut(names.join(least, "comp").select("name", "keep", n_links.alias("n_links")))
+    names = join_counted(names.select("name", "comp", n_links.alias("n_links"), F.col("n").alias("rows")), least, ["comp"])
+    return sets.select("doc_id", "hash", "n_shingles", "name"), names.select("name", "keep", "n_links", F.col("rows").alias("n"))
 
 
 def links_of_similar(docs: DataFrame, width: int = 4, num: int = 85, den: int = 100) -> DataFrame:
@@ -415,14 +422,11 @@ def links_of_similar(docs: DataFrame, width: int = 4, num: int = 85, den: int =
     columns are ignored.
     """
     sets, names = _classified(docs, width, num, den)
-    names = names.select("name", F.col("keep.doc_id").alias("component_id"), "n_links")
+    names = names.select("name", F.col("keep.doc_id").alias("component_id"), "n_links", "n")
     null = lambda c: F.nullif(c, F.lit(LAST))
-    return sets.join(names, "name", "left").select(
-        null(F.col("doc_id")).alias("doc_id"),
-        "n_shingles",
-        null(F.coalesce("component_id", "doc_id")).alias("component_id"),
-        F.coalesce("n_links", F.lit(0)).alias("n_links"),
-    )
+    filled = join_counted(sets.where("n_shingles > 0"), names, ["name"]).select("doc_id", "n_shingles", "component_id", "n_links")
+    empty = sets.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
+    return filled.unionByName(empty).select(null(F.col("doc_id")).alias("doc_id"), "n_shingles", null(F.col("component_id")).alias("component_id"), "n_links")
 
 
 def groups_of_similar(docs: DataFrame, width: int = 4, num: int = 85, den: int = 100) -> DataFrame:
@@ -431,18 +435,18 @@ def groups_of_similar(docs: DataFrame, width: int = 4, num: int = 85, den: int =
 
 
 def drop_similar(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """The rows of ``docs`` that stay: one of each component, with all their columns.
+    """The rows of ``docs`` that stay: one of each component, with all their columns, whatever these are called.
 
-    It is the one with the smallest doc_id, null last, and of these the one with the smallest hash of its text; of equal
-    rows any. Rows without words stay.
+    It is the one with the smallest doc_id, null last, and of these the one with the smallest hash of its text; of rows
+    that have both in common one stays, the one whose other columns have the smallest hash. Rows without words stay, null
+    and empty texts too. An empty table stays empty.
     """
     sets, names = _classified(docs, width, num, den)
-    rows = sets.where("n_shingles > 0").join(names.select("name", "keep"), "name").groupBy("doc_id", "hash").agg(
-        F.first("keep").alias("keep"), F.count("*").alias("__n")
-    )
+    told = join_counted(sets.where("n_shingles > 0"), names, ["name"]).groupBy("doc_id", "hash").agg(F.first("keep").alias("keep"), F.count("*").alias("rows"))
     stays = F.struct("doc_id", "hash") == F.col("keep")
-    gone = cut(rows.where(~stays | (F.col("__n") > 1)).select(F.col("doc_id").alias("__id"), F.col("hash").alias("__hash"), (stays).alias("__one")))
-    same = (F.coalesce(F.col("`doc_id`"), F.lit(LAST)) == F.col("__id")) & (F.xxhash64(F.col("`text`")) == F.col("__hash"))
-    rest = docs.join(gone, same, "left_anti")
-    one = docs.join(gone.where("__one"), same).dropDuplicates(["__id", "__hash"]).drop("__id", "__hash", "__one")
-    return rest.unionByName(one)
+    gone = cut(told.where(~stays | (F.col("rows") > 1)).select(F.col("doc_id").alias("id"), "hash", stays.alias("one")))
+    keys = (F.coalesce(F.col("`doc_id`"), F.lit(LAST)).alias("id"), F.xxhash64(F.col("`text`")).alias("hash"))
+    packed = docs.select(*keys, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    rest = packed.join(gone, ["id", "hash"], "left_anti").select("row")
+    once = packed.join(gone.where("one"), ["id", "hash"]).groupBy("id", "hash").agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row"))
+    return rest.unionByName(once.select("row")).select("row.*")

@@ -103,10 +103,9 @@ def bounds(keys: np.ndarray, texts: int) -> np.ndarray:
     return np.searchsorted(keys, np.arange(texts + 1, dtype=U) << HASH_BITS)
 
 
-def set_names(keys: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """A 64-bit name of each text's set; 0 for an empty set."""
-    sums = np.zeros(len(at), U)
-    x = mix((keys & HASH_MASK) + U(0x632BE59BD9B4E019))
+def set_names(keys: np.ndarray, at: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit name of each text's set, another one for each seed; 0 for an empty set."""
+    x = mix((keys & HASH_MASK) + U((0x632BE59BD9B4E019 + seed * 0x9E6C63D0876A9A47) % (1 << 64)))
     total = np.zeros(len(keys) + 1, U)
     np.cumsum(x, out=total[1:])
     sums = total[at[1:]] - total[at[:-1]]
