@@ -16,8 +16,8 @@ from tapeloom.llm.common import map_arrow, only
 
 WINDOW = 2048
 END_ID = 1
-#: Pieces of the parts that don't fill a window; the windows of one differencing; tokens left free per window.
-PIECE, GROUP_WINDOWS, FREE = 256, 32, 16
+#: The windows of one differencing.
+GROUP_WINDOWS = 32
 #: Words that one Python worker remembers the ids of; texts whose new words are encoded together.
 REMEMBERED, TEXTS = 1_000_000, 256
 PUNCTUATION = frozenset((b".", b",", b";", b":", b"!", b"?"))
@@ -100,18 +100,44 @@ def difference(sizes: list[int], windows: int) -> list[list[int]]:
     return heap[0][3] if heap else [[] for _ in range(windows)]
 
 
-def windows_of(sizes: list[int], window: int = WINDOW) -> list[list[int]]:
-    """Items of each window; the number of windows rises while one would exceed its capacity."""
-    n = max(1, -(-sum(sizes) // window))
-    while True:
-        parts = difference(sizes, n)
-        if max(sum(sizes[i] for i in p) for p in parts) <= window:
-            return [p for p in parts if p]
+def windows_of(sizes: list[int], window: int = WINDOW) -> list[list[tuple[int, int, int]]]:
+    """(item, start, length) of the pieces in each window.
+
+    Differencing gives windows with nearly equal sums of whole items. The number of windows rises while their capacity is
+    exceeded by all items together. Where one window has more than its capacity, the item at its edge is cut, and what
+    is over fills the windows that have room.
+    """
+    total = sum(sizes)
+    n = max(1, total // window)
+    while total > n * window:
         n += 1
+    windows, over = [], []
+    for part in difference(sizes, n):
+        held, room = [], window
+        for i in part:
+            fits = min(sizes[i], room)
+            if fits:
+                held.append((i, 0, fits))
+            if fits < sizes[i]:
+                over.append((i, fits, sizes[i] - fits))
+            room -= fits
+        windows.append((held, room))
+    for held, room in windows:
+        while room and over:
+            i, start, length = over.pop()
+            fits = min(length, room)
+            held.append((i, start, fits))
+            room -= fits
+            if fits < length:
+                over.append((i, start + fits, length - fits))
+    return [held for held, _ in windows if held]
 
 
 class _Packer:
-    """Pieces of one task, in order: (doc_id, start, ids, doc_tokens) -> rows with sequence and offset."""
+    """Pieces of one task, in order: (doc_id, start, ids, doc_tokens) -> rows with sequence and offset.
+
+    Whole windows of a document leave at once, the rest of it waits until GROUP_WINDOWS windows can be filled.
+    """
 
     def __init__(self, window: int, first: int) -> None:
         self.window, self.sequence = window, first
@@ -132,11 +158,9 @@ class _Packer:
             if len(part) == step:
                 yield from self.place([(doc_id, at // 4, part, tokens)])
                 continue
-            for k in range(0, len(part), 4 * PIECE):
-                piece = part[k : k + 4 * PIECE]
-                self.held.append((doc_id, (at + k) // 4, piece, tokens))
-                self.total += len(piece) // 4
-        goal = GROUP_WINDOWS * (self.window - FREE)
+            self.held.append((doc_id, at // 4, part, tokens))
+            self.total += len(part) // 4
+        goal = GROUP_WINDOWS * self.window
         while self.total >= goal:
             yield from self.flush(goal)
 
@@ -152,14 +176,15 @@ class _Packer:
             group.append((doc_id, start, ids, tokens))
             size += len(ids) // 4
         self.total -= size
-        for items in windows_of([len(p[2]) // 4 for p in group], self.window):
-            yield from self.place([group[i] for i in items])
+        for pieces in windows_of([len(p[2]) // 4 for p in group], self.window):
+            cut = [(group[i], at, n) for i, at, n in pieces]
+            yield from self.place([(d, start + at, ids[4 * at : 4 * (at + n)], tokens) for (d, start, ids, tokens), at, n in cut])
 
     def close(self) -> Iterator[tuple]:
         """The rest: whole windows by differencing, then sequences of powers of two, which need no padding."""
         n = self.total // self.window
         if n:
-            yield from self.flush(n * (self.window - FREE))
+            yield from self.flush(n * self.window)
         while self.total:
             goal = 1 << (min(self.total, self.window).bit_length() - 1)
             pieces, size = [], 0
@@ -190,8 +215,9 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW) -> DataFrame:
 
     Returns doc_id, start, length, ids (little-endian unsigned 32-bit numbers), doc_tokens, sequence_id, offset. A
     document is its ids and then id 1; null texts have that one id. Full windows of a document are sequences by
-    themselves. What is left is cut into pieces and packed by multiway differencing into groups of near-equal windows,
-    a few tokens below the capacity; sequences that aren't full are to be padded to ``window``, except those at a power of two.
+    themselves. What is left of documents stays whole and is dealt by multiway differencing to groups of near-equal windows;
+    only a piece that a window has no room for is cut. Sequences that aren't full are to be padded to ``window``, except
+    those at a power of two.
 
     Every row is packed, repeated rows too; an empty table gives no pieces. Other columns are ignored. Each input
     partition is packed by itself as it streams by, so nothing is shuffled, memory is bounded by one group and one
