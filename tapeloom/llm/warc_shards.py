@@ -20,8 +20,9 @@ from pyspark.sql import functions as F
 
 from tapeloom.llm.common import cut, join_counted, map_arrow, only
 
-#: Compressed bytes after which a file is rolled, and raw bytes that a shard should have.
-ROLL_BYTES, SHARD_BYTES = 64 << 20, 256 << 20
+#: Compressed bytes after which a file is rolled, raw bytes that a shard should have, and the most shards, whose bounds
+#: the driver and each task hold (a larger archive has larger shards, which roll to more files).
+ROLL_BYTES, SHARD_BYTES, MAX_SHARDS = 64 << 20, 16 << 20, 20_000
 #: Keys of a fixed sample from which shard bounds are taken, at least; 16 for each shard if that is more.
 BOUNDS_SAMPLE = 4096
 DATE = "2024-01-01T00:00:00Z"
@@ -41,7 +42,7 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
         f"WARC-Type: {kind}",
         f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(NAMES, f'{page_id}:{digest}')}>",
         f"WARC-Date: {DATE}",
-        f"WARC-Target-URI: {(url or '').encode('ascii', 'backslashreplace').decode().replace(chr(13), '').replace(chr(10), '')}",
+        f"WARC-Target-URI: {(url or '').replace(chr(13), '%0D').replace(chr(10), '%0A')}",
         f"WARC-Payload-Digest: sha1:{digest}",
         f"X-Page-Id: {'' if page_id is None else page_id}",
         f"X-Payload-Length: {len(payload)}",
@@ -170,7 +171,8 @@ def write_warc(
     come first in order. Of equal rows of the response's page the first is the response. Other columns are ignored.
 
     Records are dealt to shards by ranges of page_id and sorted within them. Bounds come from a fixed sample of keys,
-    headers and digests from the record alone, so the same rows give the same files. A file is rolled before it would
+    their number from the bytes of all payloads, headers and digests from the record alone, so the same rows give the same
+    files, whatever the session's settings are. URLs are kept in UTF-8, with line ends as %0D and %0A. A file is rolled before it would
     exceed ``roll_bytes`` compressed bytes. Each file is written under a temporary name and renamed when whole; the
     manifest (file, records, bytes, sha256) names what counts, and is written to ``root`` as _manifest.
 
@@ -188,8 +190,7 @@ def write_warc(
         F.nullif(F.col("keep"), F.lit(LEAST)).alias("refers_to"),
     ).distinct()
     total = ids.agg(F.sum("n_bytes")).first()[0] or 0
-    slots = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    bounds = _bounds(ids.select(F.col("order").alias("page_id")), max(min(slots, 1 + total // (1 << 20)), total // shard_bytes))
+    bounds = _bounds(ids.select(F.col("order").alias("page_id")), min(1 + total // shard_bytes, MAX_SHARDS))
 
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
