@@ -95,25 +95,13 @@ def _vectors(stats: DataFrame) -> DataFrame:
     return stats.withColumns({d: F.round(c * UNIT).cast("long") for d, c in zip(DIMS, shape, strict=True)})
 
 
-def _grouped(rows: DataFrame, least: int) -> DataFrame:
-    """Adds g_lang and g_source: language and source where they have ``least`` rows, else all rows of such small groups
-    of the language, else those of all languages."""
-    key = ["lang", "source"]
-    n = rows.groupBy(*key).agg(F.count("*").alias("n"))
-    own = n.select(*key, (F.col("n") >= least).alias("own"), "n")
-    pool = own.where("NOT own").groupBy("lang").agg(F.sum("n").alias("pool"))
-    same = F.col("lang").eqNullSafe(F.col("l2"))
-    own = own.join(pool.withColumnRenamed("lang", "l2"), same, "left").drop("l2")
-    by_lang = F.coalesce(F.col("pool") >= least, F.lit(False))
+def _levels(rows: DataFrame) -> DataFrame:
+    """Each row three times: in its language and source, in its language, and among all rows. "*" stands for any."""
     tag = lambda c: F.to_json(F.struct(F.col(c).alias("v")))  # noqa: E731  null gets a name that no value has
-    own = own.select(
-        F.col("lang").alias("l2"),
-        F.col("source").alias("s2"),
-        F.when(F.col("own") | by_lang, tag("lang")).otherwise(F.lit("*")).alias("g_lang"),
-        F.when(F.col("own"), tag("source")).otherwise(F.lit("*")).alias("g_source"),
-    )
-    both = F.col("lang").eqNullSafe(F.col("l2")) & F.col("source").eqNullSafe(F.col("s2"))
-    return rows.join(own, both).drop("l2", "s2")
+    rows = rows.withColumns({"own_lang": tag("lang"), "own_source": tag("source")})
+    level = lambda a, b: F.struct(a.alias("g_lang"), b.alias("g_source"))
+    own, any_ = level(F.col("own_lang"), F.col("own_source")), F.lit("*")
+    return rows.select("*", F.inline(F.array(own, level(F.col("own_lang"), any_), level(any_, any_))))
 
 
 GROUP = ["g_lang", "g_source"]
@@ -192,51 +180,80 @@ def _binned(vectors: DataFrame, fits: DataFrame, *more: Column) -> DataFrame:
     return d.groupBy(*keys).agg(*(more or [F.count("*").alias("n")]))
 
 
-def robust_fit(vectors: DataFrame, share: float = 0.75, steps: int = 3) -> DataFrame:
-    """Per group the minimum-covariance-determinant estimate: means, factor, and the scale of its distances.
+def _inner(vectors: DataFrame, fits: DataFrame, share: float) -> DataFrame:
+    """Moments of the ``share`` of rows with the smallest distances, per group and start; the bin at the edge counts in part."""
+    keys = [*GROUP, "start"]
+    bins = _binned(vectors, fits, *_moments())
+    order = W.partitionBy(*keys).orderBy("bin").rowsBetween(W.unboundedPreceding, 0)
+    before = F.sum("n").over(order) - F.col("n")
+    inner = bins.withColumn("before", before).withColumn("all", F.sum("n").over(W.partitionBy(*keys)))
+    inner = inner.withColumn("part", F.least(F.lit(1.0), (F.col("all") * share - F.col("before")) / F.col("n"))).where("part > 0")
+    return inner.groupBy(*keys).agg(*[F.sum(F.col(c) * F.col("part")).alias(c) for c in _names()])
+
+
+def robust_moments(vectors: DataFrame, share: float = 0.75, steps: int = 5) -> DataFrame:
+    """Per group the moments of the rows that the minimum-covariance-determinant estimate rests on.
 
     From each start, ``steps`` concentration steps: the rows with the smallest ``share`` of distances give the next
-    estimate. The start with the smallest determinant wins; its distances are scaled to the chi-square median. Each
-    step is one aggregation to a few hundred bins per group, combined before the shuffle, so a group may hold any
-    share of the rows.
+    estimate. The start with the smallest determinant wins. Each step is one aggregation to a few hundred bins of distance
+    per group, combined before the shuffle, so a group may hold any share of the rows.
     """
     fits = cut(_start(vectors))
     for _ in range(steps):
-        bins = _binned(vectors, fits, *_moments())
-        order = W.partitionBy(*GROUP, "start").orderBy("bin").rowsBetween(W.unboundedPreceding, 0)
-        before = F.sum("n").over(order) - F.col("n")
-        inner = bins.withColumn("before", before).withColumn("all", F.sum("n").over(W.partitionBy(*GROUP, "start")))
-        inner = inner.where(F.col("before") < F.col("all") * share)
-        fits = cut(_factored(inner.groupBy(*GROUP, "start").agg(*[F.sum(c).alias(c) for c in _names()]), *GROUP, "start"))
-    cols = [c for c in fits.columns if c not in GROUP]
-    best = fits.groupBy(*GROUP).agg(F.min_by(F.struct(*cols), F.struct("half_logdet", "start")).alias("best"))
-    best = best.select(*GROUP, "best.*").drop("start", "half_logdet")
-    bins = _binned(vectors, best)
+        sums = cut(_inner(vectors, fits, share))
+        fits = _factored(sums, *GROUP, "start")
+    best = fits.groupBy(*GROUP).agg(F.min_by("start", F.struct("half_logdet", "start")).alias("start"))
+    return cut(sums.join(best, [*GROUP, "start"]).drop("start"))
+
+
+def _toward(own: DataFrame, parent: DataFrame, on: list[str], weight: float, cols: list[str]) -> DataFrame:
+    """Sums of groups and of ``weight`` rows more that are like their parent's mean row."""
+    p = parent.select(*on, *[(F.col(c) / F.col("n")).alias(f"p_{c}") for c in cols])
+    joined = own.join(p, on) if on else own.join(F.broadcast(p))  # one row
+    return joined.select(*GROUP, *[(F.col(c) + weight * F.col(f"p_{c}")).alias(c) for c in cols])
+
+
+def robust_fit(vectors: DataFrame, weight: float = 100.0, share: float = 0.75) -> DataFrame:
+    """Per language and source (rows of ``vectors`` at three levels, see _levels()): means, factor and scale of distances.
+
+    Each estimate leans on the next wider one, as if ``weight`` rows like that one's were there too: a language and source
+    on its language, a language on all rows. So groups of any size have an estimate, large ones their own. Distances are
+    scaled to the chi-square median in the same way.
+    """
+    sums, cols = robust_moments(vectors, share), _names()
+    of_all = sums.where("g_lang = '*'").select(*GROUP, *cols)
+    of_lang = _toward(sums.where("g_lang != '*' AND g_source = '*'"), of_all, [], weight, cols)
+    own = _toward(sums.where("g_source != '*'"), of_lang.drop("g_source"), ["g_lang"], weight, cols)
+    fits = cut(_factored(own, *GROUP).drop("half_logdet").unionByName(_factored(of_lang, *GROUP).drop("half_logdet")).unionByName(_factored(of_all, *GROUP).drop("half_logdet")))
+    bins = _binned(vectors, fits)
     order = W.partitionBy(*GROUP).orderBy("bin").rowsBetween(W.unboundedPreceding, 0)
     half = bins.withColumn("upto", F.sum("n").over(order)).withColumn("all", F.sum("n").over(W.partitionBy(*GROUP)))
-    half = half.where(F.col("upto") * 2 >= F.col("all")).groupBy(*GROUP).agg(F.min("bin").alias("bin"), F.first("all").alias("rows"))
+    half = half.where(F.col("upto") * 2 >= F.col("all")).groupBy(*GROUP).agg(F.min("bin").alias("bin"), F.first("all").alias("n"))
     scale = F.greatest(F.pow(F.lit(2.0), (F.col("bin") + 1) / 8) / F.lit(CHI2_MEDIAN), F.lit(1.0))
-    return cut(best.join(half.select(*GROUP, scale.alias("scale"), "rows"), GROUP))
+    half = cut(half.select(*GROUP, "n", (F.col("n") * scale).alias("scale")))
+    top = half.where("g_lang = '*'")
+    lang = _toward(half.where("g_lang != '*' AND g_source = '*'"), top, [], weight, ["n", "scale"])
+    scaled = _toward(half.where("g_source != '*'"), lang.drop("g_source"), ["g_lang"], weight, ["n", "scale"])
+    return cut(fits.join(scaled.select(*GROUP, (F.col("scale") / F.col("n")).alias("scale")), GROUP))
 
 
-def judge(docs: DataFrame, min_group: int = 100, cutoff: float = 60.0) -> DataFrame:
-    """Per row of ``docs``: doc_id, lang, source, the statistics, base_failed, distance (null where no estimate) and kept.
+def judge(docs: DataFrame, weight: float = 100.0, cutoff: float = 60.0) -> DataFrame:
+    """Per row of ``docs``: doc_id, lang, source, the statistics, base_failed, distance (null where base_failed) and kept.
 
     base_failed: fewer than 50 words, or more than half of the words repeat. The method estimates location and spread
     of five transformed statistics (word length, symbols, duplicate lines, repeated words, capitals) per language and
     source by minimum covariance determinant, and rejects where the squared Mahalanobis distance exceeds ``cutoff``.
 
-    Estimates use all rows that pass the base rules. Groups of fewer than ``min_group`` such rows are pooled by language, and pools that
-    are still that small over all languages; where even that is small there is no estimate and the base rules decide
-    alone. Null texts are empty; null languages and sources are groups of their own. Equal rows get equal verdicts.
+    Estimates use all rows that pass the base rules, and every such row has one: that of a small group leans on its
+    language's and that of all rows (see robust_fit()). Null texts are empty; null languages and sources are groups of
+    their own. Equal rows get equal verdicts. An empty table gives an empty result.
     """
     stats = cut(text_statistics(docs, "lang", "source"))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     vectors = _vectors(stats.withColumn("base_failed", failed))
-    good = cut(_grouped(vectors.where("NOT base_failed"), min_group))
-    fits = robust_fit(good).where(F.col("rows") >= min_group)
-    scored = _distance(good.join(fits, GROUP, "left")).withColumn("distance", F.col("d2") / F.col("scale"))
+    good = cut(_levels(vectors.where("NOT base_failed")))
+    fits = robust_fit(good, weight)
+    scored = _distance(good.where("g_source != '*'").join(fits, GROUP)).withColumn("distance", F.col("d2") / F.col("scale"))
     out = ["doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_upper", "n_lines", "n_dup_lines", "n_repeat_words", "base_failed"]
-    kept = F.coalesce(F.col("distance") <= cutoff, F.lit(True))
     bad = vectors.where("base_failed").select(*out, F.lit(None).cast("double").alias("distance"), F.lit(False).alias("kept"))
-    return scored.select(*out, "distance", kept.alias("kept")).unionByName(bad)
+    return scored.select(*out, "distance", (F.col("distance") <= cutoff).alias("kept")).unionByName(bad)
