@@ -13,9 +13,8 @@ from pyspark.sql import functions as F
 
 from tapeloom.llm.common import cut, map_arrow, only
 
-#: At most so many labelled rows of each class are fitted on (those with the smallest hashes of their doc_id); tokens
-#: that the lexicons hold at most; lexicon voters.
-FIT_ROWS, LEXICON, VOTERS = 6000, 1500, 12
+#: At most so many labelled rows of each class are fitted on (those with the smallest hashes of their doc_id); lexicon voters.
+FIT_ROWS, VOTERS = 6000, 12
 #: A token is a word, or the beginning of one with so many letters and a star.
 STEMS = (4, 5, 6, 7, 8)
 MIN_ROWS = 3
@@ -97,7 +96,7 @@ def fit_rows(docs: DataFrame, known: DataFrame, most: int = FIT_ROWS) -> DataFra
     known = known.withColumn("h", F.xxhash64("doc_id"))
     some = [known.where(F.col("toxic") == k).orderBy("h", "doc_id").limit(most) for k in (0, 1)]
     chosen = F.broadcast(some[0].unionByName(some[1]).drop("h"))  # at most 2 * most rows
-    return cut(only(docs, "doc_id", "text").join(chosen, "doc_id").dropDuplicates(["doc_id"]))
+    return cut(only(docs, "doc_id", "text").join(chosen, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")))
 
 
 def _count_tokens(tokens: set[str] | None):
@@ -130,7 +129,7 @@ def surprise(a: int, b: int, n1: int, n0: int) -> float:
     return 2 * sum(x * float(np.log(x / e)) for x, e in parts if x > 0)
 
 
-def learn_lexicon(rows: DataFrame, sizes: dict[int, int], most: int = LEXICON, least_surprise: float = 27.0) -> list[tuple[str, float]]:
+def learn_lexicon(rows: DataFrame, sizes: dict[int, int], least_surprise: float = 27.0) -> list[tuple[str, float]]:
     """Tokens that toxic texts hold more often than chance among a million tokens explains,
     and other texts hardly ever; most surprising first. ``sizes`` are the rows of each class that ``rows`` were taken from."""
     n = {r[0]: r[1] for r in rows.groupBy("toxic").count().collect()}
@@ -140,8 +139,7 @@ def learn_lexicon(rows: DataFrame, sizes: dict[int, int], most: int = LEXICON, l
     found = map_arrow(rows.where("toxic = 1").select("text"), _count_tokens(None), "token string, n long")
     found = found.groupBy("token").agg(F.sum("n").alias("toxic"))
     least = min(MIN_ROWS, max(2, n[1] // 4))
-    best = found.where(F.col("toxic") >= least).orderBy(F.desc("toxic"), "token").limit(20 * most)
-    best = {r["token"]: r["toxic"] for r in best.collect()}  # at most 20 * most tokens
+    best = {r["token"]: r["toxic"] for r in found.where(F.col("toxic") >= least).collect()}  # tokens of the bounded sample
     counted = map_arrow(rows.where("toxic = 0").select("text"), _count_tokens(set(best)), "token string, n long")
     other = Counter({r[0]: r[1] for r in counted.groupBy("token").agg(F.sum("n")).collect()})
     scored = []
@@ -150,7 +148,7 @@ def learn_lexicon(rows: DataFrame, sizes: dict[int, int], most: int = LEXICON, l
         if g > least_surprise and a * w1 >= PRECISION * (a * w1 + other[t] * w0):
             scored.append((t, g))
     scored.sort(key=lambda x: (-x[1], x[0]))
-    return scored[:most]
+    return scored
 
 
 def label_model(votes: np.ndarray, first: np.ndarray, trusted: list[int], mass: np.ndarray, steps: int = 10) -> np.ndarray:
