@@ -17,7 +17,6 @@ from tapeloom.llm.common import cut, join_counted, map_arrow, only
 #: Bytes of content that one table may hold, and the number of spill files of one level.
 TABLE_BYTES = 64 << 20
 FANOUT = 16
-MAX_DEPTH = 8
 
 
 class ContentTable:
@@ -62,13 +61,14 @@ def grace(records: Iterable[tuple[str, int | None, int]], table_bytes: int = TAB
 
     Records go to one table while it fits. Beyond ``table_bytes`` new contents go to spill files by bits of a hash
     that each level seeds anew, and each file is a problem of its own. Contents in the table stay there, so a content
-    is either in the table or in one file. Bytes in memory stay near table_bytes however long the input is.
+    is either in the table or in one file. Each level's table takes its share, so levels end; bytes in memory stay near
+    table_bytes for each of them however long the input is.
     """
     table, files, folder = ContentTable(), None, None
     try:
         for content, doc_id, rows in records:
             h = xxhash.xxh3_64_intdigest(content, seed=depth)
-            if table.bytes >= table_bytes and depth < MAX_DEPTH:
+            if table.bytes >= table_bytes:
                 if files is None:
                     folder = tempfile.mkdtemp(prefix="grace-")
                     files = [open(f"{folder}/{k}", "w+b") for k in range(FANOUT)]
@@ -161,15 +161,18 @@ def exact_groups(docs: DataFrame, table_bytes: int = TABLE_BYTES) -> DataFrame:
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns.
+    """The rows of ``docs`` that stay, with all their columns, whatever these are called.
 
-    Of several rows with one doc_id and one text, one stays.
+    Of several rows with one doc_id and one text, one stays: that whose other columns have the smallest hash. Null and
+    empty texts are equal, so one of them stays. An empty table stays empty.
     """
     groups = exact_groups(docs).where("kept").groupBy("doc_id", "text_sha256").agg(F.count("*").alias("rows"))
-    stay = cut(groups.select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__want"), "rows"))
-    tagged = docs.withColumn("__sha", F.sha2(F.coalesce(F.col("`text`"), F.lit("")), 256))
-    same = F.col("`doc_id`").eqNullSafe(F.col("__id")) & (F.col("__sha") == F.col("__want"))
-    kept = tagged.join(stay.drop("rows"), same, "left_semi")
+    stay = cut(groups.select(F.col("doc_id").alias("id2"), F.col("text_sha256").alias("sha2"), "rows"))
+    sha = F.sha2(F.coalesce(F.col("`text`"), F.lit("")), 256)
+    packed = docs.select(F.col("`doc_id`").alias("id"), sha.alias("sha"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    same = F.col("id").eqNullSafe(F.col("id2")) & (F.col("sha") == F.col("sha2"))
+    kept = packed.join(stay.where("rows = 1"), same, "left_semi").select("row")
     if stay.where("rows > 1").limit(1).count():
-        kept = kept.dropDuplicates(["doc_id", "__sha"])
-    return kept.drop("__sha")
+        twice = packed.join(stay.where("rows > 1"), same, "left_semi")
+        kept = kept.unionByName(twice.groupBy("id", "sha").agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row")).select("row"))
+    return kept.select("row.*")
