@@ -191,3 +191,74 @@ def test_jaccard_on_the_smallest_table(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
     assert {tuple(r) for r in jaccard_join.groups_of_similar(docs).collect()} == brute_components(rows)
+
+
+def test_forms_that_drop_rows_keep_columns_of_any_name(spark):
+    text = "a b c d e f g h i j k l"
+    rows = [(1, text, "p", "q", 5, "u"), (2, text.upper(), "r", "s", 6, "v"), (3, text, "t", "w", 7, "x"), (9, "k", None, None, None, None), (9, "k", None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __sha string, __gone string, id long, row string")
+    assert sorted(map(tuple, exact_dedup.drop_copies(docs).collect())) == sorted(rows[1:4], key=lambda r: r[0])
+    assert sorted(map(tuple, jaccard_join.drop_similar(docs).collect())) == [rows[0], rows[3]]
+
+
+def test_very_long_text_of_few_words(make):
+    texts = ["ab " * 400_000, "ab " * 399_999, "x" * 2_000_000, "x" * 2_000_000, "y z " * 10]
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in jaccard_join.links_of_similar(make(texts)).collect()}
+    assert got == {0: (1, 0, 1), 1: (1, 0, 1), 2: (1, 2, 1), 3: (1, 2, 1), 4: (2, 4, 0)}
+
+
+def buckets_of(rows, size):
+    """Buckets and blocks that _bucket_task gives for sorted (sig, salt, name) rows in batches of a given size."""
+    import pyarrow as pa
+
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows[i : i + size])], ["sig", "salt", "name"]) for i in range(0, len(rows), size)]
+    out = [r for b in jaccard_join._bucket_task(iter(batches)) for r in zip(*(c.to_pylist() for c in b.columns))]
+    whole, split = {}, {}
+    for bucket, block, is_split, name in out:
+        (split if is_split else whole).setdefault(bucket, {}).setdefault(block, []).append(name)
+    return [sorted(v[0]) for v in whole.values()], list(split.values())
+
+
+@pytest.mark.parametrize("size", [1, 3, 7, 50, 1000])
+def test_buckets_large_and_small(monkeypatch, size):
+    monkeypatch.setattr(jaccard_join, "BLOCK", 10)
+    rows = [(1, 0, n) for n in (3, 5)] + [(2, 0, 4)] + [(3, 0, n) for n in range(95)] + [(4, 0, n) for n in (7, 8, 9)] + [(5, 1, 1), (5, 1, 2), (5, 2, 3)] + [(6, 0, n) for n in range(15)]
+    rows = sorted(rows + rows[:5] + rows[40:60])
+    whole, split = buckets_of(rows, size)
+    assert sorted(whole) == [[3, 5], [7, 8, 9]]
+    found = sorted(sorted(n for names in b.values() for n in names) for b in split)
+    assert found == sorted([list(range(95)), [1, 2, 3], list(range(15))])
+    assert all(len(names) <= 10 for b in split for names in b.values())
+
+
+def test_salted_signatures_give_the_same_links(make, monkeypatch):
+    base = [f"w{k}" for k in range(80)]
+    texts = [" ".join([*base[:k], "x", *base[k + 1 :]]) for k in range(0, 80, 2)] + near_copies(5, 6, [30, 60], 3)
+    monkeypatch.setattr(jaccard_join, "BLOCK", 6)
+    monkeypatch.setattr(jaccard_join, "hot_signatures", lambda rows, n, width, seed, bands: {
+        r["sig"]: 3 for r in jaccard_join.map_arrow(rows.select("text"), jaccard_join._signature_task(width, seed, bands, {}), "sig long, salt long, name long").groupBy("sig").count().where("count > 12").collect()
+    })
+    got = {r.doc_id: r.n_links for r in jaccard_join.links_of_similar(make(texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_links(texts)
+
+
+def test_parity_filter_loses_no_link():
+    import numpy as np
+
+    from tapeloom.llm import set_compare
+
+    rng = np.random.default_rng(3)
+    for n in (4, 30, 64, 65, 300, 2000):
+        sets = [np.unique(rng.integers(0, 1 << 54, n, dtype=np.uint64))]
+        for gone in range(1, max(2, n // 8)):
+            sets.append(np.unique(np.concatenate([rng.permutation(sets[0])[gone:], rng.integers(0, 1 << 54, gone // 2, dtype=np.uint64)])))
+        sets = [s for s in sets if len(s)]
+        at = np.append(0, np.cumsum([len(s) for s in sets]))
+        vectors = set_compare.parities(np.concatenate([s | np.uint64(k << 54) if k < 1023 else s for k, s in enumerate(sets)]), at).to_pylist()
+        size = np.array([len(s) for s in sets])
+        for i in range(min(len(sets), 40)):
+            for j in range(i):
+                both = len(np.intersect1d(sets[i], sets[j]))
+                if both * 100 >= (size[i] + size[j] - both) * 85:
+                    label = set_compare.Filter(85, 100).classes(np.array([2]), size[[i, j]], [vectors[i], vectors[j]])
+                    assert label.tolist() == [0, 0]

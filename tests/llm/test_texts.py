@@ -50,6 +50,24 @@ def test_quality_small_null_and_empty(make):
     assert out == {0: False, 1: False, 2: True}
 
 
+def test_every_row_has_a_verdict_by_the_method(spark):
+    rows = quality_rules.judge(documents(spark)).collect()
+    assert rows and all((r.distance is None) == r.base_failed and r.kept == (not r.base_failed and r.distance <= 60.0) for r in rows)
+
+
+def test_concentration_finds_the_clean_rows(spark):
+    """A fifth of the rows lie far off: the estimate rests on the others, and steps lower its determinant."""
+    import random
+
+    rng = random.Random(5)
+    rows = [tuple(int(rng.gauss(1000, 100)) for _ in range(5)) for _ in range(400)] + [tuple(int(rng.gauss(9000, 100)) for _ in range(5)) for _ in range(100)]
+    v = spark.createDataFrame([("en", "s", *r) for r in rows], "g_lang string, g_source string, q0 long, q1 long, q2 long, q3 long, q4 long")
+    r = quality_rules.robust_moments(v).first()
+    assert all(abs(r[f"s_q{i}"] / r["n"] - 1000) < 30 for i in range(5)) and abs(r["n"] - 375) < 1e-6
+    det = [quality_rules._factored(quality_rules.robust_moments(v, steps=k), "g_lang", "g_source").first()["half_logdet"] for k in (1, 5)]
+    assert det[1] <= det[0] + 1e-9
+
+
 PHRASES = {"cc-by": ["cc", "by"], "gpl": ["general", "public", "license"], "reserved": ["all", "rights", "reserved"]}
 
 
@@ -75,6 +93,17 @@ def test_license_notice_with_a_word_missing(make):
     assert {x.doc_id: x.labels for x in r} == {0: "apache", 1: "bsd", 2: ""}
 
 
+def test_license_span_inside_a_chain_of_neighbouring_diagonals(make):
+    texts = [
+        "licensed under the " + "under the " * 6 + "apache license version 2 0",
+        "licensed under the " + "under the " * 5000 + "apache license version 2 0",
+        "licensed under the apache license version 2 0 " + "version 2 " * 12,
+        "x " * 3000 + " ".join(license_scan.NOTICES[3][1].split()[7:]) + " y" * 3000,
+        "of the in the to the software " * 500,
+    ]
+    assert [r.labels for r in license_scan.scan(make(texts)).orderBy("doc_id").collect()] == ["apache", "apache", "apache", "mit", ""]
+
+
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 
 
@@ -144,6 +173,41 @@ def test_repeat_mixed_keeps_columns(make):
     assert out.columns == docs.columns and out.where("doc_id = 3").count() == 1
 
 
+def brute_taken(rows, target, size):
+    """rows: (key, size) of one source in any order. Whole epochs, then by key until the target is reached."""
+    epochs = int(target // size) if size else 0
+    rest, taken = round(target - epochs * size), {}
+    for key, k, n in sorted(rows):
+        part = max(0, min(n, rest))
+        taken[k] = epochs * n + part
+        rest -= part
+    return taken
+
+
+def test_mixing_takes_documents_in_the_order_of_their_keys(spark, make):
+    import math
+
+    texts = [("word%d " % i + "1234 " * (i % 3)) * (1 + i % 9) for i in range(150)]
+    source = ["a" if i % 3 else "b" for i in range(150)]
+    docs = make(texts, source=source)
+    h = {r.doc_id: (r.h % (1 << 64)) >> 11 for r in docs.select("doc_id", mixing.row_hash().alias("h")).collect()}
+    solid = lambda t: "".join(W.findall(t))
+    quality = lambda t: max(0.2, sum(c.isalpha() for c in solid(t)) / len(solid(t)))
+    key = {i: -math.log((h[i] + 0.5) / (1 << 53)) / quality(t) for i, t in enumerate(texts)}
+    rows = mixing.mix(docs).collect()
+    for s in "ab":
+        own = [r for r in rows if source[r.doc_id] == s]
+        want = brute_taken([(key[r.doc_id], r.doc_id, r.size) for r in own], own[0].target, own[0].source_size)
+        assert {r.doc_id: r.taken for r in own} == want
+
+
+def test_repeat_mixed_tells_rows_of_other_sources_apart(spark):
+    rows = [(1, "a b c", "a", "p"), (1, "a b c", "b", "q"), (None, "a b c", None, "r"), (2, None, "a", None), (3, "d e", "a", "s"), (3, "d e", "a", "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, __row string")
+    got = [tuple(r) for r in mixing.repeat_mixed(docs, share=2.0).collect()]
+    assert sorted(got, key=str) == sorted([r for r in rows if r[1]] * 2 + [rows[3]], key=str)
+
+
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_queries_equal_their_sql(spark, duck, name):
     same(queries.queries()[name](spark, SF).toPandas(), duck.sql(queries.oracle_sql()[name]).df())
