@@ -10,6 +10,7 @@ from math import ceil, sqrt
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tapeloom.llm.common import cut, join_counted, map_arrow, only, release, remove, stored
@@ -257,8 +258,12 @@ def refined(buckets: DataFrame, classes: DataFrame, num: int, den: int) -> DataF
     dealt = _meetings(buckets.where("split"), "bucket", split).select("bucket", "part", "name")
     alone = buckets.where("split").join(split, "bucket", "left_anti").select("bucket", F.lit(0).cast("long").alias("part"), "name")
     rows = plain.unionByName(dealt).unionByName(alone).join(classes.select("name", "n_shingles", "parity"), "name")
-    rows = rows.repartition("bucket", "part").sortWithinPartitions("bucket", "part")
-    return map_arrow(rows.select("bucket", "part", "name", "n_shingles", "parity"), refine_task(num, den), "a long, b long").distinct()
+    rows = rows.repartition("bucket", "part").sortWithinPartitions("bucket", "part", "name")  # so that buckets share their least names
+    stars = map_arrow(rows.select("bucket", "part", "name", "n_shingles", "parity"), refine_task(num, den), "a long, b long").distinct()
+    # a set that several stars hold stays in the first one, whose centre takes the other centres instead; these repeat and collapse
+    first = stars.withColumn("first", F.min("a").over(W.partitionBy("b")))
+    pairs = F.array(F.struct(F.col("first").alias("a"), "b"), F.struct(F.col("first").alias("a"), F.col("a").alias("b")))
+    return first.select(F.inline(pairs)).where("a != b").distinct()
 
 
 #: Sets, and shingles, of a family that one block holds; two blocks meet in a task.
