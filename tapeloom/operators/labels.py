@@ -122,15 +122,21 @@ def race(touched: DataFrame) -> DataFrame:
     )
 
 
-def first_passage(labels: DataFrame, bars: DataFrame, trades: DataFrame, width_ms: int, target: str = "target") -> DataFrame:
-    """Q11: at_decision, touched or not_within for one target price; its side is fixed by the reference at the decision."""
+def first_passage(labels: DataFrame, bars: DataFrame, trades: DataFrame, width_ms: int, target: str) -> DataFrame:
+    """Q11: at_decision, touched, censored or not_within for one target price; its side is fixed by the reference at the decision.
+
+    labels have censor_at (see censors()): a touch strictly before it stands, otherwise the passage is censored.
+    """
     above = F.col(target) > F.col("reference")
     far, deep = F.lit(1 << 62), F.lit(-(1 << 62))
     l2 = labels.withColumns({"upper": F.when(above, F.col(target)).otherwise(far), "lower": F.when(F.col(target) < F.col("reference"), F.col(target)).otherwise(deep)})
     t = first_touch(l2, bars, trades, width_ms)
-    at = F.coalesce("up_at", "down_at")
-    what = F.when(F.col(target).isNull() | F.col("reference").isNull(), F.lit(None)).when(F.col(target) == F.col("reference"), "at_decision").when(at.isNotNull(), "touched").otherwise("not_within")
-    return t.select(*KEY, F.col(target).alias("price"), what.alias("passage"), F.when(F.col(target) != F.col("reference"), at["ts_ms"]).alias("passage_at"))
+    at = F.coalesce("up_at", "down_at")["ts_ms"]
+    stands = at.isNotNull() & (F.col("censor_at").isNull() | (at < F.col("censor_at")))
+    what = F.when(F.col(target).isNull() | F.col("reference").isNull(), F.lit(None)).when(F.col(target) == F.col("reference"), "at_decision")
+    what = what.when(stands, "touched").when(F.col("censor_at").isNotNull(), "censored").otherwise("not_within")
+    t = t.select(*KEY, F.lit(target).alias("target"), F.col(target).alias("price"), what.alias("passage"), at.alias("at"), "censor_at")
+    return t.select(*KEY, "target", "price", "passage", F.when(F.col("passage") == "touched", F.col("at")).alias("passage_at"), F.when(F.col("passage") == "censored", F.col("censor_at")).alias("passage_censor_at"))
 
 
 def thinned(samples: DataFrame, keys: list[str], time: str = "decision_ms", span: str = "horizon_ms") -> DataFrame:

@@ -16,27 +16,32 @@ def location_bins() -> Column:
 
 
 def level_within() -> Column:
-    """Whether the level was reached within the horizon."""
-    p, at, end = F.col("passage"), F.col("passage_at"), F.col("end_ms")
-    return F.when(p.isNull(), F.lit(None)).when(p == "at_decision", "at_decision").when((p == "touched") & (at < end), "touched").otherwise("not_within")
+    """Whether the level was reached within the horizon; unknown where its passage was censored before the horizon's end."""
+    p, end = F.col("level_passage"), F.col("end_ms")
+    out = F.when(p.isNull(), F.lit(None)).when(p == "at_decision", "at_decision")
+    out = out.when((p == "touched") & (F.col("level_at") < end), "touched").when(p.isin("touched", "not_within"), "not_within")
+    return out.when(F.col("level_censor_at") >= end, "not_within").otherwise("unknown")
 
 
 def extreme_vs_opposite() -> Column:
-    """Which came first, the evidence extreme or the opposite barrier."""
-    p, at, race = F.col("passage"), F.col("passage_at"), F.col("race")
-    touched = p == "touched"
-    own_side = (race == "upper") == (F.col("passage_price") > F.col("reference"))
-    quiet = F.when(touched & (at < F.col("end_ms")), "extreme_first").otherwise("neither")
-    cut = F.when(touched & (at < F.col("censor_at")), "extreme_first").otherwise("unknown")
-    own = F.when(touched & ((at < F.col("race_at")) | ((at == F.col("race_at")) & ~F.col("same_ms"))), "extreme_first").otherwise("undetermined")
-    other = F.when(touched & (at < F.col("race_at")), "extreme_first").when(touched & (at == F.col("race_at")), "undetermined").otherwise("opposite_first")
+    """Which came first, the evidence extreme or the barrier on the other side."""
+    p, at, cut, race = F.col("extreme_passage"), F.col("extreme_at"), F.col("extreme_censor_at"), F.col("race")
+    won, touched, censored = F.col("race_at"), p == "touched", p == "censored"
+    own_side = (race == "upper") == (F.col("extreme_price") > F.col("reference"))
+    quiet = F.when(touched & (at < F.col("end_ms")), "extreme_first").when(censored & (cut < F.col("end_ms")), "unknown").otherwise("neither")
+    stopped = F.when(touched & (at < F.col("censor_at")), "extreme_first").otherwise("unknown")
+    own = F.when(touched & ((at < won) | ((at == won) & ~F.col("same_ms"))), "extreme_first").otherwise("undetermined")
+    other = F.when(touched & (at < won), "extreme_first").when(touched & (at == won), "undetermined").when(censored & (cut <= won), "unknown").otherwise("opposite_first")
     out = F.when(p.isNull() | (race == "unavailable"), F.lit(None)).when(p == "at_decision", "extreme_first")
-    return out.when(race == "neither", quiet).when(race == "censored", cut).when(own_side, own).otherwise(other)
+    return out.when(race == "neither", quiet).when(race == "censored", stopped).when(own_side, own).otherwise(other)
 
 
 def labeled(contexts: DataFrame, outcomes: DataFrame, passages: DataFrame, key: list[str]) -> DataFrame:
-    """Contexts with their outcomes, and passages where there are some."""
-    j = contexts.join(outcomes, key).join(passages, [*key, "horizon"], "left")
+    """Contexts with their outcomes, and the passages of the level and of the extreme where there are some."""
+    j = contexts.join(outcomes, key)
+    for t in ("level", "extreme"):
+        names = {"price": f"{t}_price", "passage": f"{t}_passage", "passage_at": f"{t}_at", "passage_censor_at": f"{t}_censor_at"}
+        j = j.join(passages.where(F.col("target") == t).select(*key, *[F.col(c).alias(n) for c, n in names.items()]), key, "left")
     fair = (F.col("race") != "unavailable") & F.col("censor_reason").isNull()
     offset = (F.col("upper") - F.col("reference")).cast("double")
     return j.select(
@@ -61,7 +66,7 @@ def summary(rows: DataFrame, n_min: int) -> DataFrame:
     dims = [F.col(c) for c in ("horizon", "horizon_ms", "group_trigger", "group_family", "group_regime", "location")]
     h, ms, t, f, r, loc = dims
     races = [F.count_if(F.col("race") == x).alias(f"n_{x}") for x in (*RAN, "censored", "unavailable")]
-    within = [F.count_if(F.col("level_within") == x).alias(f"level_{x}") for x in ("at_decision", "touched", "not_within")]
+    within = [F.count_if(F.col("level_within") == x).alias(f"level_{x}") for x in ("at_decision", "touched", "not_within", "unknown")]
     versus = [F.count_if(F.col("extreme_vs_opposite") == x).alias(f"versus_{x}") for x in ("extreme_first", "opposite_first", "neither", "undetermined", "unknown")]
     g = every.groupingSets([[h, ms, t, f, r, loc], [h, ms, t, f, loc], [h, ms, r, loc], [h, ms, loc]], *dims).agg(
         F.grouping("group_trigger").alias("gt"), F.grouping("group_regime").alias("gr"), F.count("*").alias("samples"),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tapeloom.functions.tables import kept
 from tapeloom.operators import bars as B
 from tapeloom.operators import flow as X
 from tapeloom.operators import motion as V
@@ -16,10 +17,12 @@ LARGE = 2_000_000_000_000
 RANKED = 20
 
 
+@kept
 def hour_bars(spark, sf_dir):
     return B.time_bars(trades(spark, sf_dir), H)
 
 
+@kept
 def covered(spark, sf_dir, width=H):
     """Dense bars with coverage and large volume."""
     t = trades(spark, sf_dir)
@@ -31,6 +34,7 @@ def moved(spark, sf_dir):
     return V.motion(V.with_segment(covered(spark, sf_dir)), H)
 
 
+@kept
 def atrs(spark, sf_dir):
     return V.atr(moved(spark, sf_dir))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tapeloom.functions.tables import kept
 from tapeloom.operators import flow as X
 from tapeloom.operators import location as L
 from tapeloom.operators import structure as S
@@ -22,6 +23,7 @@ def ranges(s, d):
     return b.groupBy("instrument", day).agg(*[F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY close)").alias(n) for n, q in (("lo", 0.25), ("hi", 0.75))])
 
 
+@kept
 def levels(s, d):
     b = covered(s, d)
     swept = S.sweeps(b, S.swings(b))
@@ -40,6 +42,7 @@ def swings(s, d):
     return S.swings(covered(s, d))
 
 
+@kept
 def anchored(s, d):
     return L.anchors(swings(s, d), trades(s, d), X.cumulative_delta(trades(s, d)), H)
 
@@ -48,6 +51,7 @@ def flow4(s, d):
     return X.windows(covered(s, d), 4, H)
 
 
+@kept
 def efforts(s, d):
     return L.effort(flow4(s, d), PAST)
 

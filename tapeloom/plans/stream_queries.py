@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
+from tapeloom.functions.tables import shared_folder
 from tapeloom.plans.tape_sql import TAPE
 from tapeloom.streaming import tape_streams as M
 
 
 def scratch(spark, name):
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tapeloom-")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def bars(s, d):
