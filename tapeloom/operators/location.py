@@ -81,7 +81,7 @@ def divergences(anchored: DataFrame, value: str = "cvd") -> DataFrame:
     return a.where(bear | bull).select("instrument", "side", "bar_ms", "p_bar_ms", "known_bar_ms", "price", F.when(bear, "bearish").otherwise("bullish").alias("divergence"))
 
 
-def effort(windows: DataFrame, past: int, high_q: float = 0.8, low_q: float = 0.5) -> DataFrame:
+def effort(windows: DataFrame, past: int, high_q: float = 0.8, low_q: float = 0.5, high_move: bool = False) -> DataFrame:
     """C4: effort (volume) and result (displacement) against nearest-rank quantiles of the previous ``past`` evaluations."""
     w = W.partitionBy("instrument").orderBy("bar_ms")
     before = w.rowsBetween(-past, -1)
@@ -90,7 +90,7 @@ def effort(windows: DataFrame, past: int, high_q: float = 0.8, low_q: float = 0.
     rank = lambda c, q: F.try_element_at(c, F.greatest(F.lit(1), F.ceil(F.lit(q) * F.size(c))).cast("int"))
     full = F.size("efforts") == past
     on = (F.col("w_volume") >= rank(F.col("efforts"), high_q)) & (F.col("move") <= rank(F.col("moves"), low_q))
-    return e.select("instrument", "bar_ms", F.col("w_volume").alias("effort"), "move", F.when(full, rank(F.col("efforts"), high_q)).alias("effort_high"), F.when(full, rank(F.col("moves"), low_q)).alias("move_median"), F.when(full, on).alias("active"))
+    return e.select("instrument", "bar_ms", F.col("w_volume").alias("effort"), "move", F.when(full, rank(F.col("efforts"), high_q)).alias("effort_high"), F.when(full, rank(F.col("moves"), low_q)).alias("move_median"), F.when(full, on).alias("active"), *([F.when(full, rank(F.col("moves"), high_q)).alias("move_high")] if high_move else []))
 
 
 def rising_edges(evaluated: DataFrame) -> DataFrame:
