@@ -23,9 +23,11 @@ def epochs(updates: DataFrame) -> DataFrame:
     return u.withColumn("epoch", F.sum("broken").over(w.rowsBetween(W.unboundedPreceding, 0))).drop("broken")
 
 
-def books_at(life: DataFrame, moments: DataFrame) -> DataFrame:
-    """The levels that stand at each moment (instrument, at_seq)."""
-    return moments.join(life, "instrument").where("valid_from <= at_seq AND valid_to > at_seq")
+def books_at(life: DataFrame, moments: DataFrame, width: int = 512) -> DataFrame:
+    """The levels that stand at each moment (instrument, at_seq). Lives and moments meet in buckets of ``width`` sequence numbers."""
+    spanned = life.withColumn("step", F.explode(F.sequence(F.floor(F.col("valid_from") / width), F.floor((F.col("valid_to") - 1) / width))))
+    m = moments.withColumn("step", F.floor(F.col("at_seq") / width))
+    return m.join(spanned, ["instrument", "step"]).where("valid_from <= at_seq AND valid_to > at_seq").drop("step")
 
 
 def best(books: DataFrame) -> DataFrame:

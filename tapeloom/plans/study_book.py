@@ -30,7 +30,7 @@ def life(s, d):
 
 
 def books(s, d):
-    m = updates(s, d).where("seq % 100 = 7").select("instrument", F.col("seq").alias("at_seq"))
+    m = updates(s, d).select("instrument", F.col("seq").alias("at_seq"))
     return K.books_at(life(s, d), m)
 
 
@@ -63,7 +63,7 @@ QUERIES = {
     "k1_book_levels": life,
     "k4_best_prices": lambda s, d: K.best(books(s, d)),
     "k5_depth_walk": lambda s, d: K.depth_walk(books(s, d), 150),
-    "k6_book_compare": lambda s, d: K.compare(books(s, d).where("at_seq % 200 = 7"), books(s, d).where("at_seq % 200 = 7 AND qty > 10"), ["instrument", "at_seq", "side", "price"]),
+    "k6_book_compare": lambda s, d: K.compare(books(s, d), books(s, d).where("qty > 10"), ["instrument", "at_seq", "side", "price"]),
     "k7_depth_bands": lambda s, d: K.bands(books(s, d), [1000, 2000, 5000]),
     "k10_clusters": lambda s, d: K.clusters(books(s, d)),
     "z1_state_runs": lambda s, d: Z.runs(trades(s, d), ["instrument"], "trade_id", "aggressor"),
@@ -83,7 +83,7 @@ UP = f"""WITH {TAPE}, u0 AS (SELECT instrument, trade_id AS seq, CASE WHEN aggre
   CASE WHEN qty % 9 = 0 THEN 0 ELSE qty END AS qty, lag(trade_id) OVER (PARTITION BY instrument ORDER BY trade_id) AS p FROM ev),
 u1 AS (SELECT *, CASE WHEN p IS NOT NULL AND seq % 500 = 0 THEN 1 ELSE 0 END AS broken FROM u0), u AS (SELECT *, CAST(sum(broken) OVER (PARTITION BY instrument ORDER BY seq ROWS UNBOUNDED PRECEDING) AS BIGINT) AS epoch FROM u1),
 lf AS (SELECT instrument, epoch, side, price, qty, seq AS valid_from, coalesce(lead(seq) OVER (PARTITION BY instrument, epoch, side, price ORDER BY seq), max(seq) OVER (PARTITION BY instrument, epoch) + 1) AS valid_to FROM u),
-bk AS (SELECT m.instrument, m.seq AS at_seq, l.side, l.price, l.qty FROM u m JOIN lf l ON l.instrument = m.instrument AND l.valid_from <= m.seq AND l.valid_to > m.seq AND l.qty > 0 WHERE m.seq % 100 = 7),
+bk AS (SELECT m.instrument, m.seq AS at_seq, l.side, l.price, l.qty FROM u m JOIN lf l ON l.instrument = m.instrument AND l.valid_from <= m.seq AND l.valid_to > m.seq AND l.qty > 0),
 bs AS (SELECT instrument, at_seq, max(price) FILTER (WHERE side = 'bid') AS bid, min(price) FILTER (WHERE side = 'ask') AS ask, min(price) FILTER (WHERE side = 'bid') AS deepest_bid, max(price) FILTER (WHERE side = 'ask') AS deepest_ask FROM bk GROUP BY 1, 2)"""
 DY = f"WITH {TAPE}, dy AS (SELECT row_number() OVER (ORDER BY day_ms) - 1 AS day_no, * FROM (SELECT ts_ms - ts_ms % {DAY_MS} AS day_ms, sum(CASE WHEN aggressor = 'buy' THEN 1 ELSE -1 END) AS s, count(*) AS n FROM trades GROUP BY 1))"
 BOOT = f"""{DY}, c AS (SELECT count(*) AS c FROM dy), dr AS (SELECT i AS draw, (((i * ((c + 4) // 5) + k) * 48271 + 12345 * 16807) % 2147483647 % c + o) % c AS day_no FROM c, range(200) a(i), range(1000) b(k), range(5) e(o) WHERE k < (c + 4) // 5 AND k * 5 + o < c),
@@ -95,7 +95,7 @@ SQL = {
     "k4_best_prices": f"{UP} SELECT * FROM bs",
     "k5_depth_walk": f"""{UP}, w AS (SELECT *, sum(qty) OVER (PARTITION BY instrument, at_seq, side ORDER BY CASE WHEN side = 'ask' THEN price ELSE -price END ROWS UNBOUNDED PRECEDING) - qty AS b FROM bk), t AS (SELECT *, greatest(0, least(150 - b, qty)) AS take FROM w)
       SELECT instrument, at_seq, side, CAST(sum(take) AS BIGINT) AS filled, CAST(sum(take * price) AS BIGINT) AS notional FROM t GROUP BY 1, 2, 3""",
-    "k6_book_compare": f"{UP} SELECT instrument, at_seq, side, price, qty AS qty_a, CAST(NULL AS BIGINT) AS qty_b, 'missing' AS difference FROM bk WHERE at_seq % 200 = 7 AND qty <= 10",
+    "k6_book_compare": f"{UP} SELECT instrument, at_seq, side, price, qty AS qty_a, CAST(NULL AS BIGINT) AS qty_b, 'missing' AS difference FROM bk WHERE qty <= 10",
     "k7_depth_bands": f"""{UP}, x AS (SELECT bk.*, bps, bid + ask AS m FROM bk JOIN bs USING (instrument, at_seq), (VALUES (1000), (2000), (5000)) v(bps) WHERE bid IS NOT NULL AND ask IS NOT NULL)
       SELECT instrument, at_seq, bps, CAST(sum(CASE WHEN side = 'bid' THEN qty ELSE 0 END) AS BIGINT) AS bid_qty, CAST(sum(CASE WHEN side = 'ask' THEN qty ELSE 0 END) AS BIGINT) AS ask_qty, sum(CASE WHEN side = 'bid' THEN qty ELSE -qty END)::DOUBLE / sum(qty) AS imbalance FROM x WHERE abs(2 * price - m) * 10000 <= m * bps GROUP BY 1, 2, 3""",
     "k10_clusters": f"""{UP}, md AS (SELECT instrument, at_seq, side, list_sort(list(qty)) AS q FROM bk GROUP BY 1, 2, 3) SELECT instrument, at_seq, side, CAST(row_number() OVER (PARTITION BY instrument, at_seq, side ORDER BY qty DESC, price) AS INTEGER) AS rank, price, qty, q[CAST(ceil(0.5 * len(q)) AS BIGINT)] AS median_qty FROM bk JOIN md USING (instrument, at_seq, side) QUALIFY rank <= 5""",
