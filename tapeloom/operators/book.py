@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tapeloom.functions.timing import asof
+
 
 def level_life(updates: DataFrame) -> DataFrame:
     """K1: (instrument, side, price, qty, valid_from, valid_to) from level updates in order of seq; quantity 0 removes a level."""
@@ -23,6 +25,18 @@ def epochs(updates: DataFrame) -> DataFrame:
     return u.withColumn("epoch", F.sum("broken").over(w.rowsBetween(W.unboundedPreceding, 0))).drop("broken")
 
 
+def align_snapshots(snapshots: DataFrame, diffs: DataFrame, width: int = 512) -> DataFrame:
+    """K2: per snapshot (instrument, snapshot_id) the first diff (first_id, last_id) that ends at or after it, and its state: 'aligned'
+    where that diff straddles the id, 'too_old' where it begins beyond it, 'waiting' where no diff is left.
+
+    Both meet in buckets of ``width`` ids by the diffs' last ids; the first diff of later buckets is carried back.
+    """
+    key = ["instrument", "snapshot_id"]
+    found = asof(snapshots.select(*key), diffs, ["instrument"], "snapshot_id", "last_id", {"first_id": "first_id", "last_id": "last_id"}, forward=True, width=width)
+    state = F.when(F.col("last_id").isNull(), "waiting").when(F.col("first_id") > F.col("snapshot_id"), "too_old").otherwise("aligned")
+    return found.select(*key, "first_id", "last_id", state.alias("state"))
+
+
 def books_at(life: DataFrame, moments: DataFrame, width: int = 512) -> DataFrame:
     """The levels that stand at each moment (instrument, at_seq). Lives and moments meet in buckets of ``width`` sequence numbers."""
     spanned = life.withColumn("step", F.explode(F.sequence(F.floor(F.col("valid_from") / width), F.floor((F.col("valid_to") - 1) / width))))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tapeloom.functions.timing import bucket
+from tapeloom.functions.timing import asof, bucket
 
 DAY_MS = 86_400_000
 
@@ -73,7 +73,7 @@ def anchors(swings: DataFrame, trades: DataFrame, cvd: DataFrame, width_ms: int)
 
 
 def divergences(anchored: DataFrame, value: str = "cvd") -> DataFrame:
-    """Consecutive swings of one side with a further extreme and the opposite change of ``value``."""
+    """Consecutive swings of one side with a further extreme and the opposite change of ``value``."""
     w = W.partitionBy("instrument", "side").orderBy("bar_ms")
     a = anchored.withColumns({"p_price": F.lag("price").over(w), "p_value": F.lag(value).over(w), "p_bar_ms": F.lag("bar_ms").over(w)})
     bear = (F.col("side") == "high") & (F.col("price") > F.col("p_price")) & (F.col(value) < F.col("p_value"))
@@ -81,6 +81,43 @@ def divergences(anchored: DataFrame, value: str = "cvd") -> DataFrame:
     return a.where(bear | bull).select("instrument", "side", "bar_ms", "p_bar_ms", "known_bar_ms", "price", F.when(bear, "bearish").otherwise("bullish").alias("divergence"))
 
 
+def open_interest_divergences(anchored: DataFrame, samples: DataFrame) -> DataFrame:
+    """Consecutive swings of one side with a further extreme and less open interest, each read from the last of ``samples``
+    (instrument, ts_ms, open_interest) at or before the anchor; a swing without a sample pairs with none."""
+    a = asof(anchored, samples, ["instrument"], "ts_ms", "ts_ms", {"open_interest": "oi"})
+    w = W.partitionBy("instrument", "side").orderBy("bar_ms")
+    a = a.withColumns({"p_price": F.lag("price").over(w), "p_oi": F.lag("oi").over(w), "p_bar_ms": F.lag("bar_ms").over(w)})
+    further = F.when(F.col("side") == "high", F.col("price") > F.col("p_price")).otherwise(F.col("price") < F.col("p_price"))
+    return a.where(further & (F.col("oi") < F.col("p_oi"))).select("instrument", "side", "bar_ms", "p_bar_ms", "known_bar_ms", "price", (F.col("oi") - F.col("p_oi")).alias("oi_change"))
+
+
+def context(anchored: DataFrame, levels: DataFrame, pad_bps: int) -> DataFrame:
+    """Per anchor the levels, as they stood at its confirmation, whose zone padded by ``pad_bps`` holds its price; without the
+    structural level that its own swing became. Anchors without levels have an empty list. Anchors and levels meet in days."""
+    key = ["instrument", "side", "bar_ms"]
+    at = anchored.select(*key, "price", F.col("known_bar_ms").alias("at_ms"))
+    points = at.select("instrument", F.col("at_ms").alias("bar_ms"), F.lit(0).alias("close"), F.lit(0).alias("high"), F.lit(0).alias("low")).distinct()
+    lv = active(points, levels).select("instrument", F.col("bar_ms").alias("at_ms"), "kind", "low", "high", "valid_from")
+    own = (F.col("kind") == F.concat(F.lit("structural_"), F.col("side"))) & (F.col("low") == F.col("price")) & (F.col("valid_from") == F.col("at_ms"))
+    pad = F.col("low") * pad_bps
+    holds = ((F.col("low") - F.col("price")) * 10_000 <= pad) & ((F.col("price") - F.col("high")) * 10_000 <= pad)
+    hit = at.join(lv, ["instrument", "at_ms"]).where(holds & ~own)
+    hit = hit.groupBy(*key).agg(F.count("*").alias("n_levels"), F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "kind", "low", "valid_from"))), ",").alias("levels"))
+    return at.join(hit, key, "left").select(*key, "price", F.coalesce("n_levels", F.lit(0)).alias("n_levels"), F.coalesce("levels", F.lit("")).alias("levels"))
+
+
+def zone_alerts(visits: DataFrame, kinds: list[str], since_ms: int) -> DataFrame:
+    """G1: visits to levels of ``kinds`` that begin at or after ``since_ms``; a leave is told only if the entry of its visit was."""
+    v = visits.where(F.col("kind").isin(kinds))
+    entry = F.min(F.when(F.col("event") == "enter", F.col("bar_ms"))).over(W.partitionBy("instrument", "kind", "low", "high", "valid_from", "touches"))
+    return v.withColumn("entered_ms", entry).where(F.col("entered_ms") >= since_ms)
+
+
+def confirmations(transitions: DataFrame) -> DataFrame:
+    """The three auction facts that are told as they are confirmed."""
+    return transitions.where(F.col("fact").isin("failed_auction", "breakout_acceptance", "failed_reclaim")).select("instrument", "bar_ms", F.col("fact").alias("trigger"))
+
+
 def effort(windows: DataFrame, past: int, high_q: float = 0.8, low_q: float = 0.5, high_move: bool = False) -> DataFrame:
     """C4: effort (volume) and result (displacement) against nearest-rank quantiles of the previous ``past`` evaluations."""
     w = W.partitionBy("instrument").orderBy("bar_ms")
