@@ -7,14 +7,17 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 DAY_MS = 86_400_000
+#: Width of the buckets of rows that are ordered by ids instead of times.
+ID_WIDTH = 65_536
 
 
 def bucket(c: Column, width: int) -> Column:
     return (c - F.pmod(c, F.lit(width))).cast("long")
 
 
-def prefix_sum(df: DataFrame, keys: list[str], time: str, order: list[str], value: str, out: str, width: int = DAY_MS) -> DataFrame:
-    """Adds ``out``, the running sum of ``value`` over each key in ``order`` (which begins with ``time``).
+def prefix_sum(df: DataFrame, keys: list[str], time: str, order: list[str], value: str, out: str, width: int = DAY_MS, peers: bool = False) -> DataFrame:
+    """Adds ``out``, the running sum of ``value`` over each key in ``order`` (which begins with ``time``); with ``peers`` rows that
+    are equal in ``order`` all have the sum up to the last of them.
 
     Sums per time bucket are carried by a window over the buckets, and added to the running sum within each bucket.
     """
@@ -22,10 +25,39 @@ def prefix_sum(df: DataFrame, keys: list[str], time: str, order: list[str], valu
     per = df.groupBy(*keys, "__b").agg(F.sum(value).alias("__s"))
     upto = F.sum("__s").over(W.partitionBy(*keys).orderBy("__b").rowsBetween(W.unboundedPreceding, 0))
     per = per.select(*keys, "__b", (upto - F.col("__s")).alias("__before"))
-    inner = F.sum(value).over(W.partitionBy(*keys, "__b").orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
+    w = W.partitionBy(*keys, "__b").orderBy(*order)
+    inner = F.sum(value).over((w.rangeBetween if peers else w.rowsBetween)(W.unboundedPreceding, 0))
     return df.withColumn("__in", inner).join(per, [*keys, "__b"]).withColumn(out, F.col("__before") + F.col("__in")).drop("__b", "__in", "__before")
 
 
+def numbered(df: DataFrame, keys: list[str], time: str, order: list[str], out: str, width: int = DAY_MS) -> DataFrame:
+    """Adds ``out``, the number of each row (from 1) of its key in ``order``, which begins with ``time``."""
+    return prefix_sum(df.withColumn("__one", F.lit(1)), keys, time, order, "__one", out, width).drop("__one")
+
+
+def lagged(df: DataFrame, keys: list[str], time: str, order: list[str], values: dict[str, str], width: int = DAY_MS) -> DataFrame:
+    """Adds ``values`` (column -> new name) of the row before in ``order``, which begins with ``time``; null in a key's first row.
+
+    Keys and times aren't null. The last row of each time bucket is carried to the next by a window with one row per bucket.
+    """
+    df = df.withColumns({"__b": bucket(F.col(time), width), "__v": F.struct(*[F.col(c).alias(n) for c, n in values.items()])})
+    ends = df.groupBy(*keys, "__b").agg(F.max_by("__v", F.struct(*order)).alias("__end"))
+    ends = ends.select(*keys, "__b", F.lag("__end").over(W.partitionBy(*keys).orderBy("__b")).alias("__carry"))
+    df = df.withColumn("__p", F.lag("__v").over(W.partitionBy(*keys, "__b").orderBy(*order))).join(ends, [*keys, "__b"])
+    before = F.coalesce("__p", "__carry")
+    return df.withColumns({n: before[n] for n in values.values()}).drop("__b", "__v", "__p", "__carry")
+
+
+def max_before(df: DataFrame, keys: list[str], time: str, order: list[str], value: str, out: str, width: int = DAY_MS) -> DataFrame:
+    """Adds ``out``, the largest ``value`` of all rows before in ``order``, which begins with ``time``; null in a key's first row."""
+    df = df.withColumn("__b", bucket(F.col(time), width))
+    per = df.groupBy(*keys, "__b").agg(F.max(value).alias("__m"))
+    earlier = F.max("__m").over(W.partitionBy(*keys).orderBy("__b").rowsBetween(W.unboundedPreceding, -1))
+    per = per.select(*keys, "__b", earlier.alias("__carry"))
+    inside = F.max(value).over(W.partitionBy(*keys, "__b").orderBy(*order).rowsBetween(W.unboundedPreceding, -1))
+    return df.withColumn("__in", inside).join(per, [*keys, "__b"]).withColumn(out, F.greatest("__in", "__carry")).drop("__b", "__in", "__carry")
+
+
 def asof(
     left: DataFrame,
     right: DataFrame,

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tapeloom.functions.timing import asof, bucket
+from tapeloom.functions.timing import ID_WIDTH, asof, bucket, max_before, prefix_sum
 
 PRICES = ("open", "high", "low", "close")
 
@@ -80,11 +80,10 @@ def kline_verdict(compared: DataFrame, expected: int | Column) -> DataFrame:
 
 def id_blocks(ranges: DataFrame) -> DataFrame:
     """(instrument, first_id, last_id, side, volume) of two sides -> blocks of overlapping id ranges and both volumes."""
-    w = W.partitionBy("instrument").orderBy("first_id", "last_id")
-    reach = F.max("last_id").over(w.rowsBetween(W.unboundedPreceding, -1))
-    new = F.coalesce((F.col("first_id") > reach).cast("int"), F.lit(1))
-    r = ranges.withColumn("new", new)
-    r = r.withColumn("block", F.sum("new").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    order = ["first_id", "last_id"]
+    r = max_before(ranges, ["instrument"], "first_id", order, "last_id", "reach", ID_WIDTH)
+    r = r.withColumn("new", F.coalesce((F.col("first_id") > F.col("reach")).cast("int"), F.lit(1)))
+    r = prefix_sum(r, ["instrument"], "first_id", order, "new", "block", ID_WIDTH, peers=True)
     side = lambda s: F.sum(F.when(F.col("side") == s, F.col("volume")).otherwise(0))
     b = r.groupBy("instrument", "block").agg(
         F.min("first_id").alias("first_id"), F.max("last_id").alias("last_id"), side("a").alias("volume_a"), side("b").alias("volume_b")

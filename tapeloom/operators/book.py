@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tapeloom.functions.timing import asof
+from tapeloom.functions.timing import ID_WIDTH, asof, lagged, prefix_sum
 
 
 def level_life(updates: DataFrame) -> DataFrame:
@@ -20,9 +20,9 @@ def level_life(updates: DataFrame) -> DataFrame:
 
 def epochs(updates: DataFrame) -> DataFrame:
     """K1: adds epoch, the number of breaks of the id chain so far (prev_id is not the id before)."""
-    w = W.partitionBy("instrument").orderBy("seq")
-    u = updates.withColumn("broken", F.coalesce((F.lag("seq").over(w) != F.col("prev_id")).cast("long"), F.lit(0).cast("long")))
-    return u.withColumn("epoch", F.sum("broken").over(w.rowsBetween(W.unboundedPreceding, 0))).drop("broken")
+    u = lagged(updates, ["instrument"], "seq", ["seq"], {"seq": "p"}, ID_WIDTH)
+    u = u.withColumn("broken", F.coalesce((F.col("p") != F.col("prev_id")).cast("long"), F.lit(0).cast("long")))
+    return prefix_sum(u, ["instrument"], "seq", ["seq"], "broken", "epoch", ID_WIDTH, peers=True).drop("p", "broken")
 
 
 def align_snapshots(snapshots: DataFrame, diffs: DataFrame, width: int = 512) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tapeloom.functions.timing import bucket
+from tapeloom.functions.timing import ID_WIDTH, asof, bucket, lagged, max_before, prefix_sum
 
 DAY_MS = 86_400_000
 #: Ranks of the event kinds within one millisecond.
@@ -30,31 +30,28 @@ def deduplicated(events: DataFrame, key: list[str], order: list[str]) -> DataFra
 
 
 def without_repeats(events: DataFrame, keys: list[str], order: list[str], values: list[str]) -> DataFrame:
-    """EV2: drops a row whose values equal those of the row before it."""
-    w = W.partitionBy(*keys).orderBy(*order)
-    row = F.struct(*values)
-    return events.withColumn("__same", row.eqNullSafe(F.lag(row).over(w))).where("NOT __same").drop("__same")
+    """EV2: drops a row whose values equal those of the row before it; ``order`` begins with a time."""
+    e = lagged(events.withColumn("__row", F.struct(*values)), keys, order[0], order, {"__row": "__before"})
+    return e.where(~F.col("__row").eqNullSafe(F.col("__before"))).drop("__row", "__before")
 
 
 def sequence_breaks(trades: DataFrame, keys: list[str], step: int = 1) -> DataFrame:
     """EV3: a gap row between two trades of one session whose ids aren't consecutive."""
-    w = W.partitionBy(*keys).orderBy("trade_id")
-    t = trades.select(*keys, "trade_id", "ts_ms", F.lag("trade_id").over(w).alias("p_id"), F.lag("ts_ms").over(w).alias("start_ms"))
+    t = lagged(trades.select(*keys, "trade_id", "ts_ms"), keys, "trade_id", ["trade_id"], {"trade_id": "p_id", "ts_ms": "start_ms"}, ID_WIDTH)
     t = t.where(F.col("trade_id") != F.col("p_id") + step)
     return t.select(*keys, "start_ms", F.col("ts_ms").alias("end_ms"), (F.col("trade_id") - F.col("p_id") - step).alias("missing"), F.lit("sequence_break").alias("reason"))
 
 
 def session_gaps(events: DataFrame, session: str) -> DataFrame:
     """EV4: from the last event of a session to the first of the next one."""
-    w = W.partitionBy("instrument").orderBy("ts_ms", "seq")
-    e = events.withColumns({"p": F.lag(session).over(w), "start_ms": F.lag("ts_ms").over(w)}).where(F.col("p") != F.col(session))
+    e = lagged(events.select("instrument", "ts_ms", "seq", session), ["instrument"], "ts_ms", ["ts_ms", "seq"], {session: "p", "ts_ms": "start_ms"})
+    e = e.where(F.col("p") != F.col(session))
     return e.select("instrument", "start_ms", F.col("ts_ms").alias("end_ms"), F.lit("disconnected").alias("reason"))
 
 
 def late_events(arrivals: DataFrame, hold_ms: int) -> DataFrame:
     """EV6: rows that arrive (by seq) when a row more than ``hold_ms`` later has been seen already."""
-    w = W.partitionBy("instrument").orderBy("seq").rowsBetween(W.unboundedPreceding, -1)
-    a = arrivals.withColumn("seen", F.max("ts_ms").over(w))
+    a = max_before(arrivals, ["instrument"], "seq", ["seq"], "ts_ms", "seen", ID_WIDTH)
     return a.where(F.col("ts_ms") < F.col("seen") - hold_ms).select("instrument", "seq", "ts_ms", F.col("seen").alias("seen_ms"))
 
 
@@ -68,8 +65,8 @@ def missing_days(events: DataFrame) -> DataFrame:
 
 def silences(events: DataFrame, most_ms: int) -> DataFrame:
     """EV8: stretches without events that last longer than ``most_ms``."""
-    w = W.partitionBy("instrument").orderBy("ts_ms")
-    e = events.select("instrument", F.lag("ts_ms").over(w).alias("start_ms"), F.col("ts_ms").alias("end_ms"))
+    e = lagged(events.select("instrument", F.col("ts_ms").alias("end_ms")), ["instrument"], "end_ms", ["end_ms"], {"end_ms": "start_ms"})
+    e = e.select("instrument", "start_ms", "end_ms")
     return e.where(F.col("end_ms") - F.col("start_ms") > most_ms).withColumn("silent_ms", F.col("end_ms") - F.col("start_ms"))
 
 
@@ -79,34 +76,33 @@ def folded(aggregates: DataFrame, trades: DataFrame) -> DataFrame:
     aggregates: agg_id, first_id, last_id, price, aggressor, qty. An uncovered trade goes to the aggregate before it if price
     and side match and all uncovered trades between did so too; the rest are counted as lost.
     """
-    marks = aggregates.select("instrument", F.col("first_id").alias("trade_id"), F.lit(0).alias("kind"), F.struct("agg_id", "last_id", "price", "aggressor").alias("agg"))
-    t = trades.select("instrument", "trade_id", F.lit(1).alias("kind"), "price", "aggressor", "qty")
-    run = W.partitionBy("instrument").orderBy("trade_id", "kind").rowsBetween(W.unboundedPreceding, 0)
-    u = marks.unionByName(t, allowMissingColumns=True).withColumn("at", F.last("agg", ignorenulls=True).over(run))
-    u = u.where("kind = 1 AND (at IS NULL OR trade_id > at.last_id)")
-    ok = F.coalesce((F.col("price") == F.col("at.price")) & (F.col("aggressor") == F.col("at.aggressor")), F.lit(False)).cast("int")
-    per = W.partitionBy("instrument", "at.agg_id").orderBy("trade_id").rowsBetween(W.unboundedPreceding, 0)
-    u = u.withColumn("ok", F.min(ok).over(per))
-    add = u.where("ok = 1").groupBy("instrument", F.col("at.agg_id").alias("agg_id")).agg(F.sum("qty").alias("restored"), F.count("*").alias("n_restored"))
-    lost = u.where("ok = 0").groupBy("instrument", F.col("at.agg_id").alias("agg_id")).agg(F.count("*").alias("n_lost"))
+    t = trades.select("instrument", "trade_id", "price", "aggressor", "qty")
+    given = {"agg_id": "agg_id", "last_id": "last_id", "price": "agg_price", "aggressor": "agg_aggressor"}
+    u = asof(t, aggregates, ["instrument"], "trade_id", "first_id", given, width=ID_WIDTH).where("agg_id IS NULL OR trade_id > last_id")
+    ok = F.coalesce((F.col("price") == F.col("agg_price")) & (F.col("aggressor") == F.col("agg_aggressor")), F.lit(False))
+    key = ["instrument", "agg_id"]
+    ends = u.groupBy(*key).agg(F.min(F.when(~ok, F.col("trade_id"))).alias("end_id"))
+    u = u.where("agg_id IS NOT NULL").join(ends, key)
+    kept = F.col("end_id").isNull() | (F.col("trade_id") < F.col("end_id"))
+    add = u.where(kept).groupBy(*key).agg(F.sum("qty").alias("restored"), F.count("*").alias("n_restored"))
+    lost = u.where(~kept).groupBy(*key).agg(F.count("*").alias("n_lost"))
     out = aggregates.join(add, ["instrument", "agg_id"], "left").join(lost, ["instrument", "agg_id"], "left").fillna(0, ["restored", "n_restored", "n_lost"])
     return out.select("instrument", "agg_id", (F.col("qty") + F.col("restored")).alias("qty"), "n_restored", "n_lost")
 
 
 def rejections(events: DataFrame) -> DataFrame:
     """EV10: (instrument, trade_id, reason) of rows that break a rule: quantity, price, order of ids."""
-    w = W.partitionBy("instrument").orderBy("ts_ms", "trade_id")
-    e = events.withColumn("p", F.max("trade_id").over(w.rowsBetween(W.unboundedPreceding, -1)))
+    e = max_before(events, ["instrument"], "ts_ms", ["ts_ms", "trade_id"], "trade_id", "p")
     reason = F.when(F.col("qty") <= 0, "quantity").when(F.col("price") <= 0, "price").when(F.col("trade_id") == F.col("p"), "duplicate").when(F.col("trade_id") < F.col("p"), "id_regression")
     return e.withColumn("reason", reason).where("reason IS NOT NULL").select("instrument", "trade_id", "reason")
 
 
 def restart_segments(events: DataFrame, bound_ms: int) -> DataFrame:
     """EV11: number of jumps of more than ``bound_ms`` so far."""
-    w = W.partitionBy("instrument").orderBy("ts_ms", "trade_id")
-    jump = F.coalesce((F.col("ts_ms") - F.lag("ts_ms").over(w) > bound_ms).cast("int"), F.lit(0))
-    e = events.withColumn("j", jump)
-    return e.withColumn("chain", F.sum("j").over(w.rowsBetween(W.unboundedPreceding, 0))).drop("j")
+    order = ["ts_ms", "trade_id"]
+    e = lagged(events, ["instrument"], "ts_ms", order, {"ts_ms": "p"})
+    e = e.withColumn("j", F.coalesce((F.col("ts_ms") - F.col("p") > bound_ms).cast("int"), F.lit(0)))
+    return prefix_sum(e, ["instrument"], "ts_ms", order, "j", "chain", peers=True).drop("p", "j")
 
 
 def stitched(archive: DataFrame, live: DataFrame, cutover_ms: int) -> DataFrame:

@@ -6,20 +6,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tapeloom.functions.timing import DAY_MS, lagged, prefix_sum
 
-def runs(rows: DataFrame, keys: list[str], order: str, state: str) -> DataFrame:
-    """Maximal stretches of an equal state."""
-    w = W.partitionBy(*keys).orderBy(order)
-    r = rows.withColumn("new", F.coalesce((F.col(state) != F.lag(state).over(w)).cast("int"), F.lit(1)))
-    r = r.withColumn("run", F.sum("new").over(w.rowsBetween(W.unboundedPreceding, 0)))
+
+def runs(rows: DataFrame, keys: list[str], order: str, state: str, width: int = DAY_MS) -> DataFrame:
+    """Maximal stretches of an equal state; ``order`` is cut into buckets of ``width``."""
+    r = lagged(rows, keys, order, [order, state], {state: "p"}, width)
+    r = r.withColumn("new", F.coalesce((F.col(state) != F.col("p")).cast("int"), F.lit(1)))
+    r = prefix_sum(r, keys, order, [order, state], "new", "run", width, peers=True)
     return r.groupBy(*keys, "run", state).agg(F.min(order).alias("first"), F.max(order).alias("last"), F.count("*").alias("n"))
 
 
-def episodes(rows: DataFrame, keys: list[str], order: str, gap: int) -> DataFrame:
-    """Chains of events that are less than ``gap`` apart."""
-    w = W.partitionBy(*keys).orderBy(order)
-    r = rows.withColumn("new", F.coalesce((F.col(order) - F.lag(order).over(w) >= gap).cast("int"), F.lit(1)))
-    r = r.withColumn("episode", F.sum("new").over(w.rowsBetween(W.unboundedPreceding, 0)))
+def episodes(rows: DataFrame, keys: list[str], order: str, gap: int, width: int = DAY_MS) -> DataFrame:
+    """Chains of events that are less than ``gap`` apart; ``order`` is cut into buckets of ``width``."""
+    r = lagged(rows, keys, order, [order], {order: "p"}, width)
+    r = r.withColumn("new", F.coalesce((F.col(order) - F.col("p") >= gap).cast("int"), F.lit(1)))
+    r = prefix_sum(r, keys, order, [order], "new", "episode", width, peers=True)
     return r.groupBy(*keys, "episode").agg(F.min(order).alias("first"), F.max(order).alias("last"), F.count("*").alias("n"))
 
 

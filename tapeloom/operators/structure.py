@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tapeloom.functions.shipping import ship
+from tapeloom.functions.timing import bucket
 
 SIDE, BPS, CAP, RESOLVE = 3, 5, 20, 2
+#: Width of the blocks of bars in which the first bar beyond a swing is looked for: 256 hours.
+BLOCK_MS = 256 * 3_600_000
 
 
 def swings(bars: DataFrame, side: int = SIDE) -> DataFrame:
@@ -39,20 +44,51 @@ def last_swings(bars: DataFrame, found: DataFrame) -> DataFrame:
     return b.select("instrument", "bar_ms", F.last("high", True).over(w).alias("last_high"), F.last("low", True).over(w).alias("last_low"))
 
 
-def sweeps(bars: DataFrame, found: DataFrame) -> DataFrame:
-    """The first bar after a swing is known that trades strictly beyond it (null while none does)."""
-    b = bars.where("close IS NOT NULL").select("instrument", F.col("bar_ms").alias("b_ms"), "high", "low")
-    beyond = ((F.col("side") == "high") & (F.col("high") > F.col("price"))) | ((F.col("side") == "low") & (F.col("low") < F.col("price")))
-    hit = found.join(b, "instrument").where((F.col("b_ms") > F.col("known_bar_ms")) & beyond)
-    hit = hit.groupBy("instrument", "side", F.col("bar_ms")).agg(F.min("b_ms").alias("swept_bar_ms"))
-    return found.join(hit, ["instrument", "side", "bar_ms"], "left")
+def extremes(bars: DataFrame) -> DataFrame:
+    """(instrument, side, t, x): a row per bar and side, x is the high, or the low with its sign turned."""
+    b = bars.where("close IS NOT NULL").select("instrument", "bar_ms", F.explode(F.create_map(F.lit("high"), "high", F.lit("low"), -F.col("low"))).alias("side", "x"))
+    return b.select("instrument", "side", F.col("bar_ms").alias("t"), "x")
+
+
+def sweeps(bars: DataFrame, found: DataFrame, widths: tuple[int, ...] = (BLOCK_MS,)) -> DataFrame:
+    """The first bar after a swing is known that trades strictly beyond it (null while none does).
+
+    ``widths`` are growing widths of blocks of bars, each a multiple of the one before. A swing looks among the later bars of its
+    own block, then among the later blocks by their extremes, and in the first block that goes beyond it; so it meets
+    the bars of two blocks and the blocks, not all bars.
+    """
+    key = ["instrument", "side"]
+    levels = [extremes(bars)]
+    for w in widths:
+        levels.append(levels[-1].groupBy(*key, bucket(F.col("t"), w).alias("t")).agg(F.max("x").alias("x")))
+    above = [lambda c, w=w: bucket(c, w) for w in widths] + [lambda c: F.lit(0).cast("long")]
+    rows = found.select(*key, "bar_ms", F.when(F.col("side") == "high", F.col("price")).otherwise(-F.col("price")).alias("limit"), F.col("known_bar_ms").alias("pos"))
+    rows = rows.withColumns({"at": F.lit(None).cast("long"), "level": F.lit(None).cast("int")})
+    kept = [*key, "bar_ms", "limit", "pos", "at", "level"]
+    for k, level in enumerate(levels):
+        later = rows.withColumn("parent", above[k](F.col("pos"))).join(level.withColumn("parent", above[k](F.col("t"))), [*key, "parent"], "left")
+        hit = later.groupBy(*kept).agg(F.min(F.when(F.col("at").isNull() & (F.col("t") > F.col("pos")) & (F.col("x") > F.col("limit")), F.col("t"))).alias("t"))
+        level_no = F.coalesce("level", F.when(F.col("t").isNotNull(), F.lit(k)))
+        rows = hit.select(*key, "bar_ms", "limit", above[k](F.col("pos")).alias("pos"), F.coalesce("at", "t").alias("at"), level_no.alias("level"))
+    for k in range(len(widths) - 1, -1, -1):
+        inner = rows.withColumn("parent", F.when(F.col("level") > k, F.col("at"))).join(levels[k].withColumn("parent", above[k](F.col("t"))), [*key, "parent"], "left")
+        hit = inner.groupBy(*kept).agg(F.min(F.when(F.col("x") > F.col("limit"), F.col("t"))).alias("t"))
+        rows = hit.withColumn("at", F.when(F.col("level") > k, F.col("t")).otherwise(F.col("at"))).drop("t")
+    return found.join(rows.select(*key, "bar_ms", F.col("at").alias("swept_bar_ms")), [*key, "bar_ms"], "left")
 
 
 def touches(bars: DataFrame, swept: DataFrame, bps: int = BPS) -> DataFrame:
-    """S3: bars during a level's life whose extreme comes within ``bps`` of the price without going beyond it."""
-    b = bars.where("close IS NOT NULL").select("instrument", F.col("bar_ms").alias("b_ms"), "high", "low")
-    j = swept.join(b, "instrument").where("b_ms > known_bar_ms AND (swept_bar_ms IS NULL OR b_ms < swept_bar_ms)")
-    near = F.when(F.col("side") == "high", F.col("price") - F.col("high")).otherwise(F.col("low") - F.col("price"))
+    """S3: bars during a level's life whose extreme comes within ``bps`` of the price without going beyond it.
+
+    Levels and bars meet in buckets of the price's logarithm, which are a little wider than ``bps``.
+    """
+    step = -math.log(1 - bps / 10_000) * 1.001
+    place = lambda c: F.floor(F.log(F.greatest(c, F.lit(1))) / step)
+    b = extremes(bars).withColumn("x", F.abs("x")).withColumn("place", place(F.col("x")))
+    other = F.when(F.col("side") == "high", F.col("place") + 1).otherwise(F.col("place") - 1)
+    b = b.withColumn("place", F.explode(F.array("place", other)))
+    j = swept.withColumn("place", place(F.col("price"))).join(b, ["instrument", "side", "place"]).where("t > known_bar_ms AND (swept_bar_ms IS NULL OR t < swept_bar_ms)")
+    near = F.when(F.col("side") == "high", F.col("price") - F.col("x")).otherwise(F.col("x") - F.col("price"))
     j = j.where((near >= 0) & (near * 10_000 <= F.col("price") * bps))
     n = j.groupBy("instrument", "side", "bar_ms").agg(F.count("*").alias("n_touches"))
     return swept.join(n, ["instrument", "side", "bar_ms"], "left").fillna(0, ["n_touches"])

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tapeloom.functions.timing import numbered
 from tapeloom.operators import derivatives as D
 from tapeloom.operators import ordering as E
 from tapeloom.operators.flow import cumulative_delta
@@ -19,8 +20,7 @@ def arrivals(s, d):
     """The tape as it might arrive: each seventh row half an hour late."""
     t = raw_tape(s, d).select("instrument", "ts_ms", "trade_id")
     at = F.col("ts_ms") + F.when(F.col("trade_id") % 7 == 0, LAG_MS).otherwise(0)
-    w = W.partitionBy("instrument").orderBy(at, "trade_id")
-    return t.withColumn("seq", F.row_number().over(w))
+    return numbered(t.withColumn("at", at), ["instrument"], "at", ["at", "trade_id"], "seq").drop("at")
 
 
 def doubled(s, d):
@@ -46,7 +46,7 @@ def positions(df):
 def checkpoints(df):
     """Each trade's number, and the running signed quantity as the state there."""
     c = cumulative_delta(df)
-    return c.withColumn("position", F.row_number().over(W.partitionBy("instrument").orderBy("ts_ms", "trade_id")))
+    return numbered(c, ["instrument"], "ts_ms", ["ts_ms", "trade_id"], "position")
 
 
 def oi(s, d):

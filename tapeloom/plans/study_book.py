@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tapeloom.functions.timing import ID_WIDTH, lagged
 from tapeloom.operators import book as K
 from tapeloom.operators import stats as Z
 from tapeloom.operators.bars import time_bars
@@ -20,8 +21,9 @@ def updates(s, d):
     side = F.when(F.col("aggressor") == "buy", "bid").otherwise("ask")
     price = F.when(side == "bid", 49 - F.floor(F.col("price") / UNIT)).otherwise(50 + F.floor(F.col("price") / UNIT))
     qty = F.when(F.col("qty") % 9 == 0, 0).otherwise(F.col("qty"))
-    prev = F.lag("trade_id").over(W.partitionBy("instrument").orderBy("trade_id"))
-    u = t.select("instrument", F.col("trade_id").alias("seq"), side.alias("side"), price.cast("long").alias("price"), qty.alias("qty"), F.when(F.col("trade_id") % 500 != 0, prev).alias("prev_id"))
+    t = lagged(t, ["instrument"], "trade_id", ["trade_id"], {"trade_id": "prev"}, ID_WIDTH)
+    prev = F.when(F.col("trade_id") % 500 != 0, F.col("prev"))
+    u = t.select("instrument", F.col("trade_id").alias("seq"), side.alias("side"), price.cast("long").alias("price"), qty.alias("qty"), prev.alias("prev_id"))
     return u.withColumn("prev_id", F.coalesce("prev_id", F.lit(-1).cast("long")))
 
 
@@ -66,7 +68,7 @@ QUERIES = {
     "k6_book_compare": lambda s, d: K.compare(books(s, d), books(s, d).where("qty > 10"), ["instrument", "at_seq", "side", "price"]),
     "k7_depth_bands": lambda s, d: K.bands(books(s, d), [1000, 2000, 5000]),
     "k10_clusters": lambda s, d: K.clusters(books(s, d)),
-    "z1_state_runs": lambda s, d: Z.runs(trades(s, d), ["instrument"], "trade_id", "aggressor"),
+    "z1_state_runs": lambda s, d: Z.runs(trades(s, d), ["instrument"], "trade_id", "aggressor", ID_WIDTH),
     "z2_episodes": lambda s, d: Z.episodes(trades(s, d), ["instrument"], "ts_ms", H),
     "z5_hour_of_week": lambda s, d: trades(s, d).groupBy(Z.hour_of_week(F.col("ts_ms")).alias("hour")).agg(F.count("*").alias("n")),
     "z6_tilt": strata,
