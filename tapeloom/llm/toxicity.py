@@ -20,8 +20,12 @@ STEMS = (4, 5, 6, 7, 8)
 MIN_ROWS = 3
 #: Share of toxic texts among the texts that hold a token of the lexicon, at least.
 PRECISION = 0.75
+#: The same of the tokens that voters vote by; the rest of the lexicon is for the classifier alone.
+SURE = 0.95
 #: Words that one Python worker remembers the features of.
 REMEMBERED = 500_000
+#: Lexicon, number of its sure tokens, weights, intercept.
+Model = tuple[list[str], int, list[float], float]
 WORD = re.compile(r"[^\W\d_]+")
 PATTERNS = ("shouting", "exclaiming", "symbols", "repeating", "two hits", "three hits", "sparse", "dense", "very dense")
 
@@ -53,9 +57,13 @@ def held_out(doc_id: Column) -> Column:
 
 
 class Features:
-    """Numbers of the lexicon's tokens that a text holds, and of the patterns that it shows (after the tokens)."""
+    """Numbers of the lexicon's tokens that a text holds, and of the patterns that it shows (after the tokens).
 
-    def __init__(self, lexicon: list[str]) -> None:
+    The first ``sure`` tokens of the lexicon are those that count as hits in the patterns.
+    """
+
+    def __init__(self, lexicon: list[str], sure: int) -> None:
+        self.sure = sure
         self.number = {t: k for k, t in enumerate(lexicon)}
         self.known: dict[str, tuple[int, ...]] = {}
         self.plain: set[str] = set()
@@ -73,7 +81,7 @@ class Features:
                 else:
                     self.plain.add(w)
             found.update(hit)
-            hits += bool(hit)
+            hits += any(k < self.sure for k in hit)
         if len(self.plain) + len(self.known) > REMEMBERED:
             self.plain.clear()
             self.known.clear()
@@ -129,12 +137,12 @@ def surprise(a: int, b: int, n1: int, n0: int) -> float:
     return 2 * sum(x * float(np.log(x / e)) for x, e in parts if x > 0)
 
 
-def learn_lexicon(rows: DataFrame, sizes: dict[int, int], least_surprise: float = 27.0) -> list[tuple[str, float]]:
+def learn_lexicon(rows: DataFrame, sizes: dict[int, int], least_surprise: float = 27.0) -> tuple[list[str], int]:
     """Tokens that toxic texts hold more often than chance among a million tokens explains,
-    and other texts hardly ever; most surprising first. ``sizes`` are the rows of each class that ``rows`` were taken from."""
+    and other texts hardly ever, and how many of them are sure: these come first, most surprising ones ahead. ``sizes`` are the rows of each class that ``rows`` were taken from."""
     n = {r[0]: r[1] for r in rows.groupBy("toxic").count().collect()}
     if not n.get(1):
-        return []
+        return [], 0
     w1, w0 = (sizes.get(k, 0) / max(n.get(k, 0), 1) for k in (1, 0))
     found = map_arrow(rows.where("toxic = 1").select("text"), _count_tokens(None), "token string, n long")
     found = found.groupBy("token").agg(F.sum("n").alias("toxic"))
@@ -145,19 +153,19 @@ def learn_lexicon(rows: DataFrame, sizes: dict[int, int], least_surprise: float
     scored = []
     for t, a in best.items():
         g = surprise(a, other[t], n[1], n.get(0, 0))
-        if g > least_surprise and a * w1 >= PRECISION * (a * w1 + other[t] * w0):
-            scored.append((t, g))
-    scored.sort(key=lambda x: (-x[1], x[0]))
-    return scored
+        precision = a * w1 / (a * w1 + other[t] * w0)
+        if g > least_surprise and precision >= PRECISION:
+            scored.append((precision < SURE, -g, t))
+    scored.sort()
+    return [t for _, _, t in scored], sum(not x[0] for x in scored)
 
 
-def label_model(votes: np.ndarray, first: np.ndarray, trusted: list[int], mass: np.ndarray, steps: int = 10) -> np.ndarray:
+def label_model(votes: np.ndarray, first: np.ndarray, mass: np.ndarray, steps: int = 10) -> np.ndarray:
     """Posterior of the toxic class from votes (rows x voters; 1 toxic, -1 not, 0 abstains); a row counts ``mass`` times.
 
     EM over two classes: each voter has, per class, a probability of each of its three votes (its accuracy). ``first`` are
     the first posteriors. Correlations: given the posteriors, the voters' residuals are correlated, and a voter's
-    log odds are divided by the sum of its absolute correlations, so that voters that repeat each other count once; not
-    so those of the ``trusted`` voters.
+    log odds are divided by the sum of its absolute correlations, so that voters that repeat each other count once.
     """
     kinds = np.stack([(votes == v).astype(float) for v in (-1, 0, 1)], axis=2)
     post = first.astype(float)
@@ -173,7 +181,6 @@ def label_model(votes: np.ndarray, first: np.ndarray, trusted: list[int], mass:
         np.fill_diagonal(corr, 1.0)
         corr[corr < 0.05] = 0
         told = corr.sum(axis=1)
-        told[trusted] = 1.0
         odds = (kinds * np.log(p1 / p0)).sum(axis=2) / told
         post = 1 / (1 + np.exp(-np.clip(np.log(prior / (1 - prior)) + odds.sum(axis=1), -30, 30)))
     return post
@@ -198,9 +205,9 @@ def linear(rows: list[list[int]], width: int, target: np.ndarray, mass: np.ndarr
     return w, b
 
 
-def _features_task(lexicon: list[str]):
+def _features_task(lexicon: list[str], sure: int):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        features = Features(lexicon)
+        features = Features(lexicon, sure)
         for batch in batches:
             on = [features(t or "") for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(on, pa.list_(pa.int32()))], ["toxic", "features"])
@@ -208,48 +215,49 @@ def _features_task(lexicon: list[str]):
     return task
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS) -> tuple[list[str], list[float], float]:
-    """(lexicon, weights of its tokens and of the patterns, intercept). Everything is learned from fit_rows().
+def fit(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS) -> Model:
+    """(lexicon, its sure tokens, weights of its tokens and of the patterns, intercept). Everything is learned from fit_rows().
 
     Of a class with more than ``most`` rows each fitted row stands for several, so that the classes keep the ratio they have
     over all labelled rows: in the precision asked of a token, the label model's prior and the classifier's intercept.
 
-    Tokens are dealt in turn to VOTERS lexicon voters: each votes toxic for a text that holds one of its tokens and not
-    toxic for one that holds no token at all, else it abstains. Pattern voters vote toxic or abstain. The given label
-    is the last voter. The label model turns the votes into posterior labels, and the linear classifier is trained on these.
+    Sure tokens are dealt in turn to VOTERS lexicon voters: each votes toxic for a text that holds one of its tokens and not
+    toxic for one that holds no sure token at all, else it abstains. Pattern voters vote toxic or abstain. The given label
+    is the last voter, whose accuracy is estimated and whose correlations are discounted like those of the rest. The label
+    model starts from the other voters (toxic are texts with two votes for it or more) and turns all votes into posterior
+    labels, on which the linear classifier is trained; its inputs are all tokens of the lexicon and the patterns.
     """
     known = learnable(docs, labels)
     sizes = {r[0]: r[1] for r in known.groupBy("toxic").count().collect()}
     rows = fit_rows(docs, known, most)
-    scored = learn_lexicon(rows, sizes)
-    if not scored:
-        return [], [], -30.0
-    lexicon = [t for t, _ in scored]
-    got = map_arrow(rows.select("toxic", "text"), _features_task(lexicon), "toxic int, features array<int>").collect()  # 2 * most rows
+    lexicon, sure = learn_lexicon(rows, sizes)
+    if not lexicon:
+        return [], 0, [], -30.0
+    got = map_arrow(rows.select("toxic", "text"), _features_task(lexicon, sure), "toxic int, features array<int>").collect()  # 2 * most rows
     on, gold = [r["features"] for r in got], np.array([r["toxic"] for r in got], float)
     n, width = len(lexicon), len(lexicon) + len(PATTERNS)
     mass = np.where(gold == 1, sizes.get(1, 0) / max(gold.sum(), 1), sizes.get(0, 0) / max((1 - gold).sum(), 1))
     mass /= mass.mean()
-    voters = min(VOTERS, max(3, n // 8))
+    voters = min(VOTERS, max(3, sure // 8))
     votes = np.zeros((len(on), voters + len(PATTERNS) + 1))
     votes[:, -1] = 2 * gold - 1
     for k, features in enumerate(on):
-        held = np.bincount([f % voters for f in features if f < n], minlength=voters)
+        held = np.bincount([f % voters for f in features if f < sure], minlength=voters)
         votes[k, :voters] = np.where(held > 0, 1, 0 if held.any() else -1)
         for f in features:
             if f >= n:
                 votes[k, voters + f - n] = 1
-    target = label_model(votes, gold * 0.98 + 0.01, [votes.shape[1] - 1], mass)
+    target = label_model(votes, np.where((votes[:, :-1] > 0).sum(axis=1) >= 2, 0.9, 0.1), mass)
     w, b = linear(on, width, target, mass)
-    return lexicon, [float(x) for x in w], float(b)
+    return lexicon, sure, [float(x) for x in w], float(b)
 
 
-def score(docs: DataFrame, model: tuple[list[str], list[float], float]) -> DataFrame:
+def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, score, predicted for each row; only the text is an input of the score. Null texts are empty."""
-    lexicon, weights, intercept = model
+    lexicon, sure, weights, intercept = model
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        features = Features(lexicon)
+        features = Features(lexicon, sure)
         for batch in batches:
             z = np.array([intercept + sum(weights[f] for f in features(t or "")) if weights else intercept for t in batch.column("text").to_pylist()])
             yield pa.RecordBatch.from_arrays(
@@ -271,11 +279,11 @@ def toxicity(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS) -> DataFr
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS) -> DataFrame:
     """The rows of ``docs`` that aren't predicted toxic, with all their columns."""
-    lexicon, weights, intercept = fit(docs, labels, most)
+    lexicon, sure, weights, intercept = fit(docs, labels, most)
     fields = docs.schema
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        features = Features(lexicon)
+        features = Features(lexicon, sure)
         for batch in batches:
             keep = [intercept + (sum(weights[f] for f in features(t or "")) if weights else 0.0) < 0 for t in batch.column("text").to_pylist()]
             yield batch.filter(pa.array(keep, pa.bool_()))

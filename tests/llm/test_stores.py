@@ -195,7 +195,7 @@ def test_a_row_that_counts_more_is_as_many_rows():
     many = np.repeat(np.arange(60), mass)
     (w, b), (v, c) = toxicity.linear(rows, 6, target, mass), toxicity.linear([rows[k] for k in many], 6, target[many], np.ones(len(many)))
     assert np.allclose(w, v) and np.isclose(b, c)
-    assert np.allclose(toxicity.label_model(votes, target, [3], mass)[many], toxicity.label_model(votes[many], target[many], [3], np.ones(len(many))))
+    assert np.allclose(toxicity.label_model(votes, target, mass)[many], toxicity.label_model(votes[many], target[many], np.ones(len(many))))
 
 
 def test_toxicity_without_labels(spark, make):
