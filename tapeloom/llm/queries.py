@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeloom.llm import exact_dedup, jaccard_join, license_scan, line_dedup, merkle, mixing, packing, quality_rules, secret_scan, toxicity, warc_shards
+from tapeloom.llm import exact_dedup, jaccard_join, license_scan, line_dedup, merkle, mixing, packing, quality_rules, secret_scan, token_files, toxicity, warc_shards
 from tapeloom.llm.common import scratch_path, table
 
 
@@ -73,6 +73,14 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.audited(table(spark, sf_dir, "documents"))
 
 
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    root = scratch_path(spark, "ids")
+    token_files.write_ids(table(spark, sf_dir, "documents"), root, public_tokenizers.path("byte_bpe_50k.json"))
+    return token_files.read_ids(spark, root, with_ids=False).drop("ids")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_jaccard_join": op1_jaccard_join,
@@ -86,6 +94,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_quality_rules": op9_quality_rules,
         "op10_secret_scan": op10_secret_scan,
         "op11_merkle_manifest": op11_merkle_manifest,
+        "op13_token_files": op13_token_files,
     }
 
 

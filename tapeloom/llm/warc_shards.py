@@ -83,6 +83,15 @@ class Store:
         self.fs.create_dir(self.root, recursive=True)
         return self.fs.open_output_stream(path)
 
+    def source(self, name: str):
+        """A file to read from any place."""
+        path = posixpath.join(self.root, name)
+        return open(path, "rb") if self.local else self.fs.open_input_file(path)
+
+    def size(self, name: str) -> int:
+        path = posixpath.join(self.root, name)
+        return os.path.getsize(path) if self.local else self.fs.get_file_info(path).size
+
     def commit(self, temporary: str, name: str) -> None:
         """The file gets its name only when it is whole. Another attempt's file has the same bytes."""
         a, b = posixpath.join(self.root, temporary), posixpath.join(self.root, name)
