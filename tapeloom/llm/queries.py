@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeloom.llm import exact_dedup, jaccard_join, license_scan, line_dedup, merkle, mixing, packing, quality_rules, secret_scan, token_files, toxicity, warc_shards
+from tapeloom.llm import exact_dedup, jaccard_join, license_scan, line_dedup, merkle, mixing, packing, quality_rules, secret_scan, token_files, toxicity, turn_repair, warc_shards
 from tapeloom.llm.common import scratch_path, table
 
 
@@ -73,6 +73,10 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.audited(table(spark, sf_dir, "documents"))
 
 
+def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_repair.repaired(table(spark, sf_dir, "conversations"))
+
+
 def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -94,6 +98,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_quality_rules": op9_quality_rules,
         "op10_secret_scan": op10_secret_scan,
         "op11_merkle_manifest": op11_merkle_manifest,
+        "op12_turn_repair": op12_turn_repair,
         "op13_token_files": op13_token_files,
     }
 
