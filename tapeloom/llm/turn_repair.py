@@ -133,7 +133,7 @@ def ordered(rows: DataFrame, path: str) -> DataFrame:
     mark = F.sha2(F.concat(F.octet_length("role").cast("string"), F.lit(":"), "role", "text"), 256)
     rows = rows.withColumns({"mark": mark, "tie": F.monotonically_increasing_id()})
     by = ["conv", F.col("turn").asc_nulls_first(), "mark"]
-    ranges = rows.repartitionByRange(rows.rdd.getNumPartitions(), *by, "tie").sortWithinPartitions(*by)
+    ranges = rows.repartitionByRange(max(1, rows.rdd.getNumPartitions()), *by, "tie").sortWithinPartitions(*by)
     ranges.withColumn("at", F.monotonically_increasing_id()).drop("tie").write.parquet(path)
     return rows.sparkSession.read.parquet(path).withColumn("run", F.col("at") - F.pmod("at", F.lit(RUN)))
 
