@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import os
-import re
 import struct
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,8 +21,8 @@ from tapeloom.llm.warc_shards import Store
 END_ID = 0
 #: Ids of a block, and the shares of a block's ids among which the share that the width must hold is chosen.
 BLOCK, SHARES = 1024, (0.9, 0.95, 0.98, 0.99, 1.0)
-#: Characters of pieces that one Python worker remembers the ids of, and texts encoded together.
-REMEMBERED, TEXTS = 24_000_000, 256
+#: Characters of pieces that one Python worker remembers the ids of, pieces encoded as one text, and bytes of texts encoded together.
+REMEMBERED, PIECES, TOGETHER = 24_000_000, 256, 4 << 20
 #: minimum, width in bits, ids, exceptions
 HEAD = struct.Struct("<IBHH")
 #: blocks, documents, and the ids of the file
@@ -30,11 +30,15 @@ TAIL = struct.Struct("<QQQ8s")
 MAGIC = b"PFOR-1\r\n"
 CHUNK = 4 << 20
 
-#: A space before something that isn't white space begins a word; texts in which other spaces stand are cut by the first pattern.
-_CUT, _ODD = re.compile(r"(?= \S)"), re.compile(r" \s| \Z")
-#: More places where one word surely ends: letters before an ASCII mark, a line end alone, a letter behind one that stands alone.
+SPECIAL = "<|endoftext|>"
+#: What begins a piece that has no space before it. Texts that hold it, or what looks like a special token, or a space beside other white
+#: space or at the end (RE2's syntax), are encoded whole.
+BARE = "\x01"
+_ODD = r"\x01|<\||  | [\s\x0b\x1c-\x1f\x{85}\pZ]| \z"
+#: Places within a text where one word surely ends: letters before an ASCII mark, and a line end alone between a mark or letter and a letter.
 _LETTER = "A-Za-zÀ-ÖØ-öø-ɏ"
-_INNER = re.compile(rf"(?<=[{_LETTER}])(?=[!-/:-@\[-`{{-~])|(?<=\S)(?=\n\S)|(?<=\S\n)(?=[{_LETTER}])")
+_MARK = rf"([{_LETTER}])([!-/:-@\[-`{{-~])"
+_LINE = rf"([!-~{_LETTER}])\n([{_LETTER}])"
 _encoders: dict[str, Encoder] = {}
 
 
@@ -42,7 +46,7 @@ class Encoder:
     """Ids as little-endian unsigned 32-bit numbers, the same as the byte-level tokenizer gives for the whole text.
 
     The tokenizer splits a text into words first, and a space before something that isn't white space always begins a new
-    one. So the text is cut there; each different piece is encoded once, and marks and lines of a new piece apart.
+    one, as do marks behind letters. So the text is cut there, and each different piece is encoded once.
     """
 
     def __init__(self, path: str) -> None:
@@ -50,33 +54,56 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.forget()
-
-    def forget(self) -> None:
-        self.parts: dict[str, bytes] = {}
-        self.known: dict[str, dict[str, bytes]] = {"": {}, " ": {}}
+        self.stop = self.tokenizer.token_to_id(SPECIAL)
+        self.known: dict[str, bytes] = {}
         self.held = 0
 
-    def _learn(self, before: str, words: set[str]) -> dict[str, bytes]:
-        known, parts = self.known[before], self.parts
-        cut = {w: _INNER.split(before + w) if "<|" not in w else [before + w] for w in words.difference(known)}
-        new = list(set().union(*cut.values()).difference(parts))
-        for at in range(0, len(new), 5000):
-            some = new[at : at + 5000]
-            for piece, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                parts[piece] = np.array(e.ids, "<u4").tobytes()
-        for w, pieces in cut.items():
-            known[w] = b"".join([parts[p] for p in pieces])
-        self.held += sum(map(len, cut)) + sum(map(len, new))
-        return known
-
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def _encoded(self, pieces: list[str]) -> list[bytes]:
+        """The ids of each piece. Many pieces go as one text, as the tokenizer takes what stands between special tokens by itself."""
+        if self.stop is None:
+            return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+        texts = [SPECIAL.join([*pieces[k : k + PIECES], ""]) for k in range(0, len(pieces), PIECES)]
+        found = []
+        for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
+            ids = np.array(e.ids, "<u4")
+            data, ends = ids.tobytes(), (4 * np.flatnonzero(ids == self.stop)).tolist()
+            found += [data[a:b] for a, b in zip([0, *[x + 4 for x in ends[:-1]]], ends, strict=True)]
+        return found
+
+    def _learn(self, pieces: list[str]) -> None:
         if self.held > REMEMBERED:
-            self.forget()
-        cut = [[p[p[:1] == " " :] if k else p for k, p in enumerate(_CUT.split(t))] if _ODD.search(t) else t.split(" ") for t in texts]
-        firsts = [c.pop(0) for c in cut]
-        first, other = self._learn("", set(firsts)), self._learn(" ", set().union(*cut))
-        return [first[f] + b"".join(map(other.__getitem__, c)) for f, c in zip(firsts, cut, strict=True)]
+            self.known, self.held = {}, 0
+        new = [p for p in pieces if p not in self.known]
+        self.known.update(zip(new, self._encoded([p[1:] if p[:1] == BARE else " " + p for p in new]), strict=True))
+        self.held += sum(map(len, new))
+
+    def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, ``end`` behind each, one after another, and the number of each text's ids.
+
+        Arrow cuts texts and numbers the pieces, Python sees the different ones, and NumPy puts the ids in place.
+        """
+        odd = pc.match_substring_regex(texts, _ODD)
+        plain = pc.if_else(odd, "", texts)
+        plain = pc.replace_substring_regex(plain, _LINE, f"\\1 {BARE}\n {BARE}\\2")
+        plain = pc.replace_substring_regex(plain, _MARK, rf"\1 {BARE}\2")
+        pieces = pc.split_pattern(pc.binary_join_element_wise(BARE, plain, ""), " ")
+        begins = pieces.offsets.to_numpy()[:-1] - pieces.offsets[0].as_py()
+        coded = pieces.flatten().dictionary_encode()
+        different = coded.dictionary.to_pylist()
+        self._learn(different)
+        entries = [self.known[p] for p in different]
+        number = coded.indices.to_numpy().astype(np.int64)
+        for k in np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist():
+            number[begins[k]] = len(entries)
+            entries.append(np.array(self.tokenizer.encode(texts[k].as_py(), add_special_tokens=False).ids, "<u4").tobytes())
+        number = np.insert(number, np.append(begins[1:], len(number)), len(entries))
+        entries.append(np.array([end], "<u4").tobytes())
+        sizes = np.fromiter(map(len, entries), np.int64, len(entries)) // 4
+        starts, buffer = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(entries), "<u4")
+        took = sizes[number]
+        upto = np.cumsum(took)
+        ids = buffer[np.repeat(starts[number] - upto + took, took) + np.arange(upto[-1])]
+        return ids, np.add.reduceat(took, begins + np.arange(len(texts)))
 
 
 def encoder(path: str) -> Encoder:
@@ -87,13 +114,14 @@ def encoder(path: str) -> Encoder:
 
 def bits(values: np.ndarray, width: int) -> bytes:
     """The low ``width`` bits of each value, one after another, the lowest bit first."""
-    spread = (values[:, None] >> np.arange(width, dtype=np.uint32)) & np.uint32(1)
-    return np.packbits(spread.astype(np.uint8), bitorder="little").tobytes()
+    spread = np.unpackbits(values.astype("<u4").view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")
+    return np.packbits(spread[:, :width].ravel(), bitorder="little").tobytes()
 
 
 def unbits(data: bytes, width: int, count: int) -> np.ndarray:
-    spread = np.unpackbits(np.frombuffer(data, np.uint8), count=count * width, bitorder="little").reshape(count, width)
-    return spread.astype(np.uint32) @ (np.uint32(1) << np.arange(width, dtype=np.uint32))
+    spread = np.zeros((count, 32), np.uint8)
+    spread[:, :width] = np.unpackbits(np.frombuffer(data, np.uint8), count=count * width, bitorder="little").reshape(count, width)
+    return np.packbits(spread, axis=1, bitorder="little").view("<u4").ravel()
 
 
 def packed(ids: np.ndarray) -> bytes:
@@ -147,11 +175,10 @@ class Writer:
             self.starts.append(self.at)
             self._out(packed(ids[k : k + BLOCK]))
 
-    def add(self, doc_id: int | None, ids: bytes) -> None:
-        new = np.frombuffer(ids, "<u4")
-        self.docs.append((0 if doc_id is None else doc_id, doc_id is None, len(new)))
-        self.ids += len(new)
-        every = np.concatenate([self.rest, new])
+    def add(self, doc_ids: list[int | None], sizes: list[int], ids: np.ndarray) -> None:
+        self.docs += [(0 if d is None else d, d is None, n) for d, n in zip(doc_ids, sizes, strict=True)]
+        self.ids += len(ids)
+        every = np.concatenate([self.rest, ids])
         whole = len(every) // BLOCK * BLOCK
         self._blocks(every[:whole])
         self.rest = every[whole:]
@@ -183,17 +210,20 @@ def write_ids(docs: DataFrame, root: str, tokenizer: str) -> DataFrame:
     rows = only(docs, "doc_id", "text").withColumn("text", F.coalesce("text", F.lit("")))
     rows = rows.withColumns({"hash": F.xxhash64("text"), "tie": F.monotonically_increasing_id()})
     by = [F.col("doc_id").asc_nulls_first(), "hash"]
-    dealt = rows.repartitionByRange(docs.rdd.getNumPartitions(), *by, "tie").sortWithinPartitions(*by, "text").select("doc_id", "text")
+    dealt = rows.repartitionByRange(max(1, docs.rdd.getNumPartitions()), *by, "tie").sortWithinPartitions(*by, "text").select("doc_id", "text")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, enc, writer = TaskContext.get().partitionId(), encoder(tokenizer), None
-        end = np.array([END_ID], "<u4").tobytes()
         for batch in batches:
-            for at in range(0, batch.num_rows, TEXTS):
-                some = batch.slice(at, TEXTS)
-                for doc_id, ids in zip(some.column("doc_id").to_pylist(), enc.encode(some.column("text").to_pylist()), strict=True):
-                    writer = writer or Writer(Store(root), f"part-{part:06d}.ids")
-                    writer.add(doc_id, ids + end)
+            upto = np.cumsum(pc.binary_length(batch.column("text")).to_numpy())
+            at = 0
+            while at < batch.num_rows:
+                some = max(1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + TOGETHER)) - at)
+                rows = batch.slice(at, some)
+                ids, sizes = enc.encode(rows.column("text"), END_ID)
+                writer = writer or Writer(Store(root), f"part-{part:06d}.ids")
+                writer.add(rows.column("doc_id").to_pylist(), sizes.tolist(), ids)
+                at += some
         if writer:
             name, n, tokens, size, crc = writer.close()
             yield pa.RecordBatch.from_pylist([{"file": name, "part": part, "documents": n, "tokens": tokens, "bytes": size, "crc32": crc}])
@@ -253,7 +283,7 @@ class Reader:
             start += size
 
 
-READ = "file string, doc_id long, inside long, n_tokens long, ids_crc32 long, ids binary"
+READ = "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary"
 
 
 def read_ids(spark: SparkSession, root: str, with_ids: bool = True) -> DataFrame:
@@ -264,11 +294,12 @@ def read_ids(spark: SparkSession, root: str, with_ids: bool = True) -> DataFrame
     """
     manifest = spark.read.parquet(f"{root}/_manifest").withColumn("all", F.lit(0))
     begins = prefix_sum(manifest, ["all"], "part", ["part"], "tokens", "upto", width=4096).select("file", (F.col("upto") - F.col("tokens")).alias("begin"))
+    files = begins.repartition(max(1, manifest.count()), "file")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store = Store(root)
         for batch in batches:
-            for name in batch.column("file").to_pylist():
+            for name, begin in zip(batch.column("file").to_pylist(), batch.column("begin").to_pylist(), strict=True):
                 out, size = [], 0
                 for doc_id, inside, n, parts in Reader(store, name).documents():
                     crc, kept = 0, []
@@ -276,7 +307,7 @@ def read_ids(spark: SparkSession, root: str, with_ids: bool = True) -> DataFrame
                         crc = zlib.crc32(p, crc)
                         if with_ids:
                             kept.append(p)
-                    out.append((name, doc_id, inside, n, crc, b"".join(kept) if with_ids else None))
+                    out.append((doc_id, begin + inside, n, crc, b"".join(kept) if with_ids else None))
                     size += 4 * n if with_ids else 60
                     if size > CHUNK:
                         yield _rows(out)
@@ -284,12 +315,10 @@ def read_ids(spark: SparkSession, root: str, with_ids: bool = True) -> DataFrame
                 if out:
                     yield _rows(out)
 
-    files = manifest.select("file").repartition(max(1, manifest.count()), "file")
-    found = map_arrow(files, task, READ).join(begins, "file")
-    return found.select("doc_id", (F.col("begin") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32", "ids")
+    return map_arrow(files, task, READ)
 
 
-_ARROW = pa.schema([("file", pa.string()), ("doc_id", pa.int64()), ("inside", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.binary())])
+_ARROW = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.binary())])
 
 
 def _rows(found: list[tuple]) -> pa.RecordBatch:

@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -48,15 +49,17 @@ def test_pieces_are_encoded_as_in_the_whole_text():
     enc, rnd = token_files.Encoder(PATH), random.Random(5)
     parts = [" ", "  ", "\n", "\n\n", "\t", "a", "Bc", "é", "'s", "'", "don't", "1", "２", "²", "_", ".", "!?", "<|endoftext|>", "<|", "中", "\xa0", " ", "\x1c", "́", "ª", "𐐀", "😀", "\r", "ß", "—", "|", "x-y"]
     texts = ["".join(rnd.choices(parts, k=rnd.randint(0, 14))) for _ in range(4000)]
-    for text, ids in zip(texts, enc.encode(texts), strict=True):
-        assert ids + b"\0\0\0\0" == whole(text), text
+    ids, sizes = enc.encode(pa.array(texts), 0)
+    for text, got in zip(texts, np.split(ids, np.cumsum(sizes)[:-1]), strict=True):
+        assert got.tobytes() == whole(text), text
 
 
 def test_memory_of_pieces_is_bounded(monkeypatch):
     monkeypatch.setattr(token_files, "REMEMBERED", 50)
     enc = token_files.Encoder(PATH)
     for k in range(20):
-        assert enc.encode([f"word{k} and more of it {k}"])[0] + b"\0\0\0\0" == whole(f"word{k} and more of it {k}")
+        text = f"word{k} and more of it {k}"
+        assert enc.encode(pa.array([text]), 0)[0].tobytes() == whole(text)
         assert enc.held < 200
 
 
