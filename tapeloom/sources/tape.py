@@ -23,8 +23,9 @@ def epoch_ms(df: DataFrame, name: str) -> Column:
     return F.unix_millis(F.col(name))
 
 
-def raw_tape(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+def raw_tape(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
+    """The tape of the events table, or of ``events`` (a stream of the same columns)."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet") if events is None else events
     return e.select(
         (F.col("user_id") % 4).alias("instrument"),
         epoch_ms(e, "ts").alias("ts_ms"),
