@@ -43,25 +43,6 @@ def tilt(members: DataFrame, base: DataFrame, stratum: list[str]) -> DataFrame:
     )
 
 
-def block_bootstrap(days: DataFrame, block: int, draws: int, seed: int = 12_345) -> DataFrame:
-    """Mean per draw of circular day blocks. days: day_no (0 to n - 1), s, n. Block starts follow from seed, draw and block number only."""
-    spark, count = days.sparkSession, days.count()
-    per = -(-count // block)
-    start = F.pmod((F.col("id") * per + F.col("k")) * 48_271 + seed * 16_807, F.lit(2_147_483_647)) % count
-    d = spark.range(draws).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(per - 1)))).withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(block - 1))))
-    d = d.where(F.col("k") * block + F.col("o") < count).select(F.col("id").alias("draw"), ((start + F.col("o")) % count).alias("day_no"))
-    weight = d.groupBy("draw", "day_no").agg(F.count("*").alias("w"))
-    out = weight.join(days, "day_no").groupBy("draw").agg(F.sum(F.col("w") * F.col("s")).alias("s"), F.sum(F.col("w") * F.col("n")).alias("n"))
-    return out.select("draw", (F.col("s") / F.col("n")).alias("mean"))
-
-
-def interval(draws: DataFrame, value: str) -> DataFrame:
-    """Nearest-rank 2.5 % and 97.5 % quantiles, and how they read."""
-    q = [F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {value})").alias(n) for n, p in (("lo", 0.025), ("hi", 0.975))]
-    read = F.when(F.col("lo") > 0, "hypothesis").when(F.col("hi") < 0, "counter").otherwise("inconclusive")
-    return draws.agg(*q).withColumn("reading", read)
-
-
 def drawdown(rows: DataFrame, keys: list[str], order: list[str], net: str) -> DataFrame:
     """Largest fall of the cumulative net below its peak so far (0 before the first row)."""
     w = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)

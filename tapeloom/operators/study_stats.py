@@ -54,25 +54,6 @@ def daily_sums(rows: DataFrame, time: str, value: str) -> DataFrame:
     return d.withColumn("day_no", F.row_number().over(W.orderBy("day_ms")) - 1)
 
 
-def rotations(members: DataFrame, races: DataFrame, days: int) -> DataFrame:
-    """The members' score against races of other days at the same time of day, in blocks of ``days`` days.
-
-    members: instrument, bar_end_ms, sign. races: instrument, bar_end_ms, value. Rotation 0 is the observed score.
-    """
-    block = DAY_MS * days
-    start = bucket(F.col("bar_end_ms"), block)
-    k = members.withColumn("rotation", F.explode(F.sequence(F.lit(0), F.lit(days - 1))))
-    k = k.withColumn("bar_end_ms", start + F.pmod(F.col("bar_end_ms") - start + F.col("rotation").cast("long") * DAY_MS, F.lit(block)))
-    return k.join(races, ["instrument", "bar_end_ms"]).groupBy("rotation").agg(F.sum(F.col("sign") * F.col("value")).alias("score"), F.count("*").alias("n"))
-
-
-def rotation_p(scores: DataFrame) -> DataFrame:
-    """Two-sided p: share of rotations, the observed one included, whose mean score is at least as far from zero."""
-    s = scores.withColumn("mean", F.abs(F.col("score") / F.col("n")))
-    seen = s.where("rotation = 0").select(F.col("mean").alias("observed"))  # one row
-    return s.join(F.broadcast(seen)).agg((F.count_if(F.col("mean") >= F.col("observed")) / F.count("*")).alias("p"), F.count("*").alias("rotations"))
-
-
 def survival(states: DataFrame) -> DataFrame:
     """Per number of closes outside: runs at risk, runs that ended there, and the hazard."""
     w = W.partitionBy("instrument", "day_ms").orderBy("bar_ms")

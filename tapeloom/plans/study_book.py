@@ -72,8 +72,6 @@ QUERIES = {
     "z2_episodes": lambda s, d: Z.episodes(trades(s, d), ["instrument"], "ts_ms", H),
     "z5_hour_of_week": lambda s, d: trades(s, d).groupBy(Z.hour_of_week(F.col("ts_ms")).alias("hour")).agg(F.count("*").alias("n")),
     "z6_tilt": strata,
-    "z7_block_bootstrap": lambda s, d: Z.block_bootstrap(daily(s, d), 5, 200),
-    "z8_interval": lambda s, d: Z.interval(Z.block_bootstrap(daily(s, d), 5, 200), "mean"),
     "z12_drawdown": lambda s, d: Z.drawdown(deals(s, d), ["c_mktsegment"], ["ts_ms", "o_orderkey"], "net"),
     "z14_benjamini_hochberg": lambda s, d: Z.benjamini_hochberg(pvalues(s, d), "p", 0.05),
     "z18_autocorrelation": lambda s, d: Z.autocorrelation(daily(s, d), "day_no", "n", [1, 2, 7]),
@@ -88,8 +86,6 @@ lf AS (SELECT instrument, epoch, side, price, qty, seq AS valid_from, coalesce(l
 bk AS (SELECT m.instrument, m.seq AS at_seq, l.side, l.price, l.qty FROM u m JOIN lf l ON l.instrument = m.instrument AND l.valid_from <= m.seq AND l.valid_to > m.seq AND l.qty > 0),
 bs AS (SELECT instrument, at_seq, max(price) FILTER (WHERE side = 'bid') AS bid, min(price) FILTER (WHERE side = 'ask') AS ask, min(price) FILTER (WHERE side = 'bid') AS deepest_bid, max(price) FILTER (WHERE side = 'ask') AS deepest_ask FROM bk GROUP BY 1, 2)"""
 DY = f"WITH {TAPE}, dy AS (SELECT row_number() OVER (ORDER BY day_ms) - 1 AS day_no, * FROM (SELECT ts_ms - ts_ms % {DAY_MS} AS day_ms, sum(CASE WHEN aggressor = 'buy' THEN 1 ELSE -1 END) AS s, count(*) AS n FROM trades GROUP BY 1))"
-BOOT = f"""{DY}, c AS (SELECT count(*) AS c FROM dy), dr AS (SELECT i AS draw, (((i * ((c + 4) // 5) + k) * 48271 + 12345 * 16807) % 2147483647 % c + o) % c AS day_no FROM c, range(200) a(i), range(1000) b(k), range(5) e(o) WHERE k < (c + 4) // 5 AND k * 5 + o < c),
-bm AS (SELECT draw, sum(s)::DOUBLE / sum(n) AS mean FROM dr JOIN dy USING (day_no) GROUP BY 1)"""
 DEALS = "WITH dl AS (SELECT c_mktsegment, o_orderkey, epoch_us(o_orderdate) // 1000 AS ts_ms, CAST(round(o_totalprice * 100) AS BIGINT) % 20001 - 10000 AS net FROM orders JOIN customer ON o_custkey = c_custkey)"
 
 SQL = {
@@ -103,8 +99,6 @@ SQL = {
     "k10_clusters": f"""{UP}, md AS (SELECT instrument, at_seq, side, list_sort(list(qty)) AS q FROM bk GROUP BY 1, 2, 3) SELECT instrument, at_seq, side, CAST(row_number() OVER (PARTITION BY instrument, at_seq, side ORDER BY qty DESC, price) AS INTEGER) AS rank, price, qty, q[CAST(ceil(0.5 * len(q)) AS BIGINT)] AS median_qty FROM bk JOIN md USING (instrument, at_seq, side) QUALIFY rank <= 5""",
     "z1_state_runs": f"WITH {TAPE}, a AS (SELECT *, CASE WHEN aggressor = lag(aggressor) OVER w THEN 0 ELSE 1 END AS new FROM trades WINDOW w AS (PARTITION BY instrument ORDER BY trade_id)), b AS (SELECT *, CAST(sum(new) OVER (PARTITION BY instrument ORDER BY trade_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS run FROM a) SELECT instrument, run, aggressor, min(trade_id) AS first, max(trade_id) AS last, count(*) AS n FROM b GROUP BY 1, 2, 3",
     "z2_episodes": f"WITH {TAPE}, a AS (SELECT *, CASE WHEN ts_ms - lag(ts_ms) OVER w < {H} THEN 0 ELSE 1 END AS new FROM trades WINDOW w AS (PARTITION BY instrument ORDER BY ts_ms)), b AS (SELECT *, CAST(sum(new) OVER (PARTITION BY instrument ORDER BY ts_ms ROWS UNBOUNDED PRECEDING) AS BIGINT) AS episode FROM a) SELECT instrument, episode, min(ts_ms) AS first, max(ts_ms) AS last, count(*) AS n FROM b GROUP BY 1, 2",
-    "z7_block_bootstrap": f"{BOOT} SELECT draw, mean FROM bm",
-    "z8_interval": f"{BOOT}, q AS (SELECT list_sort(list(mean)) AS m FROM bm) SELECT m[CAST(ceil(0.025 * len(m)) AS BIGINT)] AS lo, m[CAST(ceil(0.975 * len(m)) AS BIGINT)] AS hi, CASE WHEN lo > 0 THEN 'hypothesis' WHEN hi < 0 THEN 'counter' ELSE 'inconclusive' END AS reading FROM q",
     "z12_drawdown": f"{DEALS}, c AS (SELECT *, sum(net) OVER w AS cum FROM dl WINDOW w AS (PARTITION BY c_mktsegment ORDER BY ts_ms, o_orderkey ROWS UNBOUNDED PRECEDING)), p AS (SELECT *, greatest(0, max(cum) OVER (PARTITION BY c_mktsegment ORDER BY ts_ms, o_orderkey ROWS UNBOUNDED PRECEDING)) AS peak FROM c) SELECT c_mktsegment, CAST(max(peak - cum) AS BIGINT) AS max_drawdown, CAST(sum(net) AS BIGINT) AS total FROM p GROUP BY 1",
     "z14_benjamini_hochberg": """WITH t AS (SELECT p_brand, CAST(sum(CAST(round(l_discount * 100) AS BIGINT)) AS BIGINT) % 1000 / 20000.0::DOUBLE AS p FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY p) AS rank, count(*) OVER () AS m FROM t)
       SELECT p_brand, p, coalesce(p <= (SELECT max(p) FROM r WHERE p <= rank * 0.05::DOUBLE / m), false) AS rejected FROM r""",

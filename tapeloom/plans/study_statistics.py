@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from tapeloom.functions.timing import bucket
 from tapeloom.operators import location as L
-from tapeloom.operators import stats as S
 from tapeloom.operators import study_stats as Z
 from tapeloom.plans import location_triggers as T
 from tapeloom.plans.bars_flow import covered
@@ -15,22 +14,13 @@ from tapeloom.plans.study_relations import HS, YR, all_records, measured, member
 from tapeloom.plans.tape_sql import TAPE
 from tapeloom.sources.tape import DAY_MS, HOUR_MS, trades
 
-H, FEE_BPS, DAYS, BLOCK, DRAWS = HOUR_MS, 10.0, 7, 5, 200
+H, FEE_BPS = HOUR_MS, 10.0
 
 
 def net(s, d):
     return Z.net_results(measured(s, d), "4h", FEE_BPS)
 
 
-def rotated(s, d):
-    ends = samples(s, d).select("instrument", "event_seq", "bar_end_ms")
-    m = members(s, d).where("pair IN ('P1-buy', 'P1-sell')").join(ends, ["instrument", "event_seq"])
-    m = m.select("instrument", "bar_end_ms", F.when(F.col("hypothesis") == "upper", 1).otherwise(-1).alias("sign"))
-    value = F.when(F.col("race") == "upper", 1).when(F.col("race") == "lower", -1).when(F.col("race") == "neither", 0)
-    r = raced(s, d).where("horizon = '4h'").select("instrument", "event_seq", value.alias("value")).where("value IS NOT NULL").join(ends, ["instrument", "event_seq"])
-    return Z.rotations(m, r.select("instrument", "bar_end_ms", "value"), DAYS)
-
-
 def moves(s, d):
     """Hourly bars with a price: return, log range, hour, weekday and half (by the parity of the week)."""
     b = covered(s, d).where("close IS NOT NULL AND open > 0 AND low > 0 AND high > low")
@@ -68,9 +58,6 @@ QUERIES = {
     "z4_cells": lambda s, d: Z.cells(members(s, d), HS),
     "z9_sample_needed": lambda s, d: Z.sample_needed(Z.cells(members(s, d), HS)),
     "z10_net_results": net,
-    "z11_net_expectancy": lambda s, d: S.block_bootstrap(Z.daily_sums(net(s, d), "decision_ms", "net"), BLOCK, DRAWS),
-    "z13_rotation_scores": rotated,
-    "z13_rotation_p": lambda s, d: Z.rotation_p(rotated(s, d)),
     "z16_breakout_survival": lambda s, d: Z.survival(L.acceptance(covered(s, d), T.ranges(s, d), T.CLOSES)),
     "z17_hour_homogeneity": lambda s, d: Z.homogeneity(trades(s, d).withColumn("hour", (F.pmod("ts_ms", F.lit(DAY_MS)) / H).cast("int")), "hour", F.col("aggressor") == "buy"),
     "z19_seasonal_hours": lambda s, d: Z.seasonal(moves(s, d), "hour"),
@@ -92,10 +79,6 @@ c1 AS (SELECT pair, 'all' AS split, 'all' AS value, horizon, out FROM c0 UNION A
 ce AS (SELECT pair, split, value, horizon, count(*) AS members, {RANS} FROM c1 GROUP BY 1, 2, 3, 4)"""
 NT = f"""{YR}, n0 AS (SELECT cm.pair, cm.instrument, cm.event_seq, cm.decision_ms, CASE out_4h WHEN 'hypothesis' THEN 1.0 WHEN 'counter' THEN -1.0 WHEN 'neither' THEN CASE hypothesis WHEN 'upper' THEN mark_4h ELSE -mark_4h END END AS gross, {FEE_BPS}::DOUBLE / nullif(half_bps_4h, 0) AS fee
   FROM cm JOIN ym USING (pair, effort_window, instrument, event_seq) JOIN mk USING (instrument, event_seq)), nt AS (SELECT *, gross - fee AS net FROM n0 WHERE gross - fee IS NOT NULL)"""
-RO = f"""{YR}, w1 AS (SELECT m.instrument, sm.bar_end_ms, CASE WHEN hypothesis = 'upper' THEN 1 ELSE -1 END AS sign FROM ym m JOIN sm USING (instrument, event_seq) WHERE pair IN ('P1-buy', 'P1-sell')),
-w2 AS (SELECT instrument, bar_end_ms, CASE race WHEN 'upper' THEN 1 WHEN 'lower' THEN -1 ELSE 0 END AS value FROM (SELECT instrument, event_seq, race FROM rc WHERE horizon = '4h' AND race IN ('upper', 'lower', 'neither')) JOIN sm USING (instrument, event_seq)),
-w3 AS (SELECT k AS rotation, instrument, sign, bar_end_ms - bar_end_ms % {DAYS * DAY_MS} + (bar_end_ms % {DAYS * DAY_MS} + k * {DAY_MS}) % {DAYS * DAY_MS} AS bar_end_ms FROM w1, range({DAYS}) r(k)),
-ro AS (SELECT rotation, CAST(sum(sign * value) AS BIGINT) AS score, count(*) AS n FROM w3 JOIN w2 USING (instrument, bar_end_ms) GROUP BY 1)"""
 MV = f"""{YR}, mo AS (SELECT instrument, bar_ms, close::DOUBLE / open - 1 AS r, ln(high::DOUBLE / low) AS lr, bar_ms % {DAY_MS} // {H} AS hour, (bar_ms // {DAY_MS} + 3) % 7 AS weekday, bar_ms // {7 * DAY_MS} % 2 AS half FROM dense WHERE close IS NOT NULL AND open > 0 AND low > 0 AND high > low)"""
 
 
@@ -119,10 +102,6 @@ SQL = {
     "z4_cells": f"{CE} SELECT * FROM ce",
     "z9_sample_needed": f"{CE} SELECT pair, horizon, mu, CAST(ceil(pow(1.96 / nullif(mu, 0), 2)) AS BIGINT) AS needed FROM (SELECT *, (n_hypothesis - n_counter)::DOUBLE / nullif(n_hypothesis + n_counter + n_neither, 0) AS mu FROM ce WHERE split = 'all')",
     "z10_net_results": f"{NT} SELECT * FROM nt",
-    "z11_net_expectancy": f"""{NT}, dy AS (SELECT row_number() OVER (ORDER BY day_ms) - 1 AS day_no, * FROM (SELECT decision_ms - decision_ms % {DAY_MS} AS day_ms, sum(net) AS s, count(*) AS n FROM nt GROUP BY 1)), cc AS (SELECT count(*) AS c FROM dy),
-      dw AS (SELECT i AS draw, (((i * ((c + {BLOCK - 1}) // {BLOCK}) + k) * 48271 + 12345 * 16807) % 2147483647 % c + o) % c AS day_no FROM cc, range({DRAWS}) a(i), range(1000) b(k), range({BLOCK}) e(o) WHERE k < (c + {BLOCK - 1}) // {BLOCK} AND k * {BLOCK} + o < c) SELECT draw, sum(s) / sum(n) AS mean FROM dw JOIN dy USING (day_no) GROUP BY 1""",
-    "z13_rotation_scores": f"{RO} SELECT * FROM ro",
-    "z13_rotation_p": f"{RO}, rm AS (SELECT *, abs(score::DOUBLE / n) AS mean FROM ro) SELECT count(*) FILTER (WHERE mean >= (SELECT mean FROM rm WHERE rotation = 0))::DOUBLE / count(*) AS p, count(*) AS rotations FROM rm",
     "z16_breakout_survival": f"""{YR}, q0 AS (SELECT *, CASE WHEN region = lag(region) OVER (PARTITION BY instrument, day_ms ORDER BY bar_ms) THEN 0 ELSE 1 END AS new FROM sa), q1 AS (SELECT *, sum(new) OVER (PARTITION BY instrument, day_ms ORDER BY bar_ms ROWS UNBOUNDED PRECEDING) AS run FROM q0),
       q2 AS (SELECT instrument, day_ms, run, count(*) AS length FROM q1 WHERE region <> 'inside' GROUP BY 1, 2, 3), q3 AS (SELECT length, unnest(range(1, length + 1)) AS closes FROM q2) SELECT closes, count(*) AS at_risk, count(*) FILTER (WHERE closes = length) AS ended, count(*) FILTER (WHERE closes = length)::DOUBLE / count(*) AS hazard FROM q3 GROUP BY 1""",
     "z17_hour_homogeneity": f"""WITH {TAPE}, t AS (SELECT ts_ms % {DAY_MS} // {H} AS g, count(*) AS n, count(*) FILTER (WHERE aggressor = 'buy') AS a FROM trades GROUP BY 1), x AS (SELECT *, n * (SELECT sum(a) FROM t)::DOUBLE / (SELECT sum(n) FROM t) AS e1 FROM t)
