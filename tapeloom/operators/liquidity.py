@@ -154,3 +154,37 @@ def flow_minutes(flow: DataFrame, minute_ms: int = 60_000) -> DataFrame:
     """K8: flow per side and band of each minute."""
     minute = (F.col("ts_ms") - F.pmod("ts_ms", F.lit(minute_ms))).alias("minute_ms")
     return flow.groupBy("instrument", minute, "side", "band").agg(*[F.sum(c).alias(c) for c in ("added", "cancelled", "filled", "inferred")])
+
+
+def flow_windows(minutes: DataFrame, bad: DataFrame, widths: tuple[int, ...] = (5, 15, 60), minute_ms: int = 60_000) -> DataFrame:
+    """K9: flow of the last ``widths`` minutes per side and band, at the end of each minute in which the instrument's book had flow or was unknown.
+
+    minutes: flow_minutes(); bad: (instrument, ts_ms) of diffs that no known book could take. partial_start: the window reaches back to the first minute
+    with flow or beyond; feed_gap: such a diff lies in it. A window is a difference of two running sums, looked up by time in buckets of days, so
+    its length costs nothing, and quiet minutes need no rows.
+    """
+    sums, key = ["added", "cancelled", "filled", "inferred"], ["instrument", "side", "band"]
+    end = (F.col("minute_ms") + minute_ms).alias("end_ms")
+    lost = bad.select("instrument", (F.col("ts_ms") - F.pmod("ts_ms", F.lit(minute_ms))).alias("minute_ms")).groupBy("instrument", "minute_ms").agg(F.count("*").alias("lost"))
+    kinds = minutes.select("side", "band").distinct()
+    ends = minutes.select("instrument", "minute_ms").unionByName(lost.select("instrument", "minute_ms")).distinct().select("instrument", end)
+    first = minutes.groupBy("instrument").agg(F.min("minute_ms").alias("first_ms"))
+    ends = ends.withColumn("minutes", F.explode(F.array(*[F.lit(w) for w in widths]))).withColumn("from_ms", F.col("end_ms") - F.col("minutes") * minute_ms)
+    ends = ends.join(first, "instrument").withColumn("partial_start", F.col("from_ms") <= F.col("first_ms")).drop("first_ms")
+    ends = _since(ends, lost.select("instrument", end, "lost"), ["instrument"], ["lost"]).withColumn("feed_gap", F.col("lost") > 0).drop("lost")
+    every = ends.join(F.broadcast(kinds))  # two sides and the stated bands
+    flow = minutes.select(*key, end, *sums)
+    out = _since(every, flow, key, sums).where(" OR ".join(f"{c} > 0" for c in sums))
+    return out.select("instrument", "end_ms", "minutes", "side", "band", *sums, "partial_start", "feed_gap")
+
+
+def _since(ends: DataFrame, rows: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
+    """``ends`` with the sums of ``values`` of rows after from_ms, up to end_ms."""
+    running = rows
+    for v in values:
+        running = prefix_sum(running, keys, "end_ms", ["end_ms"], v, f"upto_{v}")
+    for name in ("end", "from"):
+        ends = asof(ends, running, keys, f"{name}_ms", "end_ms", {f"upto_{v}": f"{name}_{v}" for v in values})
+    zero = F.lit(0)
+    took = {v: (F.coalesce(f"end_{v}", zero) - F.coalesce(f"from_{v}", zero)).cast("long") for v in values}
+    return ends.withColumns(took).drop(*[f"{n}_{v}" for n in ("end", "from") for v in values])

@@ -63,12 +63,20 @@ def flow(s, d):
     return Q.liquidity_flow(Q.frames_before(snapshots(s, d), epochs(s, d), states(s, d)), t, states(s, d))
 
 
+def windows(s, d):
+    e = epochs(s, d).join(states(s, d).where("state = 'aligned'").select("instrument", "epoch"), ["instrument", "epoch"], "left_semi")
+    known = e.where("live").select("instrument", "seq")
+    bad = diffs(s, d).join(known, ["instrument", "seq"], "left_anti")
+    return Q.flow_windows(Q.flow_minutes(flow(s, d)), bad)
+
+
 QUERIES = {
     "k1_seeded_levels": lambda s, d: Q.seeded_levels(snapshots(s, d), epochs(s, d), states(s, d)),
     "k2_snapshot_states": lambda s, d: states(s, d).select("instrument", "epoch", "state", "n_live", "end_seq"),
     "k3_trusted_windows": lambda s, d: states(s, d).where("state = 'aligned'").select("instrument", "epoch", "trusted_low", "trusted_high"),
     "k4_best_before": lambda s, d: Q.frames_before(snapshots(s, d), epochs(s, d), states(s, d)).select("instrument", "epoch", "seq", "bid", "ask", "old"),
     "k8_liquidity_flow": flow,
+    "k9_flow_windows": windows,
     "k8_flow_minutes": lambda s, d: Q.flow_minutes(flow(s, d)),
 }
 
@@ -107,5 +115,11 @@ SQL = {
     "k3_trusted_windows": f"{BOOK} SELECT instrument, epoch, trusted_low, trusted_high FROM es WHERE state = 'aligned'",
     "k4_best_before": f"{FRAMES} SELECT instrument, epoch, seq, bid, ask, old FROM fr",
     "k8_liquidity_flow": f"{FLOW} SELECT * FROM fo",
+    "k9_flow_windows": f"""{FLOW}, mi AS (SELECT instrument, ts_ms - ts_ms % 60000 AS m, side, band, sum(added) AS added, sum(cancelled) AS cancelled, sum(filled) AS filled, sum(inferred) AS inferred FROM fo GROUP BY 1, 2, 3, 4),
+      bad AS (SELECT DISTINCT instrument, ts_ms - ts_ms % 60000 AS m FROM df ANTI JOIN fr USING (instrument, seq)), en AS (SELECT DISTINCT instrument, m + 60000 AS e FROM (SELECT instrument, m FROM mi UNION ALL SELECT instrument, m FROM bad)),
+      fi AS (SELECT instrument, min(m) AS f FROM mi GROUP BY 1)
+      SELECT en.instrument, e AS end_ms, w AS minutes, side, band, CAST(sum(added) AS BIGINT) AS added, CAST(sum(cancelled) AS BIGINT) AS cancelled, CAST(sum(filled) AS BIGINT) AS filled, CAST(sum(inferred) AS BIGINT) AS inferred, e - w * 60000 <= f AS partial_start,
+        EXISTS (SELECT 1 FROM bad WHERE bad.instrument = en.instrument AND bad.m < e AND bad.m >= e - w * 60000) AS feed_gap
+      FROM en JOIN fi USING (instrument), (VALUES (5), (15), (60)) v(w), mi WHERE mi.instrument = en.instrument AND mi.m < e AND mi.m >= e - w * 60000 GROUP BY en.instrument, e, w, side, band, f""",
     "k8_flow_minutes": f"{FLOW} SELECT instrument, ts_ms - ts_ms % 60000 AS minute_ms, side, band, CAST(sum(added) AS BIGINT) AS added, CAST(sum(cancelled) AS BIGINT) AS cancelled, CAST(sum(filled) AS BIGINT) AS filled, CAST(sum(inferred) AS BIGINT) AS inferred FROM fo GROUP BY 1, 2, 3, 4",
 }

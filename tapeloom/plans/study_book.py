@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tapeloom.functions.tables import shared_folder
 from tapeloom.functions.timing import ID_WIDTH, lagged
 from tapeloom.operators import book as K
 from tapeloom.operators import stats as Z
 from tapeloom.operators.bars import time_bars
 from tapeloom.plans.tape_sql import TAPE, bars
+from tapeloom.sources import results as R
 from tapeloom.sources.tape import DAY_MS, HOUR_MS, epoch_ms, raw_tape, trades
 
 H, UNIT = HOUR_MS, 10_000_000_000
@@ -61,7 +65,22 @@ def strata(s, d):
     return Z.tilt(t.where("qty > 60"), t.where("qty <= 60"), ["instrument", "hour"])
 
 
+def experiments(s, d, engine: str):
+    """One result per customer segment: counts and sums of its deals."""
+    r = deals(s, d).groupBy(F.col("c_mktsegment").alias("spec")).agg(F.count("*").alias("n"), F.sum("net").alias("total"), F.count_if(F.col("net") > 0).alias("wins"))
+    return r.withColumns({"pipeline": F.lit("deals@1"), "engine": F.lit(engine)})
+
+
+def rerun(s, d):
+    """Results recorded once, then again with two segments changed and a new engine's beside them: what the second run is told."""
+    store, values = f"{shared_folder(s)}/results-{uuid.uuid4().hex}", ["n", "total", "wins"]
+    R.record(experiments(s, d, "a"), store, values)
+    changed = experiments(s, d, "a").withColumn("total", F.when(F.col("spec") < "C", F.col("total") + 1).otherwise(F.col("total")))
+    return R.record(changed.unionByName(experiments(s, d, "b")), store, values)
+
+
 QUERIES = {
+    "w14_recorded_results": rerun,
     "k1_book_levels": life,
     "k4_best_prices": lambda s, d: K.best(books(s, d)),
     "k5_depth_walk": lambda s, d: K.depth_walk(books(s, d), 150),
@@ -89,6 +108,9 @@ DY = f"WITH {TAPE}, dy AS (SELECT row_number() OVER (ORDER BY day_ms) - 1 AS day
 DEALS = "WITH dl AS (SELECT c_mktsegment, o_orderkey, epoch_us(o_orderdate) // 1000 AS ts_ms, CAST(round(o_totalprice * 100) AS BIGINT) % 20001 - 10000 AS net FROM orders JOIN customer ON o_custkey = c_custkey)"
 
 SQL = {
+    "w14_recorded_results": f"""{DEALS}, r AS (SELECT c_mktsegment AS spec, count(*) AS n, sum(net) AS total, count(*) FILTER (WHERE net > 0) AS wins FROM dl GROUP BY 1), x AS (SELECT *, spec < 'C' AS other FROM r),
+      h AS (SELECT spec, engine, other AND engine = 'a' AS other, list_transform([[n, total, wins], [n, total + 1, wins]], lambda v: sha256(array_to_string(list_transform(v, lambda y: length(y::VARCHAR) || ':' || y::VARCHAR), ''))) AS s FROM x, (VALUES ('a'), ('b')) e(engine))
+      SELECT spec, 'deals@1' AS pipeline, engine, CASE WHEN other THEN s[2] ELSE s[1] END AS content, CASE WHEN engine = 'a' THEN s[1] END AS stored, CASE WHEN engine = 'b' THEN 'recorded' WHEN other THEN 'diverged' ELSE 'reproduced' END AS verdict FROM h""",
     "k1_book_levels": f"{UP} SELECT * FROM lf WHERE qty > 0",
     "k4_best_prices": f"{UP} SELECT * FROM bs",
     "k5_depth_walk": f"""{UP}, w AS (SELECT *, sum(qty) OVER (PARTITION BY instrument, at_seq, side ORDER BY CASE WHEN side = 'ask' THEN price ELSE -price END ROWS UNBOUNDED PRECEDING) - qty AS b FROM bk), t AS (SELECT *, greatest(0, least(150 - b, qty)) AS take FROM w)
