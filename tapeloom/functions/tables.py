@@ -22,15 +22,22 @@ def shared_folder(spark: SparkSession) -> str:
     return _written.setdefault(("folder",), tempfile.mkdtemp(prefix="tapeloom-"))
 
 
+def content_of(spark: SparkSession, folder: str) -> tuple:
+    """Names, sizes and times of what lies in a folder; another tuple when a table there was written again."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    listed = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    return tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in listed))
+
+
 def kept(build: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
     """build(spark, sf_dir, ...) -> the same rows, read from a table that the session's first call writes.
 
-    The input folder is taken to stay as it is during a session. A lost executor loses nothing: the table is outside.
+    The table is written anew when the input folder has changed since. A lost executor loses nothing: the table is outside.
     """
 
     @wraps(build)
     def read(spark: SparkSession, sf_dir: str, *more) -> DataFrame:
-        key = (spark.sparkContext.applicationId, sf_dir, build.__module__, build.__qualname__, *more)
+        key = (spark.sparkContext.applicationId, sf_dir, content_of(spark, sf_dir), build.__module__, build.__qualname__, *more)
         if key not in _written:
             path = f"{shared_folder(spark)}/table-{build.__name__}-{uuid.uuid4().hex}"
             build(spark, sf_dir, *more).write.parquet(path)

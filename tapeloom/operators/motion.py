@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tapeloom.functions.shipping import ship
+
 ATR_PERIOD, RANK_WINDOW = 14, 200
 
 
@@ -40,25 +45,43 @@ def half_even(num: Column, den: int) -> Column:
     return q + F.when(up, 1).otherwise(0)
 
 
+def rounded_quotient(num: int, den: int) -> int:
+    """Quotient of whole numbers (num >= 0), rounded half to even."""
+    q, rest = divmod(num, den)
+    return q + (2 * rest > den or (2 * rest == den and q % 2 == 1))
+
+
+def _wilder(period: int):
+    def task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, seen, value = None, 0, 0
+        for frame in frames:
+            found = []
+            for instrument, segment, true_range in zip(frame["instrument"].tolist(), frame["segment"].tolist(), frame["true_range"].tolist(), strict=True):
+                if key != (instrument, segment):
+                    key, seen, value = (instrument, segment), 0, 0
+                seen += 1
+                if seen <= period:
+                    value += true_range  # the sum of the first ranges until there are enough
+                    value = rounded_quotient(value, period) if seen == period else value
+                else:
+                    value = rounded_quotient(value * (period - 1) + true_range, period)
+                found.append((seen, value if seen >= period else None))
+            yield frame.assign(observed=[n for n, _ in found], atr=pd.array([v for _, v in found], "Int64"))
+
+    return task
+
+
 def atr(moved: DataFrame, period: int = ATR_PERIOD) -> DataFrame:
     """V4, V7: Wilder's average true range, each step rounded half to even; null with observed < required while warming up.
 
-    The rounding makes it recursive, so the true ranges of one segment are folded by aggregate() over an ordered array:
-    8 760 one-hour bars a year for each instrument.
+    The rounding makes it recursive. Segments pass through their task as a stream, sorted by time, and one value is carried from bar to bar,
+    so time grows in proportion to the bars, and memory doesn't grow with a segment.
     """
+    ship(moved.sparkSession)
     tr = moved.where("prev_close IS NOT NULL").select("instrument", "segment", "bar_ms", "true_range")
-    rows = tr.groupBy("instrument", "segment").agg(F.array_sort(F.collect_list(F.struct("bar_ms", "true_range"))).alias("rows"))
-    first = F.aggregate(F.slice("rows", 1, period), F.lit(0).cast("long"), lambda a, x: a + x["true_range"])
-    start = F.array(F.struct(F.element_at("rows", period)["bar_ms"].alias("bar_ms"), half_even(first, period).alias("atr")))
-
-    def step(acc, x):
-        return F.concat(acc, F.array(F.struct(x["bar_ms"].alias("bar_ms"), half_even(F.element_at(acc, -1)["atr"] * (period - 1) + x["true_range"], period).alias("atr"))))
-
-    long = rows.where(F.size("rows") >= period)
-    rest = F.slice("rows", F.lit(period + 1), F.greatest(F.size("rows") - period, F.lit(0)))
-    done = long.select("instrument", "segment", F.inline(F.aggregate(rest, start, step)))
-    seen = F.row_number().over(W.partitionBy("instrument", "segment").orderBy("bar_ms"))
-    out = tr.withColumn("observed", seen).join(done, ["instrument", "segment", "bar_ms"], "left")
+    dealt = tr.repartition("instrument", "segment").sortWithinPartitions("instrument", "segment", "bar_ms")
+    types = {f.name: f.dataType.simpleString() for f in tr.schema}
+    out = dealt.mapInPandas(_wilder(period), ", ".join(f"{c} {t}" for c, t in types.items()) + ", observed int, atr long")
     return out.withColumn("required", F.lit(period))
 
 

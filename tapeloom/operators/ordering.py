@@ -118,12 +118,14 @@ def known_until(trades: DataFrame, gaps: DataFrame) -> DataFrame:
 
 
 def fingerprint(trades: DataFrame) -> DataFrame:
-    """EV14: rows and a digest per instrument, from the digests of its days in order; equal loads have equal digests."""
+    """EV14: rows and a digest per instrument, from the digests of its days in order, these from the digests of their minutes; equal loads
+    have equal digests. A group holds the rows of a minute, the minutes of a day, or the days of an instrument."""
     row = F.concat_ws("|", "ts_ms", "trade_id", "price", "qty", "aggressor")
-    day = trades.select("instrument", bucket(F.col("ts_ms"), DAY_MS).alias("day_ms"), F.struct("ts_ms", "trade_id", F.sha2(row, 256).alias("h")).alias("r"))
-    day = day.groupBy("instrument", "day_ms").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list("r")), lambda r: r["h"]), ""), 256).alias("h"), F.count("*").alias("n"))
-    rows = F.array_sort(F.collect_list(F.struct("day_ms", "h")))
-    return day.groupBy("instrument").agg(F.sum("n").alias("n"), F.sha2(F.array_join(F.transform(rows, lambda r: r["h"]), ""), 256).alias("digest"))
+    rows = trades.select("instrument", bucket(F.col("ts_ms"), DAY_MS).alias("day_ms"), bucket(F.col("ts_ms"), 60_000).alias("minute_ms"), "ts_ms", "trade_id", F.sha2(row, 256).alias("h"), F.lit(1).alias("n"))
+    for keys, order in ((["instrument", "day_ms", "minute_ms"], ["ts_ms", "trade_id"]), (["instrument", "day_ms"], ["minute_ms"]), (["instrument"], ["day_ms"])):
+        joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, "h"))), lambda r: r["h"]), "")
+        rows = rows.groupBy(*keys).agg(F.sha2(joined, 256).alias("h"), F.sum("n").alias("n"))
+    return rows.select("instrument", "n", F.col("h").alias("digest"))
 
 
 def first_difference(a: DataFrame, b: DataFrame, keys: list[str], values: list[str]) -> DataFrame:

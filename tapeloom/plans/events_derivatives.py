@@ -140,7 +140,8 @@ SQL = {
     "ev11_restart_segments": f"{T}, j AS (SELECT *, CASE WHEN ts_ms - lag(ts_ms) OVER w > {2 * H} THEN 1 ELSE 0 END AS j FROM trades WINDOW w AS (PARTITION BY instrument ORDER BY ts_ms, trade_id)), c AS (SELECT *, CAST(sum(j) OVER (PARTITION BY instrument ORDER BY ts_ms, trade_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS chain FROM j) SELECT instrument, chain, count(*) AS n, min(ts_ms) AS first_ms FROM c GROUP BY 1, 2",
     "ev12_stitched": f"{T} SELECT instrument, aggressor, count(*) AS n, min(ts_ms) AS a, max(ts_ms) AS b FROM trades WHERE (aggressor = 'buy') = (ts_ms < 1705000000000) GROUP BY 1, 2",
     "ev13_known_until": f"{T} SELECT instrument, max(ts_ms) AS known_until, coalesce((SELECT max(end_ms) FROM gaps g WHERE g.instrument = t.instrument) > max(ts_ms), false) AS trailing_gap FROM trades t GROUP BY 1",
-    "ev14_fingerprint": f"""{T}, d AS (SELECT instrument, ts_ms - ts_ms % {DAY_MS} AS day_ms, count(*) AS n, sha256(string_agg(sha256(concat_ws('|', ts_ms, trade_id, price, qty, aggressor)), '' ORDER BY ts_ms, trade_id)) AS h FROM trades GROUP BY 1, 2)
+    "ev14_fingerprint": f"""{T}, mi AS (SELECT instrument, ts_ms - ts_ms % 60000 AS minute_ms, count(*) AS n, sha256(string_agg(sha256(concat_ws('|', ts_ms, trade_id, price, qty, aggressor)), '' ORDER BY ts_ms, trade_id)) AS h FROM trades GROUP BY 1, 2),
+      d AS (SELECT instrument, minute_ms - minute_ms % {DAY_MS} AS day_ms, sum(n) AS n, sha256(string_agg(h, '' ORDER BY minute_ms)) AS h FROM mi GROUP BY 1, 2)
       SELECT instrument, CAST(sum(n) AS BIGINT) AS n, sha256(string_agg(h, '' ORDER BY day_ms)) AS digest FROM d GROUP BY 1""",
     "ev15_first_difference": f"""{T}, x AS (SELECT instrument, trade_id, ts_ms, CASE WHEN aggressor = 'buy' THEN qty ELSE -qty END AS q FROM trades),
       a AS (SELECT instrument, row_number() OVER w AS position, sum(q) OVER w AS cvd FROM x WINDOW w AS (PARTITION BY instrument ORDER BY ts_ms, trade_id ROWS UNBOUNDED PRECEDING)),
