@@ -62,7 +62,7 @@ def neither_errors(s, d):
     for h in ("4h", "12h", "1d"):
         t = o.where(F.col("horizon") == h).groupBy(bucket(F.col("decision_ms"), DAY_MS).alias("day_ms")).agg(F.count_if(F.col("race") == "neither").alias("s"), F.count("*").alias("n"))
         t = t.withColumn("day_no", F.row_number().over(W.orderBy("day_ms")) - 1)
-        error = R.block_bootstrap(t, R.BLOCKS[0], R.DRAWS, SEED).agg(F.stddev_samp("mean").alias("error"))
+        error = R.block_bootstrap(t, R.BLOCKS[0], R.DRAWS, SEED).agg(F.round(F.stddev_samp("mean"), 9).alias("error"))
         found.append(t.agg((F.sum("s") / F.sum("n")).alias("neither"), F.sum("n").alias("n")).join(error).withColumn("horizon", F.lit(h)))  # one row each
     return reduce(lambda a, b: a.unionByName(b), found)
 
@@ -105,7 +105,7 @@ def _neither() -> str:
     for i, h in enumerate(("4h", "12h", "1d")):
         rows = DAYS.format(day=DAY_MS, s="count(*) FILTER (WHERE race = 'neither')", of=f"(SELECT * FROM rc WHERE horizon = '{h}' AND race IN ('upper', 'lower', 'neither'))")
         parts.append(f"ne{i} AS (SELECT row_number() OVER (ORDER BY day_ms) - 1 AS day_no, s, n FROM ({rows})), {boot(f'ne{i}', f'nb{i}', R.BLOCKS[:1])}")
-        unions.append(f"SELECT (SELECT sum(s)::DOUBLE / sum(n) FROM ne{i}) AS neither, (SELECT CAST(sum(n) AS BIGINT) FROM ne{i}) AS n, stddev_samp(mean) AS error, '{h}' AS horizon FROM nb{i}")
+        unions.append(f"SELECT (SELECT sum(s)::DOUBLE / sum(n) FROM ne{i}) AS neither, (SELECT CAST(sum(n) AS BIGINT) FROM ne{i}) AS n, round(stddev_samp(mean), 9) AS error, '{h}' AS horizon FROM nb{i}")
     return f"{YR}, {', '.join(parts)} {' UNION ALL '.join(unions)}"
 
 
