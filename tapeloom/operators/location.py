@@ -113,11 +113,6 @@ def zone_alerts(visits: DataFrame, kinds: list[str], since_ms: int) -> DataFrame
     return v.withColumn("entered_ms", entry).where(F.col("entered_ms") >= since_ms)
 
 
-def confirmations(transitions: DataFrame) -> DataFrame:
-    """The three auction facts that are told as they are confirmed."""
-    return transitions.where(F.col("fact").isin("failed_auction", "breakout_acceptance", "failed_reclaim")).select("instrument", "bar_ms", F.col("fact").alias("trigger"))
-
-
 def effort(windows: DataFrame, past: int, high_q: float = 0.8, low_q: float = 0.5, high_move: bool = False) -> DataFrame:
     """C4: effort (volume) and result (displacement) against nearest-rank quantiles of the previous ``past`` evaluations."""
     w = W.partitionBy("instrument").orderBy("bar_ms")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tapeloom.operators import book as K
 from tapeloom.operators import location as L
 from tapeloom.plans import location_triggers as T
-from tapeloom.plans.location_triggers import AN, AU, LV, PAD
+from tapeloom.plans.location_triggers import AN, LV, PAD
 from tapeloom.plans.tape_sql import TAPE
 from tapeloom.sources.tape import DAY_MS, raw_tape
 
@@ -32,7 +32,6 @@ QUERIES = {
     "c3_oi_divergence": lambda s, d: L.open_interest_divergences(T.anchored(s, d), samples(s, d)),
     "l6_anchor_context": lambda s, d: L.context(T.anchored(s, d), T.levels(s, d), PAD),
     "g1_zone_alerts": lambda s, d: L.zone_alerts(L.visits(T.zones(s, d)), PRIOR, SINCE),
-    "g3_confirmations": lambda s, d: L.confirmations(L.transitions(T.states(s, d))),
     "k2_snapshot_alignment": aligned,
 }
 
@@ -47,7 +46,6 @@ SQL = {
     "g1_zone_alerts": f"""{LV}, v AS (SELECT *, coalesce(lag(in_zone) OVER w, false) AS was FROM zn WHERE kind LIKE 'prior%' WINDOW w AS (PARTITION BY instrument, kind, valid_from, low, high ORDER BY bar_ms)),
       c AS (SELECT instrument, kind, low, high, valid_from, bar_ms, CASE WHEN in_zone THEN 'enter' ELSE 'leave' END AS event, CAST(count(*) FILTER (WHERE in_zone) OVER (PARTITION BY instrument, kind, valid_from, low, high ORDER BY bar_ms ROWS UNBOUNDED PRECEDING) AS BIGINT) AS touches FROM v WHERE was <> in_zone)
       SELECT c.*, e.bar_ms AS entered_ms FROM c JOIN c e USING (instrument, kind, low, high, valid_from, touches) WHERE e.event = 'enter' AND e.bar_ms >= {SINCE}""",
-    "g3_confirmations": f"{AU} SELECT instrument, bar_ms, fact AS trigger FROM tr WHERE fact <> 'probe'",
     "k2_snapshot_alignment": f"""WITH {TAPE}, df AS (SELECT instrument, trade_id * 4 AS first_id, trade_id * 4 + 2 AS last_id FROM ev WHERE event_type <> 'error'),
       sn AS (SELECT instrument, CASE WHEN qty % 2 = 0 THEN trade_id * 4 + 1 ELSE trade_id * 4 + 5 END AS snapshot_id FROM ev WHERE event_type = 'error')
       SELECT sn.instrument, snapshot_id, first_id, last_id, CASE WHEN last_id IS NULL THEN 'waiting' WHEN first_id > snapshot_id THEN 'too_old' ELSE 'aligned' END AS state FROM sn ASOF LEFT JOIN df ON sn.instrument = df.instrument AND snapshot_id <= last_id""",

@@ -56,10 +56,6 @@ def efforts(s, d):
     return L.effort(flow4(s, d), PAST)
 
 
-def states(s, d):
-    return L.acceptance(covered(s, d), ranges(s, d), CLOSES)
-
-
 def table(s, d):
     b = covered(s, d)
     swept = S.sweeps(b, swings(s, d))
@@ -75,14 +71,11 @@ QUERIES = {
     "l3_visits": lambda s, d: L.visits(zones(s, d)),
     "l4_nearest_levels": lambda s, d: L.nearest(covered(s, d), levels(s, d), 3),
     "l5_confluence": lambda s, d: L.confluence(levels(s, d), WIDTH),
-    "l7_auction_state": states,
-    "l8_auction_transitions": lambda s, d: L.transitions(states(s, d)),
     "c1_swing_anchors": anchored,
     "c2_cvd_divergence": lambda s, d: L.divergences(anchored(s, d)),
     "c4_effort_result": efforts,
     "c5_rising_edges": lambda s, d: L.rising_edges(efforts(s, d)),
     "c6_exhaustion": lambda s, d: L.exhaustion(efforts(s, d), flow4(s, d), covered(s, d), H, 12, 2000),
-    "t1_auction_triggers": lambda s, d: L.transitions(states(s, d)).where("fact <> 'probe'").groupBy("instrument", "fact").agg(F.count("*").alias("n")),
     "t6_bias_steps": lambda s, d: L.bias(swings(s, d)),
     "t7_trigger_table": table,
 }
@@ -110,9 +103,6 @@ tr AS (SELECT instrument, bar_ms, was, state, CASE WHEN was = 'probe' AND state
   FROM (SELECT *, lag(state) OVER (PARTITION BY instrument, day_ms ORDER BY bar_ms) AS was FROM sa) WHERE was <> state)"""
 
 SQL = {
-    "l7_auction_state": f"{AU} SELECT * FROM sa",
-    "l8_auction_transitions": f"{AU} SELECT * FROM tr",
-    "t1_auction_triggers": f"{AU} SELECT instrument, fact, count(*) AS n FROM tr WHERE fact <> 'probe' GROUP BY 1, 2",
     "l1_level_registry": f"{LV} SELECT * FROM lv",
     "l2_in_zone": f"{LV} SELECT instrument, kind, count(*) AS n, count(*) FILTER (WHERE in_zone) AS n_in FROM zn GROUP BY 1, 2",
     "l3_visits": f"""{LV}, v AS (SELECT *, coalesce(lag(in_zone) OVER (PARTITION BY instrument, kind, valid_from, low, high ORDER BY bar_ms), false) AS was FROM zn)

@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("bars_flow", "profile_structure", "outcome_queries", "events_derivatives", "location_triggers", "study_book", "study_relations", "study_statistics", "trade_queries", "trigger_records", "stream_queries", "source_queries", "archive_queries", "anchor_queries", "state_queries", "resampling_queries", "liquidity_queries")
+MODULES = ("bars_flow", "profile_structure", "outcome_queries", "events_derivatives", "location_triggers", "study_book", "study_relations", "study_statistics", "trade_queries", "trigger_records", "stream_queries", "source_queries", "archive_queries", "anchor_queries", "state_queries", "resampling_queries", "liquidity_queries", "auction_queries")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
