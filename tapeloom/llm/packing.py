@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import unicodedata
+from collections import deque
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 
@@ -100,37 +101,50 @@ def difference(sizes: list[int], windows: int) -> list[list[int]]:
     return heap[0][3] if heap else [[] for _ in range(windows)]
 
 
+def bundled(sizes: list[int], least: int) -> list[list[int]]:
+    """Items in runs: those of ``least`` tokens or more alone, smaller ones with the small ones next to them until they have as many."""
+    out, run, held = [], [], 0
+    for i, size in enumerate(sizes):
+        if size >= least:
+            out.append([i])
+            continue
+        run.append(i)
+        held += size
+        if held >= least:
+            out.append(run)
+            run, held = [], 0
+    return [*out, run] if run else out
+
+
 def windows_of(sizes: list[int], window: int = WINDOW) -> list[list[tuple[int, int, int]]]:
-    """(item, start, length) of the pieces in each window.
+    """(item, start, length) of the pieces in each window; items have ``window`` tokens at most.
 
-    Differencing gives windows with nearly equal sums of whole items. The number of windows rises while their capacity is
-    exceeded by all items together. Where one window has more than its capacity, the item at its edge is cut, and what
-    is over fills the windows that have room.
+    Differencing deals whole items to windows with nearly equal sums, and is repeated with one window more while any window has
+    more than its capacity. Only then is anything cut: the emptiest windows, those beyond the number that all items need, give
+    their items to fill up the others. Tiny items are dealt in runs of window / 128 tokens, so that their number is bounded.
     """
-    total = sum(sizes)
-    n = max(1, total // window)
-    while total > n * window:
+    if max(sizes, default=0) > window:
+        raise ValueError("an item is larger than a window")
+    runs = bundled(sizes, window // 128)
+    weights = [sum(sizes[i] for i in run) for run in runs]
+    load = lambda part: sum(weights[k] for k in part)
+    need = n = max(1, -(-sum(sizes) // window))
+    parts = difference(weights, n)
+    while max(map(load, parts)) > window:
         n += 1
-    windows, over = [], []
-    for part in difference(sizes, n):
-        held, room = [], window
-        for i in part:
-            fits = min(sizes[i], room)
-            if fits:
-                held.append((i, 0, fits))
-            if fits < sizes[i]:
-                over.append((i, fits, sizes[i] - fits))
-            room -= fits
-        windows.append((held, room))
-    for held, room in windows:
-        while room and over:
-            i, start, length = over.pop()
+        parts = difference(weights, n)
+    windows = [[(i, 0, sizes[i]) for k in part for i in runs[k]] for part in sorted(parts, key=load, reverse=True)]
+    spare = deque(piece for held in windows[need:] for piece in held)
+    for held in windows[:need]:
+        room = window - sum(length for _, _, length in held)
+        while room and spare:
+            i, start, length = spare.popleft()
             fits = min(length, room)
             held.append((i, start, fits))
             room -= fits
             if fits < length:
-                over.append((i, start + fits, length - fits))
-    return [held for held, _ in windows if held]
+                spare.appendleft((i, start + fits, length - fits))
+    return [held for held in windows[:need] if held]
 
 
 class _Packer:
@@ -141,7 +155,7 @@ class _Packer:
 
     def __init__(self, window: int, first: int) -> None:
         self.window, self.sequence = window, first
-        self.held: list[tuple] = []
+        self.held: deque[tuple] = deque()
         self.total = 0
 
     def place(self, pieces: list[tuple]) -> Iterator[tuple]:
@@ -168,10 +182,10 @@ class _Packer:
         """Packs held pieces of exactly ``goal`` tokens; the piece at the edge is cut."""
         group, size = [], 0
         while size < goal:
-            doc_id, start, ids, tokens = self.held.pop(0)
+            doc_id, start, ids, tokens = self.held.popleft()
             room = 4 * (goal - size)
             if len(ids) > room:
-                self.held.insert(0, (doc_id, start + room // 4, ids[room:], tokens))
+                self.held.appendleft((doc_id, start + room // 4, ids[room:], tokens))
                 ids = ids[:room]
             group.append((doc_id, start, ids, tokens))
             size += len(ids) // 4
@@ -189,10 +203,10 @@ class _Packer:
             goal = 1 << (min(self.total, self.window).bit_length() - 1)
             pieces, size = [], 0
             while size < goal:
-                doc_id, start, ids, tokens = self.held.pop(0)
+                doc_id, start, ids, tokens = self.held.popleft()
                 room = 4 * (goal - size)
                 if len(ids) > room:
-                    self.held.insert(0, (doc_id, start + room // 4, ids[room:], tokens))
+                    self.held.appendleft((doc_id, start + room // 4, ids[room:], tokens))
                     ids = ids[:room]
                 pieces.append((doc_id, start, ids, tokens))
                 size += len(ids) // 4
@@ -215,8 +229,9 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW) -> DataFrame:
 
     Returns doc_id, start, length, ids (little-endian unsigned 32-bit numbers), doc_tokens, sequence_id, offset. A
     document is its ids and then id 1; null texts have that one id. Full windows of a document are sequences by
-    themselves. What is left of documents stays whole and is dealt by multiway differencing to groups of near-equal windows;
-    only a piece that a window has no room for is cut. Sequences that aren't full are to be padded to ``window``, except
+    themselves. What is left of documents is dealt whole by multiway differencing to groups of near-equal windows, as many as
+    are needed for none to have too much; then the emptiest of them are cut up to fill the others, and a group's last piece
+    goes on in the next one. So texts of any length are packed, in pieces of ``window`` tokens at most. Sequences that aren't full are to be padded to ``window``, except
     those at a power of two.
 
     Every row is packed, repeated rows too; an empty table gives no pieces. Other columns are ignored. Each input

@@ -92,6 +92,32 @@ def test_windows_hold_everything_and_stay_below_capacity(sizes):
     assert len(windows) == -(-sum(sizes) // 300)
 
 
+def test_window_count_rises_until_whole_items_fit():
+    """The first number of windows whose differencing fits is taken; only items of the emptiest windows, beyond 32, are cut."""
+    rng = random.Random(5)
+    for _ in range(20):
+        sizes = []
+        while sum(sizes) < 32 * 2048:
+            sizes.append(min(rng.randint(50, 1500), 32 * 2048 - sum(sizes)))
+        sums = lambda parts: [sum(sizes[i] for i in p) for p in parts]
+        n = next(n for n in range(32, 64) if max(sums(packing.difference(sizes, n))) <= 2048)
+        parts = packing.difference(sizes, n)
+        spare = {i for p in sorted(parts, key=lambda p: sum(sizes[i] for i in p), reverse=True)[32:] for i in p}
+        windows = packing.windows_of(sizes)
+        assert [sum(length for _, _, length in w) for w in windows] == [2048] * 32
+        placed = [i for w in windows for i, _, _ in w]
+        assert n > 32 and {i for i in placed if placed.count(i) > 1} <= spare
+
+
+def test_many_tiny_items_are_dealt_in_runs():
+    runs = packing.bundled([1] * 50 + [99] + [3] * 10, 16)
+    assert sorted(i for r in runs for i in r) == list(range(61)) and len(runs) == 6
+    windows = packing.windows_of([1] * 65_536)
+    assert len(windows) == 32 and all(len(w) == 2048 for w in windows)
+    with pytest.raises(ValueError):
+        packing.windows_of([2049])
+
+
 def test_packing_is_whole(spark, make):
     from tokenizers import Tokenizer
 
