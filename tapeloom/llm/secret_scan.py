@@ -17,35 +17,59 @@ PREFIXED = r"(?:gh[pousr]_|xox[abprs]-|sk_live_|glpat-|AIza)[A-Za-z0-9_-]+"
 KINDS = ("assign", "access", "hex", "bearer", "prefixed", "live")
 BASE_KINDS = KINDS[:3]
 
+#: Lengths that are summed up in one array.
+BLOCK = 256
+
 SPAN = "array<struct<kind:int,start:int,end:int,value:string>>"
 
 
+def _let(value: Column, use) -> Column:
+    """use(value), with the value worked out once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _before(lengths: Column) -> Column:
+    """Sums of all lengths before each one. Arrays only grow within blocks of BLOCK, so the work is linear but for one number a block."""
+
+    def running(values: Column, first: Column) -> Column:
+        start = F.struct(first.alias("at"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(values, start, lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")))["out"]
+
+    def placed(blocks: Column) -> Column:
+        sums = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda acc, x: acc + x))
+        firsts = running(sums, F.lit(0))
+        return F.flatten(F.transform(F.arrays_zip(blocks.alias("b"), firsts.alias("first")), lambda z: running(z["b"], z["first"])))
+
+    number = F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / BLOCK).cast("int"))
+    blocks = F.transform(number, lambda k: F.slice(lengths, k * BLOCK + 1, F.lit(BLOCK)))
+    return F.when(F.size(lengths) > 0, _let(blocks, placed)).otherwise(F.array().cast("array<int>"))
+
+
 def _spans(text: Column, kind: int, pattern: str, least: int, group: int = 0) -> Column:
     """Leftmost matches that don't overlap, as places in code points; only those whose group is long enough.
 
     The text between the matches comes from split(), the matches from regexp_extract_all(): both walk the text alike,
-    so running sums of the lengths give the places.
+    so running sums of the lengths give the places. A text may have any number of matches.
     """
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     value = whole if group == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    gaps = F.split(text, pattern, -1)
-    steps = F.arrays_zip(
-        F.transform(F.slice(gaps, F.lit(1), F.size(whole)), lambda g: F.length(g)).alias("gap"),
-        whole.alias("whole"),
-        value.alias("value"),
-    )
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("found"))
+    gap = F.transform(F.split(text, pattern, -1), lambda g: F.length(g))
+    length = F.transform(whole, lambda w: F.length(w))
+    # split() has one part more than there are matches
+    steps = F.filter(F.arrays_zip(gap.alias("gap"), length.alias("length"), value.alias("value")), lambda s: s["length"].isNotNull())
+
+    def found(steps: Column) -> Column:
+        def spans(before: Column) -> Column:
+            def one(z: Column) -> Column:
+                begin = z["before"] + z["s"]["gap"]
+                return F.struct(F.lit(kind).alias("kind"), begin.alias("start"), (begin + z["s"]["length"]).alias("end"), z["s"]["value"].alias("value"))
+
+            each = F.arrays_zip(before.alias("before"), steps.alias("s"))
+            return F.transform(F.filter(each, lambda z: F.length(z["s"]["value"]) >= least), one)
 
-    def step(acc, s):
-        begin = acc["at"] + s["gap"]
-        end = begin + F.length(s["whole"])
-        one = F.array(F.struct(F.lit(kind).alias("kind"), begin.alias("start"), end.alias("end"), s["value"].alias("value")))
-        return F.struct(
-            end.alias("at"),
-            F.when(F.length(s["value"]) >= least, F.concat(acc["found"], one.cast(SPAN))).otherwise(acc["found"]).alias("found"),
-        )
+        return _let(_let(F.transform(steps, lambda s: s["gap"] + s["length"]), _before), spans)
 
-    return F.aggregate(steps, start, step)["found"]
+    return _let(steps, found).cast(SPAN)
 
 
 def candidates(text: Column) -> Column:
@@ -113,7 +137,9 @@ def find_secrets(docs: DataFrame, repository: str = "source", owner: str = "lang
 
     extra = F.transform(F.filter("told", lambda s: s["live"]), lambda s: flat(s, F.lit(KINDS.index("live"))))
     every = F.transform("told", lambda s: flat(s, s["kind"]))
-    spans = F.array_sort(F.array_distinct(F.concat(every.cast(kind), extra.cast(kind))))
+    # equal spans are neighbours once sorted; array_distinct() would compare each with all
+    once = lambda a: F.filter(a, lambda x, i: (i == 0) | ~x.eqNullSafe(F.get(a, i - 1)))
+    spans = _let(F.array_sort(F.concat(every.cast(kind), extra.cast(kind))), once)
     return rows.select("doc_id", "row").join(told, "row", "left").select(
         "doc_id", F.coalesce(spans, F.array().cast(kind)).alias("spans")
     )

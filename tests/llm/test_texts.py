@@ -132,6 +132,14 @@ def test_secrets(spark, make):
     assert secret_scan.digest(secret_scan.find_secrets(make([]))).count() == 0
 
 
+@pytest.mark.parametrize("n", [255, 256, 257, 20_000])
+def test_secrets_in_very_long_texts(make, n):
+    """Places in texts of many matches, short ones among them, are those of the whole text; 20 000 of them take linear time."""
+    text = " ".join(f"é {k:016x} ab token=short{k:012d}" for k in range(n))
+    out = secret_scan.digest(secret_scan.find_secrets(make([text]))).first()
+    assert (out.n_assign, out.n_access, out.n_hex, out.base_sha256) == brute_secrets(text)
+
+
 def test_secrets_tell_copied_examples_from_live_ones(make):
     texts = ["token=EXAMPLEEXAMPLE1", "token=EXAMPLEEXAMPLE1", "token=onlyhereonlyhere"]
     out = {r.doc_id: r.spans for r in secret_scan.find_secrets(make(texts, source=["a", "b", "c"])).collect()}
