@@ -77,13 +77,14 @@ def only(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 
-def join_counted(left: DataFrame, right: DataFrame, keys: list[str], weight: str = "n", parts: int = 1000) -> DataFrame:
+def join_counted(left: DataFrame, right: DataFrame, keys: list[str], weight: str = "n", parts: int = 1000, written: bool = False) -> DataFrame:
     """Inner join of ``left`` with one row per key, whose ``weight`` is the number of rows that ``left`` has of it.
 
     Keys with at least 1 / ``parts`` of all counted rows, so ``parts`` keys at most, are broadcast: their rows needn't meet in
-    one task. All other keys are joined by a shuffle, in which none has more than that share.
+    one task. All other keys are joined by a shuffle, in which none has more than that share. A ``right`` that is a written
+    table already isn't written again.
     """
-    right = cut(right)
+    right = right if written else cut(right)
     total = right.agg(F.sum(weight)).first()[0] or 0
     heavy = (F.col(weight) * parts >= total) & (F.col(weight) >= parts)
     if not right.where(heavy).limit(1).count():

@@ -346,23 +346,29 @@ def components(edges: DataFrame) -> DataFrame:
     """(name, comp) of the names that have edges; comp is the smallest name that can be reached.
 
     Labels move along edges and then jump to their label's label, until none changes. Every step is an aggregate
-    with a map-side combine and equi-joins, so a name with very many edges is no bottleneck.
+    with a map-side combine and two joins by counted keys: a name with very many edges (a star's centre) and a label that
+    very many names have are broadcast with their one row, so neither meets all its rows in one task.
     """
     spark = edges.sparkSession
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     both, edge_path = stored(both, "edges")
-    labels, path = stored(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("name"), F.least("a", "m").alias("comp")), "labels")
+    first = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+    labels, path = stored(first.select(F.col("a").alias("name"), F.least("a", "m").alias("comp"), "n"), "labels")
     while True:
-        near = both.join(labels, F.col("b") == F.col("name")).groupBy("a").agg(F.min("comp").alias("near"))
-        moved = labels.join(near, F.col("name") == F.col("a")).select("name", F.col("comp").alias("old"), F.least("comp", "near").alias("mid"))
-        jump = labels.select(F.col("name").alias("mid"), F.col("comp").alias("far"))
-        moved, new_path = stored(moved.join(jump, "mid").select("name", "old", F.least("mid", "far").alias("comp")), "labels")
-        changed = moved.where("old != comp").limit(1).count()
-        remove(spark, path)
-        labels, path = moved.select("name", "comp"), new_path
+        near = join_counted(both.withColumnRenamed("b", "name"), labels, ["name"], written=True).groupBy("a").agg(F.min("comp").alias("near"))
+        moved = labels.join(near, F.col("name") == F.col("a")).select("name", "n", F.col("comp").alias("old"), F.least("comp", "near").alias("mid"))
+        moved, moved_path = stored(moved, "moved")
+        held = moved.groupBy("mid").agg(F.count("*").alias("held"))
+        jump, jump_path = stored(held.join(labels.select(F.col("name").alias("mid"), F.col("comp").alias("far")), "mid"), "jump")
+        told = join_counted(moved, jump, ["mid"], "held", written=True)
+        told, new_path = stored(told.select("name", "old", F.least("mid", "far").alias("comp"), "n"), "labels")
+        changed = told.where("old != comp").limit(1).count()
+        for p in (path, moved_path, jump_path):
+            remove(spark, p)
+        labels, path = told.select("name", "comp", "n"), new_path
         if not changed:
             remove(spark, edge_path)
-            return labels
+            return labels.drop("n")
 
 
 def _named_sets(rows: DataFrame, width: int) -> tuple[DataFrame, DataFrame, int]:

@@ -262,3 +262,10 @@ def test_parity_filter_loses_no_link():
                 if both * 100 >= (size[i] + size[j] - both) * 85:
                     label = set_compare.Filter(85, 100).classes(np.array([2]), size[[i, j]], [vectors[i], vectors[j]])
                     assert label.tolist() == [0, 0]
+
+
+def test_components_of_a_star_and_a_chain(spark):
+    """The centre of 3000 edges, and the label that they then share, are joined apart from all other names."""
+    star, chain = [(0, i) for i in range(1, 3001)], [(i, i + 1) for i in range(5000, 5012)]
+    got = jaccard_join.components(spark.createDataFrame(star + chain, "a long, b long")).groupBy("comp").count().collect()
+    assert {tuple(r) for r in got} == {(0, 3001), (5000, 13)}
