@@ -36,14 +36,15 @@ def split(rows: DataFrame, values: dict[str, Column], rules: dict[str, Column])
     return good, r.where("__reason IS NOT NULL").select(*rows.columns, F.col("__reason").alias("reason"))
 
 
-def read_klines(spark: SparkSession, path: str, interval_ms: int) -> tuple[DataFrame, DataFrame]:
-    """IO3: (klines, quarantine). A row's span must be its interval; it counts from its close on."""
+def read_klines(spark: SparkSession, path: str, interval_ms: int, zero_prices: bool = False) -> tuple[DataFrame, DataFrame]:
+    """IO3: (klines, quarantine). A row's span must be its interval; it counts from its close on. With ``zero_prices`` only negative prices are refused."""
     r = read_text_rows(spark, path, KLINES)
     prices = {c: exact_decimal(F.col(c)) for c in ("open", "high", "low", "close")}
     sizes = {c: exact_decimal(F.col(c)) for c in ("volume", "taker_buy_volume")}
     values = {"open_ms": whole(F.col("open_time")), "close_ms": whole(F.col("close_time")), **prices, **sizes, "n_trades": whole(F.col("count"))}
     span = values["close_ms"] - values["open_ms"] + 1 != interval_ms
-    return split(r, values, {"interval": span, "price": F.least(*prices.values()) <= 0, "quantity": F.least(*sizes.values()) < 0})
+    lowest = F.least(*prices.values())
+    return split(r, values, {"interval": span, "price": lowest < 0 if zero_prices else lowest <= 0, "quantity": F.least(*sizes.values()) < 0})
 
 
 def read_funding(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:

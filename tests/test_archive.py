@@ -28,6 +28,17 @@ def test_klines_of_another_interval_are_refused(spark, tmp_path):
     assert sorted(r.reason for r in bad.collect()) == ["interval", "price"]
 
 
+def test_bars_of_trades_at_zero_stay_in_the_tapes_klines(spark, tmp_path):
+    import datetime as dt
+
+    from tapeloom.plans.archive_queries import klines
+
+    at = dt.datetime(2024, 1, 1)
+    data = [(1, at, 0, "click", 0.0, '{"k": 3}'), (2, at, 0, "view", 2.0, '{"k": 4}'), (3, at, 1, "view", 1.0, '{"k": 4}')]
+    spark.createDataFrame(data, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(str(tmp_path / "events.parquet"))
+    assert sorted((r.low, r.close, r.n_trades) for r in klines(spark, str(tmp_path)).collect()) == [(0, 200_000_000, 2), (100_000_000, 100_000_000, 1)]
+
+
 def test_civil_times_must_exist(spark):
     t = spark.createDataFrame([("1970-01-02 00:00:01",), ("2024-02-30 00:00:00",), ("1970-1-2 00:00:01",), ("1970-01-01 24:00:00",), (None,)], "t string")
     assert rows(t.select(A.civil_ms(t.t))) == [(86_401_000,), (None,), (None,), (None,), (None,)]
