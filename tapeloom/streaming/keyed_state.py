@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Iterable, Iterator
 from heapq import heappop, heappush
 from typing import NamedTuple
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tapeloom.functions.shipping import ship
+from tapeloom.functions.sorting import sorted_blocks
 from tapeloom.functions.timing import bucket, lagged, numbered, prefix_sum
 from tapeloom.sources.tape import DAY_MS
 
@@ -43,6 +46,9 @@ class State(NamedTuple):
 
 _LONGS = [f for f in State._fields if f != "region"]
 STATE = ", ".join(f"{f} {'string' if f == 'region' else 'long'}" for f in State._fields)
+#: Stands for no price on the way to Python, which would make fractions of a column with nulls.
+NO_PRICE = -(1 << 63)
+ARRIVAL = ["at", "trade_id", "ts_ms", "kind", "price"]
 HELD = "ts_ms long, kind long, trade_id long, price long"
 OUT = (
     "instrument long, kind string, ts_ms long, trade_id long, price long, prev_id long, epoch long, day_ms long, ref_high long, ref_low long, region string, run long, "
@@ -108,40 +114,62 @@ class TapeState(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         s = State(*self.state.get()) if self.state.exists() else State()
         held = sorted(tuple(r) for r in self.held.get()) if self.held.exists() else []
-        found: list[tuple] = []
-        every = pd.concat(list(rows)).sort_values(["at", "trade_id"])
-        prices = (None if pd.isna(p) else int(p) for p in every["price"])
-        arrivals = zip(every["ts_ms"].tolist(), every["kind"].tolist(), every["trade_id"].tolist(), prices, strict=True)
-        s = processed(s, held, arrivals, self.hold_ms, found, int(key[0]))
+        given: list[str] = []
+
+        def events() -> Iterator[np.ndarray]:
+            for chunk in rows:
+                given.extend(chunk["given"].dropna())
+                yield chunk.loc[chunk["given"].isna(), ARRIVAL].to_numpy("int64")
+
+        blocks = sorted_blocks(events(), len(ARRIVAL))
+        for text in given:
+            s = State(**json.loads(text))
+        for block in blocks:
+            found: list[tuple] = []
+            arrivals = ((ts, kind, trade_id, None if price == NO_PRICE else price) for _, trade_id, ts, kind, price in block.tolist())
+            s = processed(s, held, arrivals, self.hold_ms, found, int(key[0]))
+            if found:
+                yield pd.DataFrame(found, columns=_NAMES, dtype=object).astype({c: "Int64" for c in _NAMES if c not in ("kind", "region", "state_hash")})
         self.state.update(tuple(s))
         if held:
             self.held.put([tuple(h) for h in held])
         else:
             self.held.clear()
-        if found:
-            yield pd.DataFrame(found, columns=_NAMES, dtype=object).astype({c: "Int64" for c in _NAMES if c not in ("kind", "region", "state_hash")})
-
-    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
-        first = initialState.iloc[0]
-        self.state.update(tuple(None if pd.isna(first[f]) else str(first[f]) if f == "region" else int(first[f]) for f in State._fields))
 
     def close(self) -> None:
         pass
 
 
+def with_given(arrivals: DataFrame, path: str, initial: DataFrame | None) -> DataFrame:
+    """``arrivals`` and, ahead of them, the states of ``initial`` as rows of their own (column given).
+
+    Spark's own initial state holds all rows of a key in the first trigger. The states are a second source, in a folder that
+    every run on ``path`` has, as a query's sources can't change; only the first run writes it.
+    """
+    spark = arrivals.sparkSession
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/given")
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        states = spark.createDataFrame([], f"instrument long, {STATE}") if initial is None else initial
+        states.select("instrument", F.to_json(F.struct(*State._fields), {"ignoreNullFields": "false"}).alias("given")).write.parquet(f"{path}/given")
+    states = spark.readStream.schema("instrument long, given string").parquet(f"{path}/given")
+    zero = F.lit(0).cast("long")
+    rows = arrivals.select("instrument", *ARRIVAL[:-1], F.coalesce("price", F.lit(NO_PRICE)).alias("price"), F.lit(None).cast("string").alias("given"))
+    return rows.unionByName(states.select("instrument", *[zero.alias(c) for c in ARRIVAL], "given"))
+
+
 def run_keyed(arrivals: DataFrame, path: str, hold_ms: int, initial: DataFrame | None = None) -> DataFrame:
     """Runs TapeState over a stream (instrument, at, ts_ms, kind, trade_id, price) until all there is has been read; returns its rows.
 
-    Rows of one micro-batch are taken by ``at``, the order of their arrival, so a trigger should hold no more of one instrument than a
-    task's memory. What is younger than the hold stays in the state for the next run on ``path``, which goes on where this one ended.
+    Rows of one micro-batch are taken by ``at``, the order of their arrival; a task sorts an instrument's rows with spilled runs and holds
+    a block of them. What is younger than the hold stays in the state for the next run on ``path``, which goes on where this one ended.
+    ``initial`` counts in the first run on ``path``.
     """
     spark = arrivals.sparkSession
     ship(spark)
     before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     try:
-        given = initial.groupBy("instrument") if initial is not None else None
-        out = arrivals.groupBy("instrument").transformWithStateInPandas(TapeState(hold_ms), OUT, "Append", "None", given)
+        out = with_given(arrivals, path, initial).groupBy("instrument").transformWithStateInPandas(TapeState(hold_ms), OUT, "Append", "None")
         q = out.writeStream.format("parquet").option("checkpointLocation", f"{path}/_state").outputMode("append").trigger(availableNow=True).start(f"{path}/rows")
         q.awaitTermination()
     finally:

@@ -1,5 +1,10 @@
 import random
 
+import numpy as np
+import pandas as pd
+import pytest
+
+from tapeloom.functions.sorting import sorted_blocks
 from tapeloom.streaming import keyed_state as K
 
 SCHEMA = "instrument long, at long, ts_ms long, kind long, trade_id long, price long"
@@ -34,6 +39,48 @@ def test_state_does_not_depend_on_batches():
     assert folded(rows, lambda r: [r]) == folded(rows, cut)
 
 
+class Kept:
+    """What a state variable of Spark does for the processor."""
+
+    def __init__(self):
+        self.value = None
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+    put, clear = update, lambda self: self.update(None)
+
+
+def test_a_large_trigger_is_taken_in_blocks():
+    rows = tape(40_000, 7)
+    frame = pd.DataFrame(rows, columns=["instrument", "at", "ts_ms", "kind", "trade_id", "price"]).sample(frac=1, random_state=1)
+    frame["price"] = frame["price"].astype("Int64").fillna(K.NO_PRICE).astype("int64")
+    frame["given"] = None
+    p = K.TapeState(30_000)
+    p.state, p.held = Kept(), Kept()
+    got = list(p.handleInputRows((0,), (frame[i : i + 1000] for i in range(0, len(frame), 1000)), None))
+    s, held, out = folded(rows, lambda r: [r])
+    assert max(map(len, got)) < 2.5 * 8192 < len(out)
+    assert [r[3] for r in out] == [None if pd.isna(v) else v for f in got for v in f["trade_id"]]
+    assert p.state.value == tuple(s) and sorted(p.held.value) == held
+
+
+@pytest.mark.parametrize("n, run", [(0, 10), (5, 10), (1000, 10), (1000, 400), (1000, 2000)])
+def test_spilled_runs_merge_in_order(n, run):
+    data = np.random.default_rng(n).integers(0, 50, (n, 3))
+    data[:, 2] = np.arange(n)
+    got = list(sorted_blocks((data[i : i + 7] for i in range(0, n, 7)), 3, run, 16))
+    assert all(len(b) <= 16 for b in got)
+    every = np.concatenate([*got, np.empty((0, 3), "int64")])
+    assert [tuple(r[:2]) for r in every] == sorted(tuple(r[:2]) for r in data) and sorted(every[:, 2]) == list(range(n))
+
+
 def test_every_row_is_released_late_or_held():
     rows = tape(800, 3)
     s, held, out = folded(rows, lambda r: [r])
