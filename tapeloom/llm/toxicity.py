@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +22,8 @@ MIN_ROWS = 3
 PRECISION = 0.75
 #: The same of the tokens that voters vote by; the rest of the lexicon is for the classifier alone.
 SURE = 0.95
-#: Words that one Python worker remembers the features of.
-REMEMBERED = 500_000
+#: Words that hit the lexicon which one Python worker remembers the features of; texts that are Python strings at a time.
+REMEMBERED, SLICE = 500_000, 512
 #: Lexicon, number of its sure tokens, weights, intercept.
 Model = tuple[list[str], int, list[float], float]
 WORD = re.compile(r"[^\W\d_]+")
@@ -66,29 +66,34 @@ class Features:
         self.sure = sure
         self.number = {t: k for k, t in enumerate(lexicon)}
         self.known: dict[str, tuple[int, ...]] = {}
-        self.plain: set[str] = set()
+        # a word that hits begins as a token does; words that don't needn't be remembered
+        self.heads = {t.rstrip("*")[: STEMS[0]] for t in lexicon}
 
     def __call__(self, text: str) -> list[int]:
         words = WORD.findall(text)
         found: set[int] = set()
         hits = 0
-        for w in set(map(str.lower, words)) - self.plain:
+        heads, head = self.heads, STEMS[0]
+        for w in [w for w in set(map(str.lower, words)) if w[:head] in heads]:
             hit = self.known.get(w)
             if hit is None:
                 hit = tuple(self.number[t] for t in tokens_of(w) if t in self.number)
                 if hit:
                     self.known[w] = hit
-                else:
-                    self.plain.add(w)
             found.update(hit)
             hits += any(k < self.sure for k in hit)
-        if len(self.plain) + len(self.known) > REMEMBERED:
-            self.plain.clear()
+        if len(self.known) > REMEMBERED:
             self.known.clear()
         n = len(self.number)
         return [*sorted(found), *[n + k for k, on in enumerate(patterns_of(text, words, hits)) if on]]
 
 
+def slices(batches: Iterable[pa.RecordBatch], rows: int | None = None) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches in pieces of at most ``rows``, so that few texts are Python strings at once."""
+    rows = rows or SLICE
+    return (batch.slice(at, rows) for batch in batches for at in range(0, batch.num_rows, rows))
+
+
 def learnable(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, toxic of all labelled documents that may be learned from.
 
@@ -112,7 +117,7 @@ def _count_tokens(tokens: set[str] | None):
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
-        for batch in batches:
+        for batch in slices(batches):
             for text in batch.column("text").to_pylist():
                 words = {w.lower() for w in WORD.findall(text or "")}
                 found = {t for w in words for t in tokens_of(w)}
@@ -208,7 +213,7 @@ def linear(rows: list[list[int]], width: int, target: np.ndarray, mass: np.ndarr
 def _features_task(lexicon: list[str], sure: int):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features(lexicon, sure)
-        for batch in batches:
+        for batch in slices(batches):
             on = [features(t or "") for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(on, pa.list_(pa.int32()))], ["toxic", "features"])
 
@@ -258,7 +263,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features(lexicon, sure)
-        for batch in batches:
+        for batch in slices(batches):
             z = np.array([intercept + sum(weights[f] for f in features(t or "")) if weights else intercept for t in batch.column("text").to_pylist()])
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))), pa.float64())], ["doc_id", "score"]
@@ -284,7 +289,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS) -> Data
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features(lexicon, sure)
-        for batch in batches:
+        for batch in slices(batches):
             keep = [intercept + (sum(weights[f] for f in features(t or "")) if weights else 0.0) < 0 for t in batch.column("text").to_pylist()]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
