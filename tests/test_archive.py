@@ -81,6 +81,13 @@ def test_odd_payloads_are_kept_in_quarantine(spark, kind):
     assert bad.columns == ["payload", "reason"]
 
 
+@pytest.mark.parametrize("kind, most", [("depth", 3), ("depthSnapshot", 3), ("kline_1m", 2), ("markPrice", 1)])
+def test_payloads_are_parsed_once(spark, kind, most):
+    raw = spark.createDataFrame([("{}",)], "payload string")
+    for part in P.parse(raw, kind):
+        assert part._jdf.queryExecution().optimizedPlan().toString().count("from_json(") <= most
+
+
 def test_levels_of_book_updates(spark):
     msg = '{"e":"depthUpdate","T":1,"U":1,"u":2,"pu":0,"b":%s,"a":[]}'
     raw = spark.createDataFrame([(msg % b,) for b in ('[["1","0"]]', '[["0","1"]]', '[["1","1","1"]]', '[["1","0.000000001"]]')], "payload string")
