@@ -11,7 +11,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tapeloom.functions.shipping import ship
-from tapeloom.functions.timing import ID_WIDTH, asof, lagged, numbered, prefix_sum
+from tapeloom.functions.tables import written
+from tapeloom.functions.timing import ID_WIDTH, asof, lagged, numbered, prefix_sum, prefix_sums
 
 BANDS_BPS = (1, 2, 5)
 LEVEL = ["instrument", "epoch", "side", "price"]
@@ -25,9 +26,9 @@ def snapshot_epochs(snapshots: DataFrame, diffs: DataFrame) -> DataFrame:
     """
     ids = snapshots.select("instrument", "snapshot_id").distinct()
     d = asof(diffs, ids, ["instrument"], "seq", "snapshot_id", {"snapshot_id": "epoch"}, strict=True, width=ID_WIDTH).where("epoch IS NOT NULL")
-    d = lagged(d, ["instrument", "epoch"], "seq", ["seq"], {"seq": "before"}, ID_WIDTH)
+    d = lagged(written(d, "epochs"), ["instrument", "epoch"], "seq", ["seq"], {"seq": "before"}, ID_WIDTH)
     bad = F.when(F.col("before").isNull(), F.col("prev_id") > F.col("epoch")).otherwise(F.col("prev_id") != F.col("before"))
-    d = prefix_sum(d.withColumn("bad", bad.cast("long")), ["instrument", "epoch"], "seq", ["seq"], "bad", "breaks", ID_WIDTH, peers=True)
+    d = prefix_sum(written(d.withColumn("bad", bad.cast("long")), "breaks"), ["instrument", "epoch"], "seq", ["seq"], "bad", "breaks", ID_WIDTH, peers=True)
     return d.withColumn("live", F.col("breaks") == 0).drop("before", "bad", "breaks")
 
 
@@ -102,18 +103,19 @@ def frames_before(snapshots: DataFrame, epochs: DataFrame, states: DataFrame) ->
 
 
 def _attributed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """What each step of a level takes from its pending fills, carried ones first; steps come by level in order."""
+    """Adds what each step of a level takes from its pending fills, carried ones first; steps come by level in order."""
     key, carried, last = None, 0, None
     for frame in frames:
-        out = []
+        matched, unmatched = [], []
         for level, step, removed, fresh in zip(zip(*(frame[c].tolist() for c in LEVEL), strict=True), frame["step"].tolist(), frame["removed"].tolist(), frame["fresh"].tolist(), strict=True):
             if key != level or last != step - 1:
                 carried = 0
             from_carried = min(removed, carried)
             from_fresh = min(removed - from_carried, fresh)
-            out.append((*level, step, from_carried + from_fresh, carried - from_carried))
+            matched.append(from_carried + from_fresh)
+            unmatched.append(carried - from_carried)
             key, last, carried = level, step, fresh - from_fresh
-        yield pd.DataFrame(out, columns=[*LEVEL, "step", "matched", "unmatched"])
+        yield frame.assign(matched=matched, unmatched=unmatched).astype({"matched": "int64", "unmatched": "int64"})
 
 
 def liquidity_flow(frames: DataFrame, trades: DataFrame, states: DataFrame, bands: tuple[int, ...] = BANDS_BPS) -> DataFrame:
@@ -125,7 +127,7 @@ def liquidity_flow(frames: DataFrame, trades: DataFrame, states: DataFrame, band
     trusted window or the widest band aren't accounted. Snapshots and breaks book nothing and drop what is pending.
     """
     ship(frames.sparkSession)
-    f = numbered(frames, ["instrument", "epoch"], "seq", ["seq"], "step", ID_WIDTH)
+    f = written(numbered(frames.select(*LEVEL, "seq", "ts_ms", "qty", "bid", "ask", "old"), ["instrument", "epoch"], "seq", ["seq"], "step", ID_WIDTH), "steps")
     steps = f.select("instrument", "epoch", "seq", "step", "ts_ms", "bid", "ask")
     t = trades.select("instrument", F.col("seq").alias("trade_seq"), "price", "qty", F.when(F.col("aggressor") == "buy", "ask").otherwise("bid").alias("side"))
     t = asof(t, steps.select("instrument", "seq", "step", "epoch"), ["instrument"], "trade_seq", "seq", {"step": "step", "epoch": "epoch"}, forward=True, strict=True, width=ID_WIDTH)
@@ -133,9 +135,10 @@ def liquidity_flow(frames: DataFrame, trades: DataFrame, states: DataFrame, band
     t = t.where("step IS NOT NULL").join(states.select("instrument", "epoch", "end_seq"), ["instrument", "epoch"]).where("trade_seq > epoch AND trade_seq < end_seq")
     fresh = t.groupBy(*LEVEL, "step").agg(F.sum("qty").alias("fresh"))
     zero = F.lit(0).cast("long")
-    later = fresh.select(*LEVEL, (F.col("step") + 1).alias("step"), zero.alias("fresh"), zero.alias("removed"), zero.alias("more"))
+    pending = F.explode(F.array(F.struct("step", "fresh"), F.struct((F.col("step") + 1).alias("step"), zero.alias("fresh"))))
+    held = fresh.select(*LEVEL, pending.alias("p")).select(*LEVEL, "p.step", "p.fresh", zero.alias("removed"), zero.alias("more"))
     change = f.select(*LEVEL, "step", zero.alias("fresh"), F.greatest(zero, F.col("old") - F.col("qty")).alias("removed"), F.greatest(zero, F.col("qty") - F.col("old")).alias("more"))
-    rows = fresh.select(*LEVEL, "step", "fresh", zero.alias("removed"), zero.alias("more")).unionByName(later).unionByName(change)
+    rows = held.unionByName(change)
     rows = rows.groupBy(*LEVEL, "step").agg(F.sum("fresh").alias("fresh"), F.sum("removed").alias("removed"), F.sum("more").alias("more"))
     # accounted or not follows from the mid before the step, as does whether there is such a step
     rows = rows.join(steps, ["instrument", "epoch", "step"]).join(states.select("instrument", "epoch", "trusted_low", "trusted_high"), ["instrument", "epoch"])
@@ -143,9 +146,11 @@ def liquidity_flow(frames: DataFrame, trades: DataFrame, states: DataFrame, band
     off = F.abs(mid2 - 2 * F.col("price")) * 10_000
     near = F.coalesce((F.col("bid") < F.col("ask")) & (off <= widest * mid2) & F.col("price").between(F.col("trusted_low"), F.col("trusted_high")), F.lit(False))
     rows = rows.withColumns({"near": near, "removed": F.when(near, F.col("removed")).otherwise(0)})
-    dealt = rows.select(*LEVEL, "step", "removed", "fresh").repartition(*LEVEL).sortWithinPartitions(*LEVEL, "step")
-    found = dealt.mapInPandas(_attributed, "instrument long, epoch long, side string, price long, step long, matched long, unmatched long")
-    out = rows.where("near").join(found, [*LEVEL, "step"]).withColumn("band", F.explode(F.array(*[F.lit(b) for b in bands]))).where(off <= F.col("band") * mid2)
+    # all that later steps need goes through the task, so that rows aren't made twice
+    dealt = rows.select(*LEVEL, "step", "removed", "fresh", "seq", "ts_ms", "more", "near", F.coalesce(mid2, zero).alias("mid2")).repartition(*LEVEL).sortWithinPartitions(*LEVEL, "step")
+    schema = "instrument long, epoch long, side string, price long, step long, removed long, fresh long, seq long, ts_ms long, more long, near boolean, mid2 long, matched long, unmatched long"
+    found = dealt.mapInPandas(_attributed, schema).where("near")
+    out = found.withColumn("band", F.explode(F.array(*[F.lit(b) for b in bands]))).where(F.abs(F.col("mid2") - 2 * F.col("price")) * 10_000 <= F.col("band") * F.col("mid2"))
     out = out.select(*LEVEL, "seq", "ts_ms", "band", (F.col("more") + F.col("unmatched")).alias("added"), (F.col("removed") - F.col("matched")).alias("cancelled"), (F.col("matched") + F.col("unmatched")).alias("filled"), F.col("unmatched").alias("inferred"))
     return out.where("added > 0 OR cancelled > 0 OR filled > 0")
 
@@ -166,6 +171,7 @@ def flow_windows(minutes: DataFrame, bad: DataFrame, widths: tuple[int, ...] = (
     sums, key = ["added", "cancelled", "filled", "inferred"], ["instrument", "side", "band"]
     end = (F.col("minute_ms") + minute_ms).alias("end_ms")
     lost = bad.select("instrument", (F.col("ts_ms") - F.pmod("ts_ms", F.lit(minute_ms))).alias("minute_ms")).groupBy("instrument", "minute_ms").agg(F.count("*").alias("lost"))
+    minutes, lost = written(minutes, "minutes"), written(lost, "lost")
     kinds = minutes.select("side", "band").distinct()
     ends = minutes.select("instrument", "minute_ms").unionByName(lost.select("instrument", "minute_ms")).distinct().select("instrument", end)
     first = minutes.groupBy("instrument").agg(F.min("minute_ms").alias("first_ms"))
@@ -180,11 +186,9 @@ def flow_windows(minutes: DataFrame, bad: DataFrame, widths: tuple[int, ...] = (
 
 def _since(ends: DataFrame, rows: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
     """``ends`` with the sums of ``values`` of rows after from_ms, up to end_ms."""
-    running = rows
-    for v in values:
-        running = prefix_sum(running, keys, "end_ms", ["end_ms"], v, f"upto_{v}")
+    running = written(prefix_sums(rows, keys, "end_ms", ["end_ms"], {v: f"upto_{v}" for v in values}), "running")
     for name in ("end", "from"):
-        ends = asof(ends, running, keys, f"{name}_ms", "end_ms", {f"upto_{v}": f"{name}_{v}" for v in values})
+        ends = written(asof(ends, running, keys, f"{name}_ms", "end_ms", {f"upto_{v}": f"{name}_{v}" for v in values}), f"at-{name}")
     zero = F.lit(0)
     took = {v: (F.coalesce(f"end_{v}", zero) - F.coalesce(f"from_{v}", zero)).cast("long") for v in values}
     return ends.withColumns(took).drop(*[f"{n}_{v}" for n in ("end", "from") for v in values])

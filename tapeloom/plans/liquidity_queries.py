@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tapeloom.functions.tables import kept
+from tapeloom.functions.tables import kept, written
 from tapeloom.functions.timing import ID_WIDTH, lagged
 from tapeloom.operators import liquidity as Q
 from tapeloom.operators.book import books_at, level_life
@@ -29,9 +29,10 @@ def book_events(s, d):
     return t.select("instrument", F.col("trade_id").alias("seq"), "ts_ms", "aggressor", F.when(below, "bid").otherwise("ask").alias("side"), price.alias("price"), "qty", trade.alias("trade"), (F.col("event_type") == "error").alias("gap"))
 
 
+@kept
 def diffs(s, d):
     u = book_events(s, d).where("NOT trade AND NOT gap")
-    u = lagged(u, ["instrument"], "seq", ["seq"], {"seq": "prev"}, ID_WIDTH)
+    u = written(lagged(u, ["instrument"], "seq", ["seq"], {"seq": "prev"}, ID_WIDTH), "lagged")
     gaps = book_events(s, d).where("gap").select("instrument", F.col("seq").alias("gap_seq"))
     u = Q.asof(u, gaps, ["instrument"], "seq", "gap_seq", {"gap_seq": "gap_seq"}, strict=True, width=ID_WIDTH)
     lost = F.coalesce(F.col("gap_seq") > F.col("prev"), F.lit(False)) & (F.col("gap_seq") % 5 == 0)
@@ -57,10 +58,15 @@ def states(s, d):
     return Q.epoch_states(snapshots(s, d), epochs(s, d))
 
 
+@kept
+def frames(s, d):
+    return Q.frames_before(snapshots(s, d), epochs(s, d), states(s, d))
+
+
 @kept
 def flow(s, d):
     t = book_events(s, d).where("trade AND NOT gap").select("instrument", "seq", "price", "qty", "aggressor")
-    return Q.liquidity_flow(Q.frames_before(snapshots(s, d), epochs(s, d), states(s, d)), t, states(s, d))
+    return Q.liquidity_flow(frames(s, d), t, states(s, d))
 
 
 def windows(s, d):
@@ -74,7 +80,7 @@ QUERIES = {
     "k1_seeded_levels": lambda s, d: Q.seeded_levels(snapshots(s, d), epochs(s, d), states(s, d)),
     "k2_snapshot_states": lambda s, d: states(s, d).select("instrument", "epoch", "state", "n_live", "end_seq"),
     "k3_trusted_windows": lambda s, d: states(s, d).where("state = 'aligned'").select("instrument", "epoch", "trusted_low", "trusted_high"),
-    "k4_best_before": lambda s, d: Q.frames_before(snapshots(s, d), epochs(s, d), states(s, d)).select("instrument", "epoch", "seq", "bid", "ask", "old"),
+    "k4_best_before": lambda s, d: frames(s, d).select("instrument", "epoch", "seq", "bid", "ask", "old"),
     "k8_liquidity_flow": flow,
     "k9_flow_windows": windows,
     "k8_flow_minutes": lambda s, d: Q.flow_minutes(flow(s, d)),
